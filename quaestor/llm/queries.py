@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaestor.llm import exact_dedup, mixing, neardup, packing, sharding, topk, toxicity
+from quaestor.llm import exact_dedup, licences, mixing, neardup, packing, pii, sharding, topk, toxicity
 from quaestor.llm.common import table
 
 
@@ -36,9 +36,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), "a key for tests; set your own")
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_exact_dedup, op4_packing, op5_topk, op7_toxicity, op9_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_exact_dedup, op4_packing, op5_topk, op7_toxicity, op8_pii, op9_near_dedup, op10_licences)}
 SQL = {"op3_exact_dedup": exact_dedup.SQL, "op5_topk": topk.SQL}
