@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaestor.llm import exact_dedup, licences, mixing, neardup, packing, pii, sharding, topk, toxicity
+from quaestor.llm import exact_dedup, html_text, licences, mixing, neardup, packing, pii, sharding, topk, toxicity
 from quaestor.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.scored(docs, docs, table(spark, sf_dir, "labels"))
@@ -48,5 +52,5 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_exact_dedup, op4_packing, op5_topk, op7_toxicity, op8_pii, op9_near_dedup, op10_licences)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_exact_dedup, op4_packing, op5_topk, op6_html_text, op7_toxicity, op8_pii, op9_near_dedup, op10_licences)}
 SQL = {"op3_exact_dedup": exact_dedup.SQL, "op5_topk": topk.SQL}
