@@ -124,11 +124,11 @@ def features(nodes: list[Node]) -> np.ndarray:
 def drawn(rng: np.random.Generator) -> str:
     """A page of the generator; data-main marks what holds main text."""
     pick = lambda *x: x[rng.integers(len(x))]
-    words = lambda a, b: " ".join("abcdefghijklmnopqrstuvwxyz"[rng.integers(26)] * int(rng.integers(1, 9)) for _ in range(rng.integers(a, b))) + pick(".", "", "!")
+    words = lambda a, b: " ".join("x" * n for n in rng.integers(1, 9, rng.integers(a, b)).tolist()) + pick(".", "", "!")
     links = lambda n: "".join(f'<li><a href="#">{words(1, 3)}</a></li>' for _ in range(n))
     maybe = lambda p, s: s if rng.random() < p else ""
     nav = lambda: pick(f"<nav><ul>{links(rng.integers(2, 9))}</ul></nav>", f'<div class="{pick("menu", "nav", "main-nav", "site-header")}"><ul>{links(rng.integers(2, 9))}</ul></div>', f"<header><p>{words(1, 6)}</p><nav>{links(4)}</nav></header>", f'<div id="header"><h2>{words(1, 5)}</h2></div>')
-    junk = lambda: pick(*[f'<div class="{c}">{t}</div>' for c in BAD[5:] for t in (words(3, 40), f"<p>{words(3, 60)}</p>", f"<h3>{words(1, 4)}</h3><p>{words(5, 40)}</p><p>{words(5, 40)}</p>")], f"<aside><p>{words(3, 40)}</p></aside>", f"<aside><h3>{words(1, 4)}</h3><ul>{links(5)}</ul></aside>", f'<section id="comments"><div class="comment"><p>{words(3, 60)}</p></div><div class="comment"><p>{words(3, 60)}</p></div></section>')
+    junk = lambda: pick(*[f'<div class="{c}">{t}</div>' for c in [pick(*BAD[5:])] for t in (words(3, 40), f"<p>{words(3, 60)}</p>", f"<h3>{words(1, 4)}</h3><p>{words(5, 40)}</p><p>{words(5, 40)}</p>")] * 8, f"<aside><p>{words(3, 40)}</p></aside>", f"<aside><h3>{words(1, 4)}</h3><ul>{links(5)}</ul></aside>", f'<section id="comments"><div class="comment"><p>{words(3, 60)}</p></div><div class="comment"><p>{words(3, 60)}</p></div></section>')
     M = " data-main"
 
     def part() -> str:
