@@ -83,7 +83,7 @@ def least_matches(threshold: float, total: int) -> list[tuple[int, int]]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest, sig, grams of each document; digest is null for an empty set."""
+    """doc_id, n_shingles, digest, sig of each document; digest is null for an empty set."""
     seeds = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * MIX).astype(np.uint32) | np.uint32(1)
 
     def rows(batches):
@@ -92,15 +92,14 @@ def features(docs: DataFrame) -> DataFrame:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 s = shingles(text, memo)
-                raw = s.tobytes()
-                out.append((doc_id, len(s), *((hashlib.blake2b(raw, digest_size=16).digest(), signature(s, seeds).tobytes(), raw) if len(s) else (None, None, None))))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "sig", "grams"]).astype({"doc_id": "Int64"})
+                out.append((doc_id, len(s), *((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s, seeds).tobytes()) if len(s) else (None, None))))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "sig"]).astype({"doc_id": "Int64"})
 
     # Null becomes the empty text: neither has words.
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(rows, "doc_id long, n_shingles long, digest binary, sig binary, grams binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(rows, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
-def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold: signatures first, then whole sets."""
     bounds = least_matches(PERCENT / 100, BANDS * ROWS)
 
@@ -127,10 +126,21 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
         return pd.Series([same(a, b) for a, b in zip(x, y)], dtype=bool)
 
-    side = lambda c, of: classes.select(F.col("id").alias(c), F.col(of).alias(f"{of}_{c}"))
-    near = pairs.join(side("a", "sig"), "a").join(side("b", "sig"), "b").where(plausible("sig_a", "sig_b")).select("a", "b")
-    near = cut(near)
-    return cut(near.join(side("a", "grams"), "a").join(side("b", "grams"), "b").where(linked("grams_a", "grams_b")).select("a", "b"))
+    @F.pandas_udf("binary")
+    def grams(text: pd.Series) -> pd.Series:
+        memo: dict[str, int] = {}
+        return pd.Series([shingles(t, memo).tobytes() for t in text], dtype=object)
+
+    def both(pairs: DataFrame, table: DataFrame, of: str) -> DataFrame:
+        for c in "ab":
+            pairs = pairs.join(table.select(F.col("id").alias(c), F.col(of).alias(f"{of}_{c}")), c)
+        return pairs
+
+    near = cut(both(pairs, classes, "sig").where(plausible("sig_a", "sig_b")).select("a", "b"))
+    # Only the texts of survivors are read and cut into shingles again: sets of all documents are never stored.
+    wanted = near.select(F.col("a").alias("id")).unionAll(near.select(F.col("b").alias("id"))).distinct()
+    sets = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]).withColumn("grams", grams("text"))
+    return cut(both(near, sets, "grams").where(linked("grams_a", "grams_b")).select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -152,8 +162,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each document."""
     every = cut(features(docs))
     members = every.where("digest is not null and doc_id is not null")
-    ids = members.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    classes = cut(members.join(ids, (members["doc_id"] == ids["id"]) & (members["digest"] == ids["digest"])).select("id", "sig", "grams").dropDuplicates(["id"]))
+    ids = cut(members.groupBy("digest").agg(F.min("doc_id").alias("id")))
+    classes = members.join(ids.select(F.col("digest").alias("_d"), "id"), (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("_d"))).select("id", "sig")
 
     @F.pandas_udf("array<long>")
     def bands(sig: pd.Series) -> pd.Series:
@@ -166,11 +176,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
         return pd.Series([keys(s) for s in sig], dtype=object)
 
-    keys = cut(classes.select("id", F.explode(bands("sig")).alias("key")))
+    keys = classes.select("id", F.explode(bands("sig")).alias("key"))
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    stars = keys.join(heads, "key").where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    keys = cut(keys.join(heads, "key"))  # only of buckets that are shared
+    stars = keys.where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     stars = cut(stars)
-    links = likely(stars, classes)
+    links = likely(stars, classes, docs)
     first = components(links)
     # In a bucket that is one component all is said; of the others, pairs across components remain.
     placed = keys.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
@@ -179,7 +190,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other = open_rows.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
     rest = open_rows.select("key", F.col("id").alias("a"), F.col("c").alias("ca")).join(other, "key").where("a < b and ca <> cb").select("a", "b").distinct()
     rest = rest.join(stars, ["a", "b"], "left_anti")
-    links = links.unionAll(likely(cut(rest), classes))
+    links = links.unionAll(likely(cut(rest), classes, docs))
     final = components(links)
     named = ids.join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     own = F.col("digest").isNull() | F.col("doc_id").isNull()
