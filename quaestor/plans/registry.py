@@ -2,9 +2,92 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quaestor.operators import recurrence
+from quaestor.plans import binding
+
 QUERIES: dict = {}
 SQL: dict = {}
 
 
-def flagship(spark, sf_dir):
-    return spark.range(0)
+def query(sql: str, bound: bool = True):
+    def add(f):
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = (binding.SQL if bound else "") + sql
+        return f
+
+    return add
+
+
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrence.cluster_stats(binding.questions(spark, sf_dir))
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = binding.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), ((F.col("p_size") - 1) % 5 + 1).alias("unit_no"))
+    return recurrence.scored(clusters(spark, sf_dir).join(part, "part_id"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_scores(spark, sf_dir).orderBy(F.desc("expected_marks"), "subject_id", "part_id").limit(20)
+
+
+@query("SELECT subject_id, part_id, round(freq, 6) AS freq FROM clusters")
+def cluster_decayed_frequency(spark, sf_dir):
+    return clusters(spark, sf_dir).select("subject_id", "part_id", F.round("freq", 6).alias("freq"))
+
+
+@query("SELECT subject_id, part_id, round(CAST(overdue AS DOUBLE), 6) AS overdue FROM clusters")
+def cluster_overdue(spark, sf_dir):
+    return clusters(spark, sf_dir).select("subject_id", "part_id", F.round("overdue", 6).alias("overdue"))
+
+
+@query("SELECT subject_id, part_id, CASE WHEN n >= 2 THEN round((last_year - first_year) / CAST(n - 1 AS DOUBLE), 6) END AS mean_gap FROM clusters")
+def cluster_mean_gap(spark, sf_dir):
+    gap = F.when(F.col("n") >= 2, F.round(F.try_divide((F.col("last_year") - F.col("first_year")).cast("double"), F.col("n") - 1), 6))
+    return clusters(spark, sf_dir).select("subject_id", "part_id", gap.alias("mean_gap"))
+
+
+@query("SELECT subject_id, part_id, unit_no, round(CAST(quota AS DOUBLE), 6) AS quota FROM scored")
+def unit_quota_pressure(spark, sf_dir):
+    return scores(spark, sf_dir).select("subject_id", "part_id", "unit_no", F.round("quota", 6).alias("quota"))
+
+
+@query("SELECT subject_id, part_id, round(score, 6) AS score, round(expected_marks, 6) AS expected_marks FROM expected")
+def cluster_scores(spark, sf_dir):
+    return scores(spark, sf_dir).select("subject_id", "part_id", F.round("score", 6).alias("score"), F.round("expected_marks", 6).alias("expected_marks"))
+
+
+@query("""SELECT c.subject_id, round(rate, 6) AS repetition_rate, CASE WHEN papers < 3 THEN 'low' WHEN rate >= 0.25 THEN 'high' WHEN rate >= 0.1 THEN 'medium' ELSE 'low' END AS regime
+FROM (SELECT subject_id, avg(CASE WHEN years >= 2 THEN 1.0 ELSE 0.0 END) AS rate FROM clusters GROUP BY 1) c
+JOIN (SELECT subject_id, count(DISTINCT paper_id) AS papers FROM questions GROUP BY 1) p USING (subject_id)""")
+def subject_regime(spark, sf_dir):
+    rate = clusters(spark, sf_dir).groupBy("subject_id").agg(F.avg((F.col("years") >= 2).cast("double")).alias("rate"))
+    papers = binding.questions(spark, sf_dir).groupBy("subject_id").agg(F.countDistinct("paper_id").alias("papers"))
+    regime = F.when(F.col("papers") < 3, "low").when(F.col("rate") >= 0.25, "high").when(F.col("rate") >= 0.1, "medium").otherwise("low")
+    return rate.join(papers, "subject_id").select("subject_id", F.round("rate", 6).alias("repetition_rate"), regime.alias("regime"))
+
+
+@query("""SELECT n_nationkey AS subject_id, coalesce(p.papers, 0) AS papers, coalesce(q.questions, 0) AS questions, p.first_year, p.last_year
+FROM nation LEFT JOIN (SELECT subject_id, count(*) AS papers, min(exam_year) AS first_year, max(exam_year) AS last_year FROM papers GROUP BY 1) p ON p.subject_id = n_nationkey
+LEFT JOIN (SELECT subject_id, count(*) AS questions FROM questions GROUP BY 1) q ON q.subject_id = n_nationkey""")
+def subject_summary(spark, sf_dir):
+    p = binding.papers(spark, sf_dir).groupBy("subject_id").agg(F.count("*").alias("papers"), F.min("exam_year").alias("first_year"), F.max("exam_year").alias("last_year"))
+    q = binding.questions(spark, sf_dir).groupBy("subject_id").agg(F.count("*").alias("questions"))
+    subjects = binding.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("subject_id"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return subjects.join(p, "subject_id", "left").join(q, "subject_id", "left").select("subject_id", zero("papers"), zero("questions"), "first_year", "last_year")
+
+
+@query("SELECT paper_id, subject_id, exam_year FROM papers WHERE exam_type = 'endsem' AND college IS NULL")
+def stats_slice(spark, sf_dir):
+    return binding.papers(spark, sf_dir).where("exam_type = 'endsem' AND college IS NULL").select("paper_id", "subject_id", "exam_year")
+
+
+@query("""SELECT paper_id, CAST(sum(CASE WHEN n = 1 THEN s ELSE floor(s / 2.0 + 0.5) END) AS BIGINT) AS obtainable
+FROM (SELECT paper_id, number, count(*) AS n, sum(marks) AS s FROM questions GROUP BY 1, 2) GROUP BY 1""")
+def obtainable_marks(spark, sf_dir):
+    groups = binding.questions(spark, sf_dir).groupBy("paper_id", "number").agg(F.count("*").alias("n"), F.sum("marks").alias("s"))
+    return groups.groupBy("paper_id").agg(F.sum(F.when(F.col("n") == 1, F.col("s")).otherwise(F.floor(F.col("s") / 2 + 0.5))).cast("long").alias("obtainable"))
