@@ -1,13 +1,13 @@
 import duckdb
 import pytest
 
-from quaestor.plans import registry
+from quaestor.plans import catalog as registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "nation customer part orders lineitem".split()
+TABLES = "nation customer part orders lineitem events documents embeddings".split()
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
