@@ -11,6 +11,7 @@ Null text is empty: its document is the one closing id. Repeated rows are packed
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from itertools import combinations_with_replacement
@@ -23,20 +24,44 @@ from pyspark.sql import functions as F
 from quaestor.llm.common import buckets_for, cut, numbered
 
 WINDOW, GRID, DEPTH, CLOSING = 2048, 64, 4, 1
+RUN = re.compile(r"[^ \t\n\r]+")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def memoised(coder, most: int = 300_000, longest: int = 64):
+    """text -> ids of a coder whose tokens never span white space, which it drops: runs between white space are coded once.
+
+    The memory holds at most `most` runs of at most `longest` characters; longer ones are coded each time, whole.
+    """
+    memo: dict[str, list[int]] = {}
+
+    def encode(text: str) -> list[int]:
+        out: list[int] = []
+        for run in RUN.findall(text):
+            ids = memo.get(run)
+            if ids is None:
+                ids = coder.encode(run, add_special_tokens=False).ids
+                if len(run) <= longest:
+                    if len(memo) >= most:
+                        memo.clear()
+                    memo[run] = ids
+            out += ids
+        return out
+
+    return encode
+
+
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """The pieces of each document."""
 
     def pieces(batches):
         from tokenizers import Tokenizer
 
-        coder = Tokenizer.from_file(tokenizer)
+        encode = memoised(Tokenizer.from_file(tokenizer))
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = np.array([*coder.encode(text or "", add_special_tokens=False).ids, CLOSING], "<u4")
+                ids = np.array([*encode(text or ""), CLOSING], "<u4")
                 n, at = len(ids), 0
                 tail = n % WINDOW
                 for length in [*[WINDOW] * (n // WINDOW), tail - tail % GRID, tail % GRID]:
