@@ -5,7 +5,10 @@ says what the clause has met (a pending negation, a report verb, a target); an i
 times the factor of the state it is met in. A document's score is a logistic function of its clauses' weights.
 
 The terminals' weights are log odds by document frequency, learned from labelled rows outside the held-out fold: all of
-them, or at most `max_labels` by hash order. A word weighs as itself or by its leading letters (STEM of them), so
+them, or at most `max_labels` by hash order. A terminal must be in at least SUPPORT and a SHARE of the toxic documents,
+so that the bar grows with the table, and stand in at least SUPPORT surroundings and VARIETY of them for each toxic
+document that has it, so that copies of one text do not make its words terminals. A word weighs as itself or by its
+leading letters (STEMS of them), so
 inflected insults in any language are met. The learned table holds only entries above fixed support and odds: at most
 LEXICON rows. Text is read whole. Null and empty texts have no clauses and score the base rate. Rows without doc_id are
 held in and scored like any other.
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEXICON, STEMS, SUPPORT, THRESHOLD = 50_000, (4, 5, 6, 7), 8, 0.3
+LEXICON, STEMS, SUPPORT, SHARE, VARIETY, THRESHOLD = 50_000, (4, 5, 6, 7), 8, 0.1, 0.5, 0.3
 SENTENCE, TOKEN = re.compile(r"[.!?;\n]+"), re.compile(r"\w+")
 
 # The closed classes of the grammar.
@@ -50,10 +53,23 @@ def learn(docs: DataFrame, labels: DataFrame, max_labels: int | None = None) ->
     p, n = total["p"] or 0, total["n"] - (total["p"] or 0)
     base = math.log((p + 1) / (n + 1))
     pos, neg = F.sum("toxic"), F.sum(1 - F.col("toxic"))
-    counted = rows.select("toxic", F.explode(terms()).alias("term")).groupBy("term").agg(pos.alias("p"), neg.alias("n")).where(F.col("p") >= SUPPORT)
+    counted = rows.select("toxic", F.explode(terms()).alias("term")).groupBy("term").agg(pos.alias("p"), neg.alias("n")).where(F.col("p") >= max(SUPPORT, SHARE * p))
     odds = F.log((F.col("p") + 0.5) / (p + 1)) - F.log((F.col("n") + 0.5) / (n + 1))
     found = counted.withColumn("w", odds).where("w > 2.5").orderBy(F.desc("w"), "term").limit(LEXICON).collect()
-    return {r["term"]: r["w"] for r in found}, base
+    varied = contexts(rows.where("toxic = 1"), [r["term"] for r in found])
+    return {r["term"]: r["w"] for r in found if varied.get(r["term"], 0) >= max(SUPPORT, VARIETY * r["p"])}, base
+
+
+def contexts(rows: DataFrame, candidates: list[str]) -> dict[str, int]:
+    """In how many surroundings (the words before and after) rows have each candidate: few, where copies repeat one text."""
+    if not candidates:
+        return {}
+    known = rows.sparkSession.createDataFrame([(t,) for t in candidates], "term string")  # at most LEXICON rows
+    words = rows.select(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(?U)\w+"), F.lit(0)).alias("words"))
+    places = words.select(F.explode(F.transform("words", lambda w, i: F.struct(w.alias("w"), F.xxhash64(F.get("words", i - 1), F.get("words", i + 1)).alias("c")))).alias("x"))
+    stems = [F.when(F.length("x.w") > n, F.concat(F.substring("x.w", 1, n), F.lit("*"))) for n in STEMS]
+    each = places.select("x.c", F.explode(F.array(F.col("x.w"), *stems)).alias("term")).join(F.broadcast(known), "term")
+    return {r["term"]: r["n"] for r in each.groupBy("term").agg(F.approx_count_distinct("c", 0.02).alias("n")).collect()}
 
 
 class Grammar:
