@@ -5,12 +5,14 @@ says what the clause has met (a pending negation, a report verb, a target); an i
 times the factor of the state it is met in. A document's score is a logistic function of its clauses' weights.
 
 The terminals' weights are log odds by document frequency, learned from labelled rows outside the held-out fold: all of
-them, or at most `max_labels` by hash order. A terminal must be in at least SUPPORT and a SHARE of the toxic documents,
-so that the bar grows with the table, and stand in at least SUPPORT surroundings and VARIETY of them for each toxic
-document that has it, so that copies of one text do not make its words terminals. A word weighs as itself or by its
+them, or at most `max_labels` by hash order. Rows of equal text count once (toxic if one of them is). A terminal stands
+for a term that comes again within NEAR words, `term+`, or for one that does not: a syllable met by chance stands alone,
+an insult's stem comes again. A terminal must be in at least SUPPORT toxic texts, whatever their number or language,
+have log odds above ODDS by one standard error, and stand in at least SUPPORT surroundings and VARIETY of them for each
+toxic text that has it, so that near copies of one text do not make its words terminals. A word weighs as itself or by its
 leading letters (STEMS of them), so
-inflected insults in any language are met. The learned table holds only entries above fixed support and odds: at most
-LEXICON rows. Text is read whole. Null and empty texts have no clauses and score the base rate. Rows without doc_id are
+inflected insults in any language are met; a stem whose texts are nearly those of a longer terminal of more weight gives
+way to it. The learned table holds only entries above fixed support and odds: at most LEXICON rows. Text is read whole. Null and empty texts have no clauses and score the base rate. Rows without doc_id are
 held in and scored like any other.
 """
 
@@ -18,12 +20,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEXICON, STEMS, SUPPORT, SHARE, VARIETY, THRESHOLD = 50_000, (4, 5, 6, 7), 8, 0.1, 0.5, 0.3
+from quaestor.llm.common import cut
+
+LEXICON, STEMS, SUPPORT, ODDS, VARIETY, NEAR, THRESHOLD = 50_000, (4, 5, 6, 7), 8, 3.0, 0.5, 100, 0.3
 SENTENCE, TOKEN = re.compile(r"[.!?;\n]+"), re.compile(r"\w+")
 
 # The closed classes of the grammar.
@@ -37,27 +43,71 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def terms() -> Column:
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(?U)\w+"), F.lit(0)))
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
-    return F.array_distinct(F.concat(words, *stems))
+def stems(word: str) -> list[str]:
+    return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
+
+
+def terminals(text: str) -> list[str]:
+    """The terms of a text, with a plus where one comes again within NEAR words."""
+    last: dict[str, int] = {}
+    again = set()
+    for i, word in enumerate(TOKEN.findall(text.lower())):
+        for t in stems(word):
+            if i - last.get(t, -NEAR - 1) <= NEAR:
+                again.add(t)
+            last[t] = i
+    return [t + "+" if t in again else t for t in last]
+
+
+def counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """term, p, n: toxic and other texts that have a terminal, added up in part."""
+    found: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def part() -> pd.DataFrame:
+        names = list(found[0].keys() | found[1].keys())
+        out = pd.DataFrame({"term": pd.Series(names, dtype=object), "p": [found[1][t] for t in names], "n": [found[0][t] for t in names]})
+        for f in found:
+            f.clear()
+        return out.astype({"p": "int64", "n": "int64"})
+
+    for batch in batches:
+        for text, toxic in zip(batch["text"], batch["toxic"]):
+            found[int(toxic)].update(terminals(text))
+            if len(found[0]) + len(found[1]) > 500_000:
+                yield part()
+    yield part()
+
+
+def longest(found: list[tuple[str, int, float]]) -> dict[str, float]:
+    """Weights without the stems that only repeat, with less weight, a longer terminal: 'lose*' beside 'loser'."""
+    longer = defaultdict(list)
+    for t, p, w in found:
+        word, plus = t.rstrip("+*"), "+" * t.endswith("+")
+        for n in STEMS:
+            if len(word) > n or (len(word) == n and "*" not in t):
+                longer[word[:n] + "*" + plus].append((p, w))
+    return {t: w for t, p, w in found if not any(v > w + 1e-9 and q >= 0.9 * p for q, v in longer.get(t, ()))}
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_labels: int | None = None) -> tuple[dict[str, float], float]:
     """(weight of each terminal, base log odds) from labelled rows that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(~held_out() & F.col("text").isNotNull()).join(known, "doc_id").select("doc_id", "text", "toxic")
+    open_ = docs.where(~held_out() & F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("h"))
+    rows = cut(open_.select("doc_id", "h").join(known, "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")))
     if max_labels:
-        rows = rows.orderBy(F.xxhash64("doc_id")).limit(max_labels)
+        rows = cut(rows.orderBy(F.xxhash64("doc_id")).limit(max_labels))
     total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).first()
     p, n = total["p"] or 0, total["n"] - (total["p"] or 0)
     base = math.log((p + 1) / (n + 1))
-    pos, neg = F.sum("toxic"), F.sum(1 - F.col("toxic"))
-    counted = rows.select("toxic", F.explode(terms()).alias("term")).groupBy("term").agg(pos.alias("p"), neg.alias("n")).where(F.col("p") >= max(SUPPORT, SHARE * p))
+    # The merge join deals equal ids to one task, where one of equal rows is taken without another exchange.
+    texts = open_.join(rows.hint("merge"), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    sums = texts.select("text", "toxic").mapInPandas(counted, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(F.col("p") >= SUPPORT)
     odds = F.log((F.col("p") + 0.5) / (p + 1)) - F.log((F.col("n") + 0.5) / (n + 1))
-    found = counted.withColumn("w", odds).where("w > 2.5").orderBy(F.desc("w"), "term").limit(LEXICON).collect()
-    varied = contexts(rows.where("toxic = 1"), [r["term"] for r in found])
-    return {r["term"]: r["w"] for r in found if varied.get(r["term"], 0) >= max(SUPPORT, VARIETY * r["p"])}, base
+    sums = sums.withColumn("w", odds).where(F.col("w") - F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5)) > ODDS)
+    found = sums.orderBy(F.desc("w"), "term").limit(LEXICON).collect()
+    toxic = open_.join(F.broadcast(rows.where("toxic = 1").select("doc_id", "h")), ["doc_id", "h"])
+    varied = contexts(toxic, sorted({r["term"].rstrip("+") for r in found}))
+    return longest([(r["term"], r["p"], r["w"]) for r in found if varied.get(r["term"].rstrip("+"), 0) >= max(SUPPORT, VARIETY * r["p"])]), base
 
 
 def contexts(rows: DataFrame, candidates: list[str]) -> dict[str, int]:
@@ -67,8 +117,8 @@ def contexts(rows: DataFrame, candidates: list[str]) -> dict[str, int]:
     known = rows.sparkSession.createDataFrame([(t,) for t in candidates], "term string")  # at most LEXICON rows
     words = rows.select(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(?U)\w+"), F.lit(0)).alias("words"))
     places = words.select(F.explode(F.transform("words", lambda w, i: F.struct(w.alias("w"), F.xxhash64(F.get("words", i - 1), F.get("words", i + 1)).alias("c")))).alias("x"))
-    stems = [F.when(F.length("x.w") > n, F.concat(F.substring("x.w", 1, n), F.lit("*"))) for n in STEMS]
-    each = places.select("x.c", F.explode(F.array(F.col("x.w"), *stems)).alias("term")).join(F.broadcast(known), "term")
+    short = [F.when(F.length("x.w") > n, F.concat(F.substring("x.w", 1, n), F.lit("*"))) for n in STEMS]
+    each = places.select("x.c", F.explode(F.array(F.col("x.w"), *short)).alias("term")).join(F.broadcast(known), "term")
     return {r["term"]: r["n"] for r in each.groupBy("term").agg(F.approx_count_distinct("c", 0.02).alias("n")).collect()}
 
 
@@ -77,22 +127,31 @@ class Grammar:
 
     def __init__(self, weights: dict[str, float], base: float):
         self.weights, self.base, self.memo = weights, base, {}
+        self.place, self.last = 0, {}  # the word's place in the document, and each term's last one
 
-    def insult(self, word: str) -> float:
+    def known(self, word: str) -> list[tuple[str, float, float]]:
+        """The learned terms of a word, with their weights once and again."""
         got = self.memo.get(word)
         if got is None:
-            got = self.weights.get(word) or max((self.weights.get(word[:n] + "*", 0.0) for n in STEMS if len(word) > n), default=0.0)
-            if word in THREATS:
-                got = max(got, 0.5)
+            pairs = [(t, self.weights.get(t, 0.0), self.weights.get(t + "+", 0.0)) for t in stems(word)]
+            got = [(t, w, max(w, v)) for t, w, v in pairs if w or v]
             if len(self.memo) < 1_000_000:
                 self.memo[word] = got
         return got
 
+    def insult(self, word: str) -> float:
+        most = 0.5 if word in THREATS else 0.0
+        for t, once, again in self.known(word):
+            most = max(most, again if self.place - self.last.get(t, -NEAR - 1) <= NEAR else once)
+            self.last[t] = self.place
+        return most
+
     def clause(self, text: str) -> float:
         """The weight of one matched clause; 0 if nothing is matched."""
         negated = reported = targeted = False
         most = 0.0
         for word in TOKEN.findall(text):
+            self.place += 1
             if w := self.insult(word):
                 factor = (0.8 if negated else 1.0) * (0.9 if reported else 1.0) * (1.1 if targeted else 1.0)
                 most, negated = max(most, w * factor), False
@@ -105,6 +164,7 @@ class Grammar:
         return most
 
     def score(self, text: str | None) -> float:
+        self.place, self.last = 0, {}
         weights = sorted((w for c in SENTENCE.split((text or "").lower()) if (w := self.clause(c))), reverse=True)
         x = self.base + sum(w * 0.5**i for i, w in enumerate(weights[:30]))
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
