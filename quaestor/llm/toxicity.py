@@ -1,8 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Five transducers are composed over the words of a clause: insult, threat, target, negation and reported speech. A state
-says what the clause has met (a pending negation, a report verb, a target); an insult or threat word emits its weight
-times the factor of the state it is met in. A document's score is a logistic function of its clauses' weights.
+says what the clause has met (a negation within SCOPE words, a report verb, a target); an insult emits its learned weight,
+by TARGETED times more with a target before it, and a threat word with a target within SCOPE words after it emits
+THREAT times what a document needs to be rejected, at any base rate. What is negated, reported or a threat word without
+target matches no clause: all of it in a document adds WEAK of that need at most, so it never rejects one. A document's
+score is a logistic function of its clauses' weights. Quotation marks are not read: reported speech needs its verb.
 
 The terminals' weights are log odds by document frequency, learned from labelled rows outside the held-out fold: all of
 them, or at most `max_labels` by hash order. Rows of equal text count once (toxic if one of them is). A terminal stands
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from quaestor.llm.common import cut
 
 LEXICON, STEMS, SUPPORT, ODDS, VARIETY, NEAR, THRESHOLD = 50_000, (4, 5, 6, 7), 8, 3.0, 0.5, 100, 0.3
+SCOPE, TARGETED, THREAT, WEAK = 3, 1.1, 1.5, 0.5
 SENTENCE, TOKEN = re.compile(r"[.!?;\n]+"), re.compile(r"\w+")
 
 # The closed classes of the grammar.
@@ -123,10 +127,11 @@ def contexts(rows: DataFrame, candidates: list[str]) -> dict[str, int]:
 
 
 class Grammar:
-    """The composed transducers; state: (negated, reported, targeted)."""
+    """The composed transducers; state: (place of the last negation and threat, reported, targeted)."""
 
     def __init__(self, weights: dict[str, float], base: float):
         self.weights, self.base, self.memo = weights, base, {}
+        self.need = math.log(THRESHOLD / (1 - THRESHOLD)) - base
         self.place, self.last = 0, {}  # the word's place in the document, and each term's last one
 
     def known(self, word: str) -> list[tuple[str, float, float]]:
@@ -140,33 +145,42 @@ class Grammar:
         return got
 
     def insult(self, word: str) -> float:
-        most = 0.5 if word in THREATS else 0.0
+        most = 0.0
         for t, once, again in self.known(word):
             most = max(most, again if self.place - self.last.get(t, -NEAR - 1) <= NEAR else once)
             self.last[t] = self.place
         return most
 
-    def clause(self, text: str) -> float:
-        """The weight of one matched clause; 0 if nothing is matched."""
-        negated = reported = targeted = False
+    def clause(self, text: str) -> tuple[float, bool]:
+        """The weight of a matched clause, 0 if nothing is matched, and whether it has a weak match."""
+        reported = targeted = weak = False
+        negation = threat = self.place - SCOPE  # farther than SCOPE from the next word
         most = 0.0
         for word in TOKEN.findall(text):
             self.place += 1
+            held = reported or self.place - negation <= SCOPE
             if w := self.insult(word):
-                factor = (0.8 if negated else 1.0) * (0.9 if reported else 1.0) * (1.1 if targeted else 1.0)
-                most, negated = max(most, w * factor), False
+                weak = weak or held
+                most = max(most, 0.0 if held else w * (TARGETED if targeted else 1.0))
+            elif word in THREATS:
+                weak, threat = True, threat if held else self.place
             elif word in NEGATIONS:
-                negated = True
+                negation = self.place
             elif word in REPORTS:
                 reported = True
             elif word in TARGETS:
                 targeted = True
-        return most
+                if self.place - threat <= SCOPE:
+                    most = max(most, THREAT * self.need)
+        return most, weak
 
     def score(self, text: str | None) -> float:
         self.place, self.last = 0, {}
-        weights = sorted((w for c in SENTENCE.split((text or "").lower()) if (w := self.clause(c))), reverse=True)
+        found = [self.clause(c) for c in SENTENCE.split((text or "").lower())]
+        weights = sorted((w for w, _ in found if w), reverse=True)
         x = self.base + sum(w * 0.5**i for i, w in enumerate(weights[:30]))
+        if any(weak for _, weak in found):
+            x += WEAK * self.need if not weights else 0.0
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
 
 

@@ -35,3 +35,13 @@ def test_copies_count_once(spark):
     rows = [(i, "one text with oddword in it and oddword too", 1) for i in range(200)] + [(i, f"clean text {i} of words", 0) for i in range(200, 600)]
     weights, base = toxicity.learn(spark.createDataFrame([r[:2] for r in rows], DOCS), spark.createDataFrame([(r[0], r[2]) for r in rows], LABELS))
     assert not weights and base < math.log(2 / 250)
+
+
+def test_clauses_decide():
+    """At base rates from 1 in 1,000 to 3 in 10, with the weights learned there."""
+    for share in (0.001, 0.1, 0.29):
+        grammar = toxicity.Grammar({"idiot": 9.0, "idiot+": 9.0}, math.log(share / (1 - share)))
+        rejected = lambda t: grammar.score(t) >= toxicity.THRESHOLD
+        assert rejected("You are an idiot.") and rejected("Such an idiot") and rejected("We will kill you.") and rejected("She is not tall but an idiot")
+        assert not rejected("He is not an idiot. " * 50) and not rejected("She said that he was an idiot. " * 50)
+        assert not rejected("They kill time. We will not kill you. He said we will kill you. " * 50) and not rejected("A calm text") and not rejected(None)
