@@ -15,7 +15,9 @@ have log odds above ODDS by one standard error, and stand in at least SUPPORT su
 toxic text that has it, so that near copies of one text do not make its words terminals. A word weighs as itself or by its
 leading letters (STEMS of them), so
 inflected insults in any language are met; a stem whose texts are nearly those of a longer terminal of more weight gives
-way to it. The learned table holds only entries above fixed support and odds: at most LEXICON rows. Text is read whole. Null and empty texts have no clauses and score the base rate. Rows without doc_id are
+way to it. The learned table holds only entries above fixed support and odds: at most LEXICON rows. Text is read whole. The base rate
+is that of the labels, PRIOR at most (also without labels, when only threats match): no document is rejected without a
+matched clause. Null and empty texts have no clauses and score the base rate. Rows without doc_id are
 held in and scored like any other.
 """
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from quaestor.llm.common import cut
 
 LEXICON, STEMS, SUPPORT, ODDS, VARIETY, NEAR, THRESHOLD = 50_000, (4, 5, 6, 7), 8, 3.0, 0.5, 100, 0.3
-SCOPE, TARGETED, THREAT, WEAK = 3, 1.1, 1.5, 0.5
+SCOPE, TARGETED, THREAT, WEAK, PRIOR = 3, 1.1, 1.5, 0.5, 0.1
 SENTENCE, TOKEN = re.compile(r"[.!?;\n]+"), re.compile(r"\w+")
 
 # The closed classes of the grammar.
@@ -102,7 +104,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labels: int | None = None) ->
         rows = cut(rows.orderBy(F.xxhash64("doc_id")).limit(max_labels))
     total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).first()
     p, n = total["p"] or 0, total["n"] - (total["p"] or 0)
-    base = math.log((p + 1) / (n + 1))
+    base = min(math.log((p + 1) / (n + 1)), math.log(PRIOR / (1 - PRIOR)))
     # The merge join deals equal ids to one task, where one of equal rows is taken without another exchange.
     texts = open_.join(rows.hint("merge"), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     sums = texts.select("text", "toxic").mapInPandas(counted, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(F.col("p") >= SUPPORT)

@@ -45,3 +45,10 @@ def test_clauses_decide():
         assert rejected("You are an idiot.") and rejected("Such an idiot") and rejected("We will kill you.") and rejected("She is not tall but an idiot")
         assert not rejected("He is not an idiot. " * 50) and not rejected("She said that he was an idiot. " * 50)
         assert not rejected("They kill time. We will not kill you. He said we will kill you. " * 50) and not rejected("A calm text") and not rejected(None)
+
+
+def test_no_match_no_rejection(spark):
+    docs = spark.createDataFrame([(i, f"plain words {i}") for i in range(40)] + [(40, None), (41, ""), (42, "we will kill you")], DOCS)
+    for labels in ([], [(i, 1) for i in range(40)], [(i, int(i % 4 > 0)) for i in range(40)]):
+        got = toxicity.scored(docs, docs, spark.createDataFrame(labels, LABELS)).collect()
+        assert {r["doc_id"] for r in got if r["predicted"]} == {42} and len(got) == 43
