@@ -33,9 +33,14 @@ def verdicts(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) -> Dat
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    lost = verdicts(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("_lost")), "left_anti")
+    """The rows of docs that stay, with all their columns: one for each text, also where ids are null or repeat."""
+    seen = verdicts(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"))
+    seen = seen.where(~F.col("_kept") | (F.col("_n") > 1))
+    marked = docs.withColumn("_text_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha"))
+    once = marked.join(seen, same, "left_anti").select(*docs.columns)
+    again = marked.join(seen.where("_kept"), same).groupBy("_text_sha").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return once.unionByName(again)
 
 
 SQL = """
