@@ -23,6 +23,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df, for a broadcast if it is counted to hold at most `most` rows; beyond, joins shuffle it. For narrow rows only."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
 def buckets_for(rows: int) -> int:
     """Buckets of about 250,000 rows each; at least 64."""
     return max(64, rows // 250_000)
