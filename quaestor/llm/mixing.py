@@ -1,22 +1,27 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-The words of a source, document after document, are cut into blocks of BLOCK words. Source s gets target / BLOCK output
-slots; a hash deals each slot to an output shard, which draws the multinomial source counts of the shards given their
-sum. Slot k of an epoch takes block (a * k + b) mod n, a permutation of the n blocks as the prime a does not divide n.
-Blocks and slots are joined by (source, block).
-
-Null text has no words; null source is a source of its own, the last. Repeated rows are documents of their own. Targets
-are the water level of weights under the caps: sources in the order of cap / weight, closed form, no loop.
+The words of a source, document after document, are packed into blocks of BLOCK words. The mix is a sequence of output
+shards of about SHARD slots; a source has target / BLOCK slots. Each output shard's counts by source are a multinomial
+draw, given that a source's counts add up to its slots (so that targets are met to the word). The counts, added up over
+the shards, are ranges of the source's slots; slot k is index k mod n of epoch k / n, and an epoch's pseudorandom
+permutation (swap-or-not, ROUNDS rounds, any n) maps the index to a block. Blocks and slots are joined by (source, block).
+The words left over by full blocks are the last slot of an epoch, and a source's last slot is cut to the words it needs.
+
+Null text has no words; null source is a source of its own, the last. A row is known by doc_id, source and text; rows that
+repeat all three are documents of their own. An empty table gives an empty result; other columns are not read. Targets
+are the water level of weights under the caps: sources in the order of cap / weight, closed form, no loop (one row for
+each source goes through one task).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import WORD, buckets_for, cut, numbered
+from quaestor.llm.common import WORD, buckets_for, cut, numbered, small
 
-BLOCK, CAP, WEIGHTS, PRIMES = 64, 3, (5, 2, 1), (8388593, 8388587)
+BLOCK, CAP, WEIGHTS, SHARD, ROUNDS = 64, 3, (5, 2, 1), 16_384, 20
+KEY = ("doc_id", "source", "t", "copy")
 
 
 def targets(sizes: DataFrame, share: float = 1.0) -> DataFrame:
@@ -35,62 +40,118 @@ def targets(sizes: DataFrame, share: float = 1.0) -> DataFrame:
     return weighted.select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("weight") * F.col("level")), F.col("cap")).alias("target"), "weight")
 
 
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def laid_out(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, start (words of the source before the document); empty documents too."""
-    sized = cut(docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size")))
-    return cut(numbered(sized, ["source"], [F.col("doc_id"), F.col("size")], F.col("size"), "start", buckets_for(sized.count())))
+    """doc_id, source, t, copy, size, start (words of the source before the document): a row for each row of docs."""
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.select("doc_id", "source", text_key().alias("t"), size.alias("size"))
+    # Rows that repeat everything are counted and numbered.
+    rows = rows.groupBy("doc_id", "source", "t").agg(F.first("size").alias("size"), F.count("*").alias("copies"))
+    rows = cut(rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies"))
+    return cut(numbered(rows, ["source"], [F.col("doc_id"), F.col("t"), F.col("copy")], F.col("size"), "start", buckets_for(rows.count())))
 
 
 def plan(rows: DataFrame, share: float = 1.0) -> DataFrame:
-    """source, source_size, target, blocks, slots of each source."""
+    """source, source_size, target, blocks (full ones), epoch (its slots), words (to take), slots of each source."""
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share)
-    blocks = F.ceil(F.col("source_size") / F.lit(float(BLOCK))).cast("long")
-    slots = F.least(F.round(F.col("target") / F.lit(float(BLOCK))).cast("long"), F.lit(CAP) * blocks)
-    return cut(goal.select("source", "source_size", "target", blocks.alias("blocks"), slots.alias("slots")))
+    goal = goal.withColumn("blocks", F.floor(F.col("source_size") / BLOCK)).withColumn("epoch", F.ceil(F.col("source_size") / BLOCK))
+    goal = goal.withColumn("words", F.least(F.round("target").cast("long"), CAP * F.col("source_size")))
+    full = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(F.lit(0).cast("long"))
+    slots = full * F.col("epoch") + F.ceil((F.col("words") - full * F.col("source_size")) / BLOCK)
+    return cut(goal.select("source", "source_size", "target", "blocks", "epoch", "words", slots.alias("slots")))
+
+
+def dealt(goal: DataFrame, seed: int) -> DataFrame:
+    """goal with shard, low, count: the multinomial counts of the output shards, as ranges of each source's slots."""
+    total = goal.agg(F.sum("slots")).first()[0] or 0
+    shards, tasks = max(1, -(-total // SHARD)), buckets_for(total)
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / 4096)))
+    parts = goal.where("slots > 0").select("source", "slots", part.alias("part")).repartition(tasks, "source", "part")
+    last = F.least(F.col("slots"), (F.col("part") + 1) * 4096) - 1
+    draw = F.pmod(F.xxhash64(F.lit(seed), "source", "slot"), F.lit(shards)).cast("int")
+    drawn = parts.select("source", F.explode(F.sequence(F.col("part") * 4096, last)).alias("slot")).groupBy("source", draw.alias("shard")).agg(F.count("*").alias("count"))
+    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = drawn.withColumn("low", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    return goal.withColumnRenamed("source", "_s").join(drawn, F.col("_s").eqNullSafe(F.col("source"))).drop("_s").repartition(tasks, "source", "shard")
 
 
-def slot_table(goal: DataFrame, seed: int = 17, shards: int = 64, chunk: int = 4096) -> DataFrame:
-    """source, epoch, block, shard: a row for each output slot, dealt out in chunks so that no task holds a source."""
-    chunks = goal.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / chunk))).alias("c")).repartition("source", "c")
-    last = F.least(F.col("slots"), (F.col("c") + 1) * chunk) - 1
-    slots = chunks.select("source", "blocks", F.explode(F.sequence(F.col("c") * chunk, last)).alias("slot"))
-    epoch = F.floor(F.col("slot") / F.col("blocks"))
-    a = F.when(F.col("blocks") % PRIMES[0] == 0, F.lit(PRIMES[1])).otherwise(F.lit(PRIMES[0])).cast("long")
-    shift = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), epoch), F.col("blocks"))
-    block = F.pmod(F.pmod(F.col("slot"), F.col("blocks")) * a + shift, F.col("blocks"))
-    return slots.select("source", epoch.alias("epoch"), block.alias("block"), F.pmod(F.xxhash64(F.lit(seed + 1), "source", "slot"), F.lit(shards)).cast("int").alias("shard"))
+def permuted(index: Column, n: Column, *key: Column | str) -> Column:
+    """A pseudorandom permutation of 0 .. n - 1, named by key: in each round an index and its partner stay or change places."""
+
+    def step(x: Column, i: Column) -> Column:
+        partner = F.pmod(F.pmod(F.xxhash64(F.lit("partner"), *key, i), n) - x, n)
+        swap = F.pmod(F.xxhash64(F.lit("swap"), *key, i, F.greatest(x, partner)), F.lit(2)) == 1
+        return F.when(swap, partner).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index, step)
+
+
+def slot_table(goal: DataFrame, seed: int = 17) -> DataFrame:
+    """source, shard, epoch_no, block, words: a row for each output slot; words is how many of the block it takes."""
+    slots = dealt(goal, seed).withColumn("slot", F.explode(F.sequence(F.col("low"), F.col("low") + F.col("count") - 1)))
+    slots = slots.withColumn("epoch_no", F.floor(F.col("slot") / F.col("epoch"))).withColumn("index", F.pmod("slot", "epoch"))
+    block = F.when(F.col("index") < F.col("blocks"), permuted(F.col("index"), F.greatest(F.col("blocks"), F.lit(1)), F.lit(seed), F.col("source"), F.col("epoch_no"))).otherwise(F.col("index"))
+    left = F.col("words") - F.col("epoch_no") * F.col("source_size") - F.col("index") * BLOCK
+    return slots.select("source", "shard", "epoch_no", block.alias("block"), F.least(left, F.lit(BLOCK)).alias("words"))
 
 
 def pieces(rows: DataFrame, goal: DataFrame, seed: int = 17) -> DataFrame:
-    """doc_id, source, start, from, till, times: how often the mix takes the words [from, till) of a document."""
-    takes = slot_table(goal, seed).groupBy("source", "block").agg(F.count("*").alias("times"))
-    spans = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK))))
-    takes = takes.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "times")
+    """KEY, from, till, takes: how many words of the part [from, till) of a document each slot takes, by shard."""
+    takes = slot_table(goal, seed).groupBy("source", "block").agg(F.collect_list(F.struct("words", "shard")).alias("takes"))  # CAP + 1 at most
+    first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
+    spans = rows.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
+    takes = takes.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "takes").hint("merge")
     joined = spans.join(takes, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
-    low = F.greatest(F.col("start"), F.col("block") * BLOCK) - F.col("start")
-    high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.col("start")
-    return joined.select("doc_id", "source", "start", low.alias("from"), high.alias("till"), "times")
+    at = F.col("block") * BLOCK
+    low, high = F.greatest(F.col("start"), at), F.least(F.col("start") + F.col("size"), at + BLOCK)
+    taken = F.transform("takes", lambda x: F.struct(F.greatest(F.least(x["words"], high - at) - (low - at), F.lit(0)).alias("n"), x["shard"].alias("shard")))
+    return joined.select(*KEY, "size", (low - F.col("start")).alias("from"), (high - F.col("start")).alias("till"), F.filter(taken, lambda x: x["n"] > 0).alias("takes"))
 
 
 def mixed(docs: DataFrame, share: float = 1.0, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken: a row for each document."""
+    """doc_id, size, source_size, target, taken, shards (output shards that take words of it): a row for each document."""
     rows = laid_out(docs)
     goal = plan(rows, share)
-    taken = pieces(rows, goal, seed).select("doc_id", "source", "start", ((F.col("till") - F.col("from")) * F.col("times")).alias("taken"))
-    none = rows.where("size = 0").select("doc_id", "source", F.lit(0).cast("long").alias("start"), "size", F.lit(0).cast("long").alias("taken"))
-    some = rows.where("size > 0").select("doc_id", "source", "start", "size", F.lit(0).cast("long").alias("taken"))
-    both = some.unionByName(taken.withColumn("size", F.lit(0).cast("long"))).groupBy("doc_id", "source", "start").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
-    both = both.unionByName(none.select(both.columns))
+    n = F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    taken = pieces(rows, goal, seed).select(*KEY, F.lit(0).cast("long").alias("size"), n.alias("taken"), F.col("takes.shard").alias("shards"))
+    every = rows.select(*KEY, "size", F.lit(0).cast("long").alias("taken"), F.array().cast("array<int>").alias("shards"))
+    both = every.unionByName(taken).groupBy(*KEY).agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"), F.size(F.array_distinct(F.flatten(F.collect_list("shards")))).alias("shards"))
     goal = goal.select(F.col("source").alias("_s"), "source_size", "target")
-    return both.join(goal, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "size", "source_size", "target", "taken")
+    return both.join(goal, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def materialised(docs: DataFrame, share: float = 1.0, seed: int = 17) -> DataFrame:
-    """docs as the mix takes them: the words taken from a document, in order and repeated; documents never taken go."""
+    """docs as the mix takes them, with all their columns; documents of which nothing is taken go.
+
+    A text is repeated as often as it is taken whole; after it come, on lines of their own, the runs of words that are
+    taken once more, with the white space inside them. n_chars, if there, is counted anew; other columns stay.
+    """
     rows = laid_out(docs)
-    spans = pieces(rows, plan(rows, share), seed).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("from", "till", "times"))).alias("_spans")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_id"))).withColumn("_words", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)))
-    part = lambda s: F.array_join(F.slice("_words", (s["from"] + 1).cast("int"), (s["till"] - s["from"]).cast("int")), " ")
-    rounds = F.transform(F.sequence(F.lit(1), F.lit(CAP)), lambda e: F.array_join(F.transform(F.filter("_spans", lambda s: s["times"] >= e), part), " "))
-    text = F.array_join(F.filter(rounds, lambda t: t != ""), "\n")
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else F.lit(None)).select(*docs.columns)
+    whole = F.col("till") - F.col("from")
+    some = pieces(rows, plan(rows, share), seed)
+    some = some.withColumn("times", F.size(F.filter("takes", lambda x: x["n"] == whole)).cast("long"))
+    some = some.withColumn("part", F.coalesce(F.array_max(F.filter(F.col("takes.n"), lambda n: n < whole)), F.lit(0).cast("long")))
+    spans = some.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("from", "till", "times", "part"))).alias("spans"), F.when(F.sum(whole) == F.first("size"), F.min("times")).otherwise(0).cast("int").alias("full"))
+    spans = spans.select(*[F.col(c).alias(f"{c}_") for c in KEY], "spans", "full").hint("merge")
+    # The documents travel as one struct, so no helper column meets one of theirs.
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", text_key().alias("t"))
+    repeated = small(rows.where("copy = 2").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("t").alias("h")))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("t") == F.col("h"))
+    number = F.row_number().over(Window.partitionBy("doc_id", "source", "t").orderBy("t")).cast("long")
+    keyed = keyed.join(repeated, same, "left_anti").withColumn("copy", F.lit(1).cast("long")).unionByName(keyed.join(repeated, same, "left_semi").withColumn("copy", number))
+    joined = keyed.join(spans, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in KEY])
+    # A generated column, so that the words are cut once and not in each expression that reads them.
+    open_ = F.exists("spans", lambda x: (x["times"] > F.col("full")) | (x["part"] > 0))
+    words = F.when(open_, F.regexp_extract_all(F.col("doc.text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)))
+    joined = joined.select("doc", "spans", "full", F.explode(F.array(words)).alias("words"))
+    run = lambda x, n: F.array_join(F.slice("words", (x["from"] + 1).cast("int"), n.cast("int")), "")
+    once_more = F.transform(F.sequence(F.lit(1), F.lit(CAP)), lambda e: F.when(e > F.col("full"), F.rtrim(F.array_join(F.transform(F.filter("spans", lambda x: x["times"] >= e), lambda x: run(x, x["till"] - x["from"])), ""))).otherwise(""))
+    cut_off = F.transform(F.filter("spans", lambda x: x["part"] > 0), lambda x: F.rtrim(run(x, x["part"])))
+    texts = F.concat(F.array_repeat(F.col("doc.text"), F.col("full")), F.when(open_, F.concat(once_more, cut_off)).otherwise(F.array().cast("array<string>")))
+    joined = joined.select("doc", F.array_join(F.filter(texts, lambda x: x != ""), "\n").alias("text"))
+    kind = dict(docs.dtypes)
+    fresh = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(kind["n_chars"])} if "n_chars" in kind else {})
+    return joined.select(*[fresh.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
