@@ -11,10 +11,13 @@ Null text is empty: its document is the one closing id. Repeated rows are packed
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
-from itertools import combinations_with_replacement
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain, combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -24,44 +27,104 @@ from pyspark.sql import functions as F
 from quaestor.llm.common import buckets_for, cut, numbered
 
 WINDOW, GRID, DEPTH, CLOSING = 2048, 64, 4, 1
-RUN = re.compile(r"[^ \t\n\r]+")
+WHITE = re.compile(r"[ \t\n\r]")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+RUN = re.compile(r"[^ \t\n\r]+")
+# The normaliser and splitter of word_bpe_49k.json, for which pieces can be cut here as it cuts them.
+KNOWN = ("Sequence", "NFC", "Replace", r"\s+", "Lowercase"), r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+", re.ASCII)
+#: Characters on which this module and the tokenizer's own code might differ; markers of its added tokens.
+OTHER = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]|<\|")
+MEMO, LONGEST, PART = 600_000, 64, 1 << 20
 
 
-def memoised(coder, most: int = 300_000, longest: int = 64):
-    """text -> ids of a coder whose tokens never span white space, which it drops: runs between white space are coded once.
+class Coder:
+    """ids of texts by a tokenizer file; words are coded once, the unseen ones of a batch together.
 
-    The memory holds at most `most` runs of at most `longest` characters; longer ones are coded each time, whole.
+    For the known splitter, tokens never span white space: text is cut at it, plain runs are cut further into the
+    tokenizer's own pieces, and each piece's ids are remembered (at most MEMO pieces of at most LONGEST characters). Any
+    other tokenizer codes whole texts.
     """
-    memo: dict[str, list[int]] = {}
 
-    def encode(text: str) -> list[int]:
-        out: list[int] = []
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.coder, self.memo = Tokenizer.from_file(path), {}
+        with open(path, "rb") as f:
+            kinds = json.load(f)
+        rule, norm = kinds.get("pre_tokenizer") or {}, kinds.get("normalizer") or {}
+        split = (rule.get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+        steps = [x for n in norm.get("normalizers", []) for x in (n.get("type"), *([n["pattern"].get("Regex")] if "pattern" in n else []))]
+        self.known = ((norm.get("type"), *steps), split) == KNOWN and all(t["content"].startswith("<|") for t in kinds.get("added_tokens", []))
+
+    def pieces(self, text: str) -> list[str]:
+        if not self.known:
+            return [text]
+        if not OTHER.search(text):
+            return PLAIN.findall(text.lower())
+        out: list[str] = []
         for run in RUN.findall(text):
-            ids = memo.get(run)
-            if ids is None:
-                ids = coder.encode(run, add_special_tokens=False).ids
-                if len(run) <= longest:
-                    if len(memo) >= most:
-                        memo.clear()
-                    memo[run] = ids
-            out += ids
+            out += [run] if OTHER.search(run) else PLAIN.findall(run.lower())
         return out
 
-    return encode
+    def parts(self, text: str) -> list[str]:
+        """text cut at white space into parts of about PART characters, so that a long text needs no more memory."""
+        if not self.known or len(text) <= PART:
+            return [text]
+        out, at = [], 0
+        while at < len(text):
+            end = next((m.start() for m in WHITE.finditer(text, at + PART)), len(text))
+            out.append(text[at:end])
+            at = end
+        return out
 
+    def _coded(self, texts: list[str]) -> list[np.ndarray]:
+        cut_up = [self.pieces(t) for t in texts]
+        memo = self.memo
+        unseen = list(set(chain.from_iterable(cut_up)).difference(memo))
+        if len(memo) + len(unseen) > MEMO:
+            memo = self.memo = {}
+            unseen = list(set(chain.from_iterable(cut_up)))
+        memo.update(zip(unseen, (e.ids for e in self.coder.encode_batch_fast(unseen, add_special_tokens=False))))
+        out = [np.fromiter(chain.from_iterable(map(memo.__getitem__, p)), "<u4") for p in cut_up]
+        for p in unseen:
+            if len(p) > LONGEST:
+                del memo[p]
+        return out
 
-def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """The pieces of each document."""
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            parts = self.parts(text)
+            if len(parts) > 1:
+                yield from self._coded(group)
+                group, size = [], 0
+                yield np.concatenate([self._coded([p])[0] for p in parts])
+                continue
+            group.append(text)
+            size += len(text)
+            if size > PART:
+                yield from self._coded(group)
+                group, size = [], 0
+        yield from self._coded(group)
+
+
+@lru_cache(2)
+def coder(path: str) -> Coder:
+    """The worker's coder: what it remembers serves its later tasks too."""
+    return Coder(path)
+
+
+def tokenised(docs: DataFrame, tokenizer: str | Callable[[], str]) -> DataFrame:
+    """The pieces of each document; the file is named by its path, or by a function that finds it where the task runs."""
 
     def pieces(batches):
-        from tokenizers import Tokenizer
-
-        encode = memoised(Tokenizer.from_file(tokenizer))
+        own = coder(tokenizer() if callable(tokenizer) else tokenizer)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = np.array([*encode(text or ""), CLOSING], "<u4")
+            for doc_id, ids in zip(batch["doc_id"], own.encode(list(batch["text"]))):
+                ids = np.append(ids, np.array([CLOSING], "<u4"))
                 n, at = len(ids), 0
                 tail = n % WINDOW
                 for length in [*[WINDOW] * (n // WINDOW), tail - tail % GRID, tail % GRID]:
@@ -133,7 +196,7 @@ def patterns(histogram: dict[int, int]) -> list[tuple[list[int], int]]:
     return out
 
 
-def packed(docs: DataFrame, tokenizer: str) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str | Callable[[], str]) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece."""
     pieces = cut(tokenised(docs, tokenizer))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most WINDOW rows

@@ -8,6 +8,12 @@ from quaestor.llm import exact_dedup, html_text, licences, mixing, neardup, pack
 from quaestor.llm.common import table
 
 
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), 24)
 
@@ -21,9 +27,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return packing.packed(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+    return packing.packed(table(spark, sf_dir, "documents"), word_bpe)
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
