@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quaestor.llm import exact_dedup, mixing, neardup, packing, toxicity
 from quaestor.llm.common import cut, table
+from quaestor.llm.queries import word_bpe
 
 ORACLE_SQL = None  # a learned grammar, MinHash links and a tokenizer are beyond SQL
 
@@ -31,9 +32,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return packing.packed(docs, str(public_tokenizers.path("word_bpe_49k.json")))
+    return packing.packed(docs, word_bpe)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]
