@@ -3,15 +3,17 @@
 A node's features are its tag, tokens of its class, id and role, depth, sibling statistics, subtree text and link density.
 The trees are trained here, on pages drawn from a seeded generator of page layouts (SAMPLE pages): a node is positive if
 it holds main text. Decoding takes the labelling of most log odds in which no kept node lies under a dropped one.
-Scripts, styles, templates and form controls are never text.
+Scripts, styles, templates and form controls are never text;
+a form is a node like any other, known by its controls, so a page that is one form keeps its article.
 
 A block is a run of text between block-level tags; <br> is white space. Null and empty pages, and pages without main
-text, give the empty text. Repeated rows are extracted each. Other columns are not read. Pages are parsed whole.
+text, give the empty text, an empty table an empty result. Repeated rows are extracted each. Other columns are not read. Pages are parsed whole.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -20,21 +22,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, TREES, DEPTH, RATE, BINS = 120, 50, 3, 0.2, 33
+SAMPLE, TREES, DEPTH, RATE, BINS = 240, 60, 3, 0.2, 33
 # HTML's own tag classes.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-NEVER = {"script", "style", "noscript", "template", "head", "title", "iframe", "svg", "object", "button", "select", "option", "textarea", "form", "canvas", "datalist"}
+NEVER = {"script", "style", "noscript", "template", "head", "title", "iframe", "svg", "object", "button", "select", "option", "textarea", "canvas", "datalist"}
+CONTROLS = {"input", "textarea", "select", "button"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-TAGS = ("div", "p", "a", "ul", "ol", "li", "nav", "header", "footer", "aside", "article", "main", "section", "h1", "h2", "h3", "span", "b", "i", "em", "strong", "table", "tr", "td", "blockquote", "pre", "figure", "body", "html")
+TAGS = ("div", "p", "a", "ul", "ol", "li", "nav", "header", "footer", "aside", "article", "main", "section", "h1", "h2", "h3", "span", "b", "i", "em", "strong", "table", "tr", "td", "blockquote", "pre", "figure", "body", "html", "form", "label", "fieldset")
 # Attribute tokens that page authors use.
 GOOD = ("article", "content", "post", "entry", "story", "main", "text", "body", "page")
 BAD = ("nav", "menu", "header", "footer", "sidebar", "side", "ad", "ads", "advert", "banner", "sponsor", "promo", "cookie", "consent", "notice", "comment", "comments", "share", "social", "related", "breadcrumb", "popup", "modal", "subscribe", "newsletter", "widget", "copyright", "login", "search", "toolbar", "discussion", "replies", "reply", "alert", "disclaimer", "recommended", "pagination")
 
 
 class Node:
-    __slots__ = ("tag", "tokens", "parent", "items", "text", "links", "depth", "nth", "good", "blocks")
+    __slots__ = ("tag", "tokens", "parent", "items", "text", "links", "depth", "nth", "good", "blocks", "controls", "sibs", "same")
 
     def __init__(self, tag: str, attrs, parent: Node | None):
         self.tag, self.parent, self.items = tag, parent, []
@@ -42,7 +45,7 @@ class Node:
         self.tokens = set(re.findall(r"[a-z]+", words))
         self.good = any(k == "data-main" for k, _ in attrs)
         self.depth = parent.depth + 1 if parent else 0
-        self.nth = 0
+        self.nth, self.sibs, self.same = 0, 1, 1
 
 
 class Dom(HTMLParser):
@@ -95,14 +98,17 @@ def parse(html: str | None) -> list[Node]:
         n = stack.pop()
         nodes.append(n)
         kids = [c for c in n.items if isinstance(c, Node) and c.tag not in NEVER]
+        every = [c.tag for c in n.items if isinstance(c, Node)]
+        tags = Counter(every)
         for i, c in enumerate(kids):
-            c.nth = i
+            c.nth, c.sibs, c.same = i, len(every), tags[c.tag]
         stack.extend(reversed(kids))
     for n in reversed(nodes):
         kids = [c for c in n.items if isinstance(c, Node) and c.tag not in NEVER]
         own = sum(len(c.strip()) for c in n.items if isinstance(c, str))
         n.text = own + sum(c.text for c in kids)
         n.links = n.text if n.tag == "a" else sum(c.links for c in kids)
+        n.controls = sum(isinstance(c, Node) and c.tag in CONTROLS for c in n.items) + sum(c.controls for c in kids)
         n.blocks = (n.tag in ("p", "h1", "h2", "h3", "li")) + sum(c.blocks for c in kids)
     return nodes
 
@@ -115,9 +121,8 @@ def features(nodes: list[Node]) -> np.ndarray:
         up = above.get(id(n.parent), (0, 0, 0)) if n.parent else (0, 0, 0)
         here = (up[0] + good + (n.tag in ("article", "main")), up[1] + bad + (n.tag in ("nav", "footer", "aside", "header")), up[2])
         above[id(n)] = here
-        siblings = [c for c in n.parent.items if isinstance(c, Node)] if n.parent and len(n.parent.items) < 400 else []
         kids = sum(isinstance(c, Node) for c in n.items)
-        rows.append([good, bad, here[0], here[1], n.depth, n.nth, len(siblings) or (len(n.parent.items) if n.parent else 1), kids, np.log1p(n.text), n.text / total, n.links / max(1, n.text), np.log1p(n.text / (1 + n.blocks)), np.log1p(n.parent.text if n.parent else n.text), (n.parent.links / max(1, n.parent.text)) if n.parent else 0, sum(s.tag == n.tag for s in siblings[:60]), *[n.tag == t for t in TAGS], *[n.parent is not None and n.parent.tag == t for t in ("article", "main", "body", "nav", "footer", "aside", "ul", "div", "section")]])
+        rows.append([good, bad, here[0], here[1], n.depth, n.nth, min(n.sibs, 1000), min(kids, 1000), np.log1p(n.text), n.text / total, n.links / max(1, n.text), np.log1p(n.text / (1 + n.blocks)), np.log1p(n.parent.text if n.parent else n.text), (n.parent.links / max(1, n.parent.text)) if n.parent else 0, min(n.same, 1000), n.controls, n.controls / max(1, n.blocks), np.log1p(n.text / (1 + n.controls)), *[n.tag == t for t in TAGS], *[n.parent is not None and n.parent.tag == t for t in ("article", "main", "body", "nav", "footer", "aside", "ul", "div", "section", "form")]])
     return np.array(rows, np.float32)
 
 
@@ -125,23 +130,27 @@ def drawn(rng: np.random.Generator) -> str:
     """A page of the generator; data-main marks what holds main text."""
     pick = lambda *x: x[rng.integers(len(x))]
     words = lambda a, b: " ".join("x" * n for n in rng.integers(1, 9, rng.integers(a, b)).tolist()) + pick(".", "", "!")
+    form = lambda: f'<form class="{pick("search", "login", "signup", "x", "")}"><label>{words(1, 4)}</label><input><p>{words(1, 20)}</p><label>{words(1, 4)}</label><textarea>{words(1, 4)}</textarea>{pick("", f"<p>{words(2, 30)}</p>")}<button>{words(1, 3)}</button></form>'
     links = lambda n: "".join(f'<li><a href="#">{words(1, 3)}</a></li>' for _ in range(n))
     maybe = lambda p, s: s if rng.random() < p else ""
     nav = lambda: pick(f"<nav><ul>{links(rng.integers(2, 9))}</ul></nav>", f'<div class="{pick("menu", "nav", "main-nav", "site-header")}"><ul>{links(rng.integers(2, 9))}</ul></div>', f"<header><p>{words(1, 6)}</p><nav>{links(4)}</nav></header>", f'<div id="header"><h2>{words(1, 5)}</h2></div>')
-    junk = lambda: pick(*[f'<div class="{c}">{t}</div>' for c in [pick(*BAD[5:])] for t in (words(3, 40), f"<p>{words(3, 60)}</p>", f"<h3>{words(1, 4)}</h3><p>{words(5, 40)}</p><p>{words(5, 40)}</p>")] * 8, f"<aside><p>{words(3, 40)}</p></aside>", f"<aside><h3>{words(1, 4)}</h3><ul>{links(5)}</ul></aside>", f'<section id="comments"><div class="comment"><p>{words(3, 60)}</p></div><div class="comment"><p>{words(3, 60)}</p></div></section>')
+    junk = lambda: pick(*[f'<div class="{c}">{t}</div>' for c in [pick(*BAD[5:])] for t in (words(3, 40), f"<p>{words(3, 60)}</p>", f"<h3>{words(1, 4)}</h3><p>{words(5, 40)}</p><p>{words(5, 40)}</p>")] * 8, form(), form(), f"<aside><p>{words(3, 40)}</p></aside>", f"<aside><h3>{words(1, 4)}</h3><ul>{links(5)}</ul></aside>", f'<section id="comments"><div class="comment"><p>{words(3, 60)}</p></div><div class="comment"><p>{words(3, 60)}</p></div></section>')
     M = " data-main"
 
     def part() -> str:
         return pick(*[f"<p{M}>{words(1, 90)}</p>"] * 8, f"<p{M}><b{M}>{words(4, 40)}<br{M}>", f"<p{M}>{words(2, 30)} <a{M} href=x>{words(1, 4)}</a> {words(2, 30)}</p>", f"<h2{M}>{words(1, 8)}</h2>", f"<ul{M}><li{M}>{words(3, 20)}</li><li{M}>{words(3, 20)}</li></ul>", f"<blockquote{M}><p{M}>{words(5, 40)}</p></blockquote>", f"<p{M}>{words(2, 9)} <em{M}>{words(1, 4)}</em> <span{M}>{words(1, 9)}</span></p>", f"<table{M}><tr{M}><td{M}>{words(1, 5)}</td><td{M}>{words(1, 5)}</td></tr></table>", f"<pre{M}>{words(3, 30)}</pre>", f"<div{M}>{words(5, 50)}</div>")
 
-    inner = maybe(0.85, f"<h1{M}>{words(1, 14)}</h1>") + "".join(part() + maybe(0.07, junk()) for _ in range(rng.integers(1, 14)))
+    inner = maybe(0.85, f"<h1{M}>{words(1, 14)}</h1>") + "".join(part() + maybe(0.07, junk()) for _ in range(rng.integers(30, 300) if rng.random() < 0.04 else rng.integers(1, 14)))
     tag = pick("article", "article", "article", "main", f'div class="{pick(*GOOD)}"', f'div id="{pick(*GOOD)}"', "section", "div")
     body = f"<{tag}{M}>{inner}</{tag.split()[0]}>"
     if rng.random() < 0.35:
         w = pick("main", "div", 'div class="container"', 'div id="wrapper"')
         body = f"<{w}{M}>{maybe(0.4, junk())}{body}{maybe(0.5, junk())}</{w.split()[0]}>"
     foot = pick(f"<footer>&copy; {words(1, 4)} {words(3, 25)}</footer>", f'<div class="footer"><p>{words(3, 30)}</p></div>', f"<footer><ul>{links(4)}</ul><p>{words(3, 20)}</p></footer>", "")
-    return f"<html{M}><body{M}>{maybe(0.9, nav())}{maybe(0.7, junk())}{body}{maybe(0.5, junk())}{maybe(0.3, junk())}{foot}</body></html>"
+    page = f"{maybe(0.9, nav())}{maybe(0.7, junk())}{body}{maybe(0.5, junk())}{maybe(0.3, junk())}{foot}"
+    if rng.random() < 0.12:  # pages that are one form
+        page = f"<form{M} action=x><input type=hidden><input type=hidden>{page}</form>"
+    return f"<html{M}><body{M}>{page}</body></html>"
 
 
 def _tree(bins: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int) -> tuple | float:
