@@ -5,13 +5,13 @@ signature are candidates, in two steps that emit no more rows than there are ban
 
 1. Every class is compared with the least class of each of its buckets. Signatures are compared a batch at a time; a
    pair is dropped as soon as the posterior chance (uniform prior) of a similarity at the threshold is below MISS. What
-   survives is verified on whole shingle sets, the likeliest head of a class first, the others only where they would
-   join components.
-2. Buckets that still hold more than one component are open. Their classes are joined by an exact prefix filter: sets
-   with 100 * intersection >= 75 * union share one of the rarest shingles of each (rarest among the open classes), the
-   smaller within a seventh of its set, the larger within a quarter. Pairs of one component are skipped, the component
-   that is most frequent for a shingle stands on one side only, and sizes bound the rest. A class whose own shingles fill
-   its prefix meets nobody. Survivors go through the same Bayesian and exact verification.
+   survives is verified on whole shingle sets, the likeliest head of a class first, the others with step 2 and only
+   where they would join components.
+2. Buckets whose other classes still lie in more than one component are open. Those classes are joined by an exact
+   prefix filter: sets with 100 * intersection >= 75 * union share one of the rarest shingles of each (rarest among the
+   open classes), the smaller within a seventh of its set, the larger within a quarter. Pairs of one component are
+   skipped, the component that is most frequent for a shingle stands on one side only, and sizes bound the rest. A class
+   whose own shingles fill its prefix meets nobody. Survivors go through the same Bayesian and exact verification.
 
 BANDS x ROWS leave a pair at 0.75 without a shared band with chance 2e-5, and only then can it be lost.
 
@@ -211,6 +211,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(pairs.where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * PERCENT).select("a", "b"))
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """id, component of a forest (b, a), where every b has one a below it: pointers are doubled until none moves."""
+    labels = cut(parents.select(F.col("b").alias("id"), F.col("a").alias("component")))
+    while True:
+        up = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
+        moved = cut(labels.join(up, "component", "left").select("id", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("moved")))
+        labels = moved.select("id", "component")
+        if not moved.agg(F.max("moved")).first()[0]:
+            return labels
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component (least id reachable) of every end of edges (a, b), by alternating large and small stars."""
     edges = cut(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u > v").distinct())
@@ -220,12 +231,14 @@ def components(edges: DataFrame) -> DataFrame:
         if now == mark or not now[0]:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(edges.select("v", "v")).distinct()
         mark = now
+        edges = edges.coalesce(1 + now[0] // 100_000)  # few edges need few tasks
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = cut(large.coalesce(1 + now[0] // 100_000))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         stars = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        edges = cut(stars)
+        edges = cut(stars.coalesce(1 + now[0] // 100_000))
 
 
 def placed(rows: DataFrame, found: DataFrame, key: str, name: str) -> DataFrame:
@@ -234,11 +247,6 @@ def placed(rows: DataFrame, found: DataFrame, key: str, name: str) -> DataFrame:
     return rows.join(other, key, "left").withColumn(name, F.coalesce("_c", key)).drop("_c")
 
 
-def across(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
-    return placed(placed(pairs, found, "a", "_x"), found, "b", "_y").where("_x <> _y").drop("_x", "_y")
-
-
 def rare_pairs(sets: DataFrame) -> DataFrame:
     """a, b: the pairs of different components among sets (id, n, grams, c) that the prefix filter leaves."""
     each = sets.select("id", "n", "c", F.explode("grams").alias("gram"))
@@ -247,16 +255,16 @@ def rare_pairs(sets: DataFrame) -> DataFrame:
     # A set's shingles that nobody else has come first in its order; they fill places but meet nothing.
     order = Window.partitionBy("id").orderBy("df", "gram")
     ranked = shared.withColumn("r", F.row_number().over(order)).withColumn("m", F.count("*").over(Window.partitionBy("id")))
-    ranked = ranked.withColumn("place", F.col("n") - F.col("m") + F.col("r"))
+    ranked = ranked.withColumn("place", F.col("n") - F.col("m") + F.col("r")).select("gram", "id", "n", "c", "place")
     need = lambda size: F.col("n") - F.ceil((F.col("n") + size) * PERCENT / (100 + PERCENT)) + 1
     # Classes of size: a tenth wide. A smaller set stands in its own, a larger looks through those it can meet.
     level = lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(1.1)) + 1e-9)
-    smaller = ranked.where(F.col("place") <= need(F.col("n"))).select("gram", level(F.col("n")).alias("k"), "id", "n", "c")
     least = F.ceil(F.col("n") * PERCENT / 100)
+    ranked = cut(ranked.where(F.col("place") <= need(least)))
+    smaller = ranked.where(F.col("place") <= need(F.col("n"))).select("gram", level(F.col("n")).alias("k"), "id", "n", "c")
     larger = ranked.where(F.col("place") <= need(least)).withColumn("k", F.explode(F.sequence(level(least), level(F.col("n")))))
     floor_ = F.greatest(least, F.floor(F.pow(F.lit(1.1), F.col("k")) * (1 - 1e-9)))
     larger = larger.where(F.col("place") <= need(floor_)).select("gram", "k", "id", "n", "c")
-    smaller, larger = cut(smaller), cut(larger)
     counts = smaller.select("gram", "k", "c").unionAll(larger.select("gram", "k", "c")).groupBy("gram", "k", "c").agg(F.count("*").alias("n"))
     leads = counts.groupBy("gram", "k").agg(F.max_by("c", F.struct("n", "c")).alias("lead"), F.count("*").alias("held")).where("held > 1").drop("held")
     s, l = (x.join(leads, ["gram", "k"]).select("gram", "k", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "c")], "lead") for x, side in ((smaller, "s"), (larger, "l")))
@@ -278,18 +286,18 @@ def verdicts(docs: DataFrame) -> DataFrame:
     crowd = classes.select("id", "doc_id", "t", "n", "sig").join(keys.select("id").distinct(), "id", "left_semi")
     sets = cut(sets_of(docs, crowd))
     near = matched(keys.where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), sets)
-    best = cut(near.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")).select("a", "b"))
-    links = verified(best, sets)
-    found = cut(components(links))
-    others = across(near.select("a", "b").join(best, ["a", "b"], "left_anti"), found)
-    links = links.unionByName(verified(others, sets))
-    found = cut(components(links))
-    spread = placed(keys.select("key", "id"), found, "id", "c")
+    best = near.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")).select("a", "b")
+    found = roots(verified(best, sets))
+    ends = cut(placed(placed(near.select("a", "b"), found, "a", "x"), found, "b", "y").where("x <> y"))
+    # Of a bucket, only pairs without its head are untested.
+    spread = placed(keys.where("id > head").select("key", "id"), found, "id", "c")
     opened = spread.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     opened = cut(spread.join(opened, "key", "left_semi").select("id", "c").distinct())
-    rest = rare_pairs(sets.select("id", "n", "grams").join(opened, "id"))
-    links = links.unionByName(verified(matched(rest, sets).select("a", "b"), sets))
-    named = placed(classes.select("id", "digest", "doc_id", "t"), components(links), "id", "c")
+    rest = matched(rare_pairs(sets.select("id", "n", "grams").join(opened, "id")), sets)
+    more = verified(rest.select("a", "b").unionByName(ends.select("a", "b")).distinct(), sets)
+    more = placed(placed(more, found, "a", "x"), found, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    joined = components(more)
+    named = placed(placed(classes.select("id", "digest", "doc_id", "t"), found, "id", "x"), joined, "x", "c")
     first = named.groupBy("c").agg(F.min(F.struct("doc_id", "t")).alias("first"))
     named = named.join(first, "c").select("digest", F.col("first.doc_id").alias("_first"), F.col("first.t").alias("_t"))
     out = every.select("doc_id", "t", "n_shingles", "digest").join(named, "digest", "left")
