@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quaestor.llm.common import WORD, buckets_for, cut, numbered, small
 
-BLOCK, CAP, WEIGHTS, SHARD, ROUNDS = 64, 3, (5, 2, 1), 16_384, 20
+BLOCK, CAP, WEIGHTS, SHARD, ROUNDS = 64, 3, (5, 2, 1), 16_384, 14
 KEY = ("doc_id", "source", "t", "copy")
 
 

@@ -5,8 +5,8 @@ signature are candidates, in two steps that emit no more rows than there are ban
 
 1. Every class is compared with the least class of each of its buckets. Signatures are compared a batch at a time; a
    pair is dropped as soon as the posterior chance (uniform prior) of a similarity at the threshold is below MISS. What
-   survives is verified on whole shingle sets, the likeliest head of a class first, the others with step 2 and only
-   where they would join components.
+   survives is verified on whole shingle sets, the likeliest head of a class first, the others only where they would
+   join components.
 2. Buckets whose other classes still lie in more than one component are open. Those classes are joined by an exact
    prefix filter: sets with 100 * intersection >= 75 * union share one of the rarest shingles of each (rarest among the
    open classes), the smaller within a seventh of its set, the larger within a quarter. Pairs of one component are
@@ -247,6 +247,15 @@ def placed(rows: DataFrame, found: DataFrame, key: str, name: str) -> DataFrame:
     return rows.join(other, key, "left").withColumn(name, F.coalesce("_c", key)).drop("_c")
 
 
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found (id, component) with more links (a, b): only the components that these join are walked."""
+    ends = placed(placed(links, found, "a", "x"), found, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    grown = cut(components(ends))
+    new = placed(found, grown, "component", "c").select("id", F.col("c").alias("component"))
+    alone = grown.join(found.select("id"), "id", "left_anti")
+    return cut(new.unionByName(alone))
+
+
 def rare_pairs(sets: DataFrame) -> DataFrame:
     """a, b: the pairs of different components among sets (id, n, grams, c) that the prefix filter leaves."""
     each = sets.select("id", "n", "c", F.explode("grams").alias("gram"))
@@ -288,16 +297,15 @@ def verdicts(docs: DataFrame) -> DataFrame:
     near = matched(keys.where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), sets)
     best = near.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")).select("a", "b")
     found = roots(verified(best, sets))
-    ends = cut(placed(placed(near.select("a", "b"), found, "a", "x"), found, "b", "y").where("x <> y"))
+    ends = placed(placed(near.select("a", "b"), found, "a", "x"), found, "b", "y").where("x <> y").select("a", "b")
+    found = joined(found, verified(cut(ends), sets))
     # Of a bucket, only pairs without its head are untested.
     spread = placed(keys.where("id > head").select("key", "id"), found, "id", "c")
     opened = spread.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     opened = cut(spread.join(opened, "key", "left_semi").select("id", "c").distinct())
     rest = matched(rare_pairs(sets.select("id", "n", "grams").join(opened, "id")), sets)
-    more = verified(rest.select("a", "b").unionByName(ends.select("a", "b")).distinct(), sets)
-    more = placed(placed(more, found, "a", "x"), found, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    joined = components(more)
-    named = placed(placed(classes.select("id", "digest", "doc_id", "t"), found, "id", "x"), joined, "x", "c")
+    found = joined(found, verified(rest.select("a", "b"), sets))
+    named = placed(classes.select("id", "digest", "doc_id", "t"), found, "id", "c")
     first = named.groupBy("c").agg(F.min(F.struct("doc_id", "t")).alias("first"))
     named = named.join(first, "c").select("digest", F.col("first.doc_id").alias("_first"), F.col("first.t").alias("_t"))
     out = every.select("doc_id", "t", "n_shingles", "digest").join(named, "digest", "left")

@@ -12,8 +12,10 @@ Null text is empty: its document is the one closing id. Repeated rows are packed
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -35,7 +37,7 @@ KNOWN = ("Sequence", "NFC", "Replace", r"\s+", "Lowercase"), r"'s|'t|'re|'ve|'m|
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+", re.ASCII)
 #: Characters on which this module and the tokenizer's own code might differ; markers of its added tokens.
 OTHER = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]|<\|")
-MEMO, LONGEST, PART = 600_000, 64, 1 << 20
+MEMO, LONGEST, PART = 1_000_000, 64, 1 << 20
 
 
 class Coder:
@@ -47,6 +49,7 @@ class Coder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.coder, self.memo = Tokenizer.from_file(path), {}
@@ -85,8 +88,8 @@ class Coder:
         if len(memo) + len(unseen) > MEMO:
             memo = self.memo = {}
             unseen = list(set(chain.from_iterable(cut_up)))
-        memo.update(zip(unseen, (e.ids for e in self.coder.encode_batch_fast(unseen, add_special_tokens=False))))
-        out = [np.fromiter(chain.from_iterable(map(memo.__getitem__, p)), "<u4") for p in cut_up]
+        memo.update(zip(unseen, (array("I", e.ids).tobytes() for e in self.coder.encode_batch_fast(unseen, add_special_tokens=False))))
+        out = [np.frombuffer(b"".join(map(memo.__getitem__, p)), np.uint32).astype("<u4", copy=False) for p in cut_up]
         for p in unseen:
             if len(p) > LONGEST:
                 del memo[p]
