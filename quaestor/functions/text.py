@@ -70,43 +70,78 @@ def route(text: Column) -> Column:
     return F.when(bare < 40, "vision").when(quality(text)["usable"], "digital").otherwise("dirty_ocr_recovered")
 
 
+def _int(text: Column) -> Column:
+    return F.nullif(text, F.lit("")).try_cast("int")
+
+
+def tidy(text: Column) -> Column:
+    """text without white space at both ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def trailing_marks(text: Column) -> Column:
     """struct(clean, marks): a final bracketed mark of 1 to 100 is taken off; otherwise the text stays and marks are null."""
-    pattern = r"(?i)[(\[](\d{1,2})\s*(?:marks?|m)?[)\]]\s*$"
-    found = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("int")
+    pattern = r"(?i)[(\[](\d{1,2})" + SPACE + r"*(?:marks?|m)?[)\]]" + SPACE + "*$"
+    found = _int(F.regexp_extract(text, pattern, 1))
     fine = found.between(1, 100)
-    return F.struct(F.when(fine, F.rtrim(F.regexp_replace(text, pattern, ""))).otherwise(text).alias("clean"), F.when(fine, found).alias("marks"))
+    return F.struct(F.when(fine, tidy(F.regexp_replace(text, pattern, ""))).otherwise(text).alias("clean"), F.when(fine, found).alias("marks"))
 
 
 def part_header(text: Column) -> Column:
     """struct(part, slots, per, total, recovered) of a part heading, null if the line is none.
 
     `n x m = t` is read as printed. Where the equals sign is lost, the digits after the cross are cut at the first place
-    at which slots times marks gives the total.
+    at which slots times marks gives the total, neither being zero; where no place does, they are the marks of one slot.
+    A heading without arithmetic has zeros.
     """
     tight = F.upper(F.regexp_replace(text, SPACE + "+", ""))
-    part = F.regexp_extract(tight, r"^\(?PART[-–—:.]*([ABC])(?![A-Z])", 1)
-    whole = lambda i: F.nullif(F.regexp_extract(tight, r"(\d+)[X×*](\d+)=(\d+)", i), F.lit("")).try_cast("int")
-    slots = F.nullif(F.regexp_extract(tight, r"(\d+)[X×*](\d+)", 1), F.lit("")).try_cast("int")
-    digits = F.regexp_extract(tight, r"(\d+)[X×*](\d+)", 2)
+    head = r"^\(?PART[-–—:.]*([ABC])(?![A-Z])"  # fixed value: how part headings begin
+    part = F.regexp_extract(tight, head, 1)
+    rest = F.regexp_replace(tight, head, "")
+    printed, lost = r"(\d+)[X×*](\d+)=(\d+)", r"(\d+)[X×*](\d+)"
+    slots, digits = _int(F.regexp_extract(rest, lost, 1)), F.regexp_extract(rest, lost, 2)
     cuts = F.when(F.length(digits) > 1, F.sequence(F.lit(1), F.length(digits) - 1))
     sides = F.transform(cuts, lambda i: F.struct(F.substring(digits, F.lit(1), i).try_cast("int").alias("per"), F.substring(digits, i + 1, F.length(digits)).try_cast("int").alias("total")))
-    fit = F.get(F.filter(sides, lambda s: s["per"] * slots == s["total"]), F.lit(0))
-    printed = whole(3).isNotNull()
-    row = F.struct(part.alias("part"), F.coalesce(whole(1), slots).alias("slots"), F.coalesce(whole(2), fit["per"]).alias("per"), F.coalesce(whole(3), fit["total"]).alias("total"), (~printed & fit.isNotNull()).alias("recovered"))
-    return F.when((F.length(text) <= 90) & (part != ""), row)
-
-
-def question_number(raw: Column) -> Column:
-    """struct(number, label): leading digits, then the other tokens in order, once each, joined by hyphens."""
-    number = F.nullif(F.regexp_extract(raw, r"^\s*(\d{1,3})", 1), F.lit(""))
-    rest = F.lower(F.regexp_replace(raw, r"^\s*\d{1,3}", ""))
-    label = F.array_join(F.array_distinct(F.regexp_extract_all(rest, F.lit("[a-z0-9]+"), F.lit(0))), "-")
-    return F.struct(number.alias("number"), F.nullif(label, F.lit("")).alias("label"))
+    fit = F.get(F.filter(sides, lambda s: (s["per"] > 0) & (s["total"] > 0) & (s["per"] * slots == s["total"])), F.lit(0))
+    row = lambda s, p, t, r: F.struct(part.alias("part"), s.alias("slots"), p.alias("per"), t.alias("total"), F.lit(r).alias("recovered"))
+    whole = [_int(F.regexp_extract(rest, printed, i)) for i in (1, 2, 3)]
+    per, zero = F.coalesce(fit["per"], _int(digits)), F.lit(0)
+    found = F.when(rest.rlike(printed), row(*whole, False)).when(rest.rlike(lost), row(slots, per, F.coalesce(fit["total"], slots * per), True)).otherwise(row(zero, zero, zero, True))
+    return F.when((F.length(text) <= 90) & (part != ""), found)
+
+
+def line_class(text: Column, x: Column, page_width: Column) -> Column:
+    """What a line of a paper is: part, or (centred), note, header (of the question table), furniture, or body."""
+    trimmed = tidy(text)
+    sub_part = trimmed.rlike(r"(?i)^\(\s*(?:[ivx]{1,4}|[a-z])\s*\)")
+    note = (F.length(trimmed) <= 90) & trimmed.startswith("(") & trimmed.contains(")") & ~sub_part
+    # The patterns of the lines around questions.
+    furniture = text.rlike(r"(?i)^page\s*\d+\s*(of|/)\s*\d+$") | text.rlike(r"(?i)^roll\s*\.?\s*no\.?[\s._]*$") | ~text.rlike("[A-Za-z0-9]")
+    return (
+        F.when(part_header(text).isNotNull(), "part").when(text.rlike(r"(?i)^o\s*\.?\s*r\.?$") & (x > page_width * 0.2), "or")
+        .when(text.rlike(r"(?i)q\s*\.?\s*no\.?") & text.rlike("(?i)marks"), "header").when(furniture, "furniture").when(note, "note").otherwise("body")
+    )
+
+
+def question_number(raw: Column, label: Column | None = None) -> Column:
+    """struct(number, label): leading digits (else the raw number, trimmed), then runs of letters in order, once each, hyphened."""
+    both = F.concat(F.coalesce(raw, F.lit("")), F.coalesce(label, F.lit(""))) if label is not None else F.coalesce(raw, F.lit(""))
+    lead = r"^\s*(\d{1,3})"
+    number = F.coalesce(F.nullif(F.regexp_extract(both, lead, 1), F.lit("")), tidy(F.coalesce(raw, F.lit(""))))
+    rest = F.lower(F.regexp_replace(both, lead, ""))
+    parts = F.array_join(F.array_distinct(F.regexp_extract_all(rest, F.lit("[a-z]+"), F.lit(0))), "-")
+    return F.struct(number.alias("number"), F.nullif(parts, F.lit("")).alias("label"))
+
+
+def normal_question(number: Column, label: Column, part: Column, or_group: Column, text: Column) -> Column:
+    """struct(number, label, or_group, text): compulsory parts A and C have no alternatives, blanks and tabs shrink to one blank."""
+    split = question_number(number, label)
+    group = F.when(part.isin("A", "C"), F.lit(None)).otherwise(or_group)
+    return F.struct(split["number"].alias("number"), split["label"].alias("label"), group.alias("or_group"), tidy(F.regexp_replace(text, r"[ \t]+", " ")).alias("text"))
 
 
 def college(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.upper(text), r"\b(CEG|MIT)\b", 1), F.lit(""))
+    return F.when(F.upper(text).rlike(r"\bCEG\b"), "CEG").when(F.upper(text).rlike(r"\bMIT\b"), "MIT")
 
 
 def regulation(text: Column) -> Column:
@@ -118,20 +153,19 @@ def subject_code(text: Column) -> Column:
     return F.when(tight.rlike(r"^[A-Z]{2,3}\d{4,5}$"), tight)
 
 
-def filename_hints(name: Column) -> Column:
-    """struct(exam_type, college, paper_set, exam_year) that a file name tells."""
+def filename_hints(name: Column, college_pattern: tuple[str, str] = (r"\bCEG\b", r"\bMIT\b")) -> Column:
+    """struct(exam_type, college, paper_set, exam_year) that a file name tells; crawls and workers differ in college_pattern."""
     upper = F.upper(F.regexp_replace(name, r"(?i)\.pdf$", ""))
     # Words of file names, the first that occurs decides.
-    words = {"supplementary": "SUPPLEMENTARY", "retest": "RE-?TEST", "quiz": "QUIZ", "assessment": "ASSESS", "endsem": "END-?SEM"}
+    words = {"supplementary": "SUPPLEMENTARY", "retest": "RE-?TEST", "quiz": "QUIZ", "assessment": "ASSESS", "endsem": "ENDSEM"}
     kind = F.coalesce(*[F.when(upper.rlike(p), k) for k, p in words.items()])
-    year = F.nullif(F.regexp_extract(upper, r"\b(\d{2})S\d\b", 1), F.lit("")).try_cast("int") + 2000
-    return F.struct(kind.alias("exam_type"), college(name).alias("college"), F.nullif(F.regexp_extract(upper, r"-(BT|OT|RT|GT)\b", 1), F.lit("")).alias("paper_set"), year.alias("exam_year"))
+    year = _int(F.regexp_extract(upper, r"\b(\d{2})S\d\b", 1)) + 2000
+    place = F.when(upper.rlike(college_pattern[0]), "CEG").when(upper.rlike(college_pattern[1]), "MIT")
+    return F.struct(kind.alias("exam_type"), place.alias("college"), F.nullif(F.regexp_extract(upper, r"-(BT|OT|RT|GT)\b", 1), F.lit("")).alias("paper_set"), F.when(year.between(1990, 2100), year).alias("exam_year"))
 
 
-def header_year(text: Column) -> Column:
-    """The first year from 1990 to 2100 that does not follow the word regulation."""
-    years = F.regexp_extract_all(text, F.lit(r"(?i)(?<!regulations?[ \t\n:-]{1,3})\b((?:19|20)\d{2})\b"), F.lit(1))
-    return F.get(F.filter(F.transform(years, lambda y: y.cast("int")), lambda y: y.between(1990, 2100)), F.lit(0))
+#: The college pattern of workers.
+WORKER_COLLEGE = ("-CEG-", "-MIT")
 
 
 def band(marks: Column) -> Column:
@@ -140,9 +174,9 @@ def band(marks: Column) -> Column:
 
 
 def citation(year: Column, session: Column, number: Column, label: Column) -> Column:
-    """As in 2023 NOV Q13(b); what is null is left out."""
+    """As in 2023 NOV-DEC Q13(b): the whole session in capitals; what is null is left out."""
     place = F.concat(F.lit("Q"), number, F.coalesce(F.concat(F.lit("("), label, F.lit(")")), F.lit("")))
-    return F.concat_ws(" ", year.cast("string"), F.upper(F.substring_index(session, "-", 1)), place)
+    return F.concat_ws(" ", year.cast("string"), F.upper(session), place)
 
 
 def json_body(text: Column, schema: str) -> Column:
@@ -150,23 +184,47 @@ def json_body(text: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), schema, {"mode": "PERMISSIVE"})
 
 
-def retry_advice(status: Column, message: Column, default_s: float = 60.0) -> Column:
-    """struct(retryable, after_s) of a provider's failure."""
-    low = F.lower(F.coalesce(message, F.lit("")))
-    after = F.nullif(F.regexp_extract(low, r"retry[^0-9]{0,20}(\d+(?:\.\d+)?)\s*s", 1), F.lit("")).try_cast("double")
-    again = F.coalesce(status.isin(429, 408) | (status >= 500), F.lit(False)) | low.rlike("quota|rate|unavailable")
-    return F.struct(again.alias("retryable"), F.when(again, F.coalesce(after, F.lit(default_s))).alias("after_s"))
+def retry_advice(status: Column, message: Column, default_ms: int = 60_000) -> Column:
+    """struct(retryable, after_ms) of a provider's failure."""
+    text = F.coalesce(message, F.lit(""))
+    # The words by which providers say "later".
+    later = r"(?i)resource[_\s-]?exhausted|quota|rate.?limit|overloaded|unavailable|deadline"
+    after = F.nullif(F.regexp_extract(text, r'(?i)retry(?:Delay|-after)"?[:\s]+"?(\d+)s?', 1), F.lit("")).try_cast("long") * 1000
+    again = F.coalesce(status.isin(429, 408) | (status >= 500), F.lit(False)) | text.rlike(later)
+    return F.struct(again.alias("retryable"), F.when(again, F.coalesce(after, F.lit(default_ms).cast("long"))).alias("after_ms"))
 
 
-#: Bounds of question and paper rows: column, lowest, highest.
+# Bounds of question and paper rows: column, lowest, highest.
 BOUNDS = (("marks", 0, 100), ("co", 1, 12), ("bl", 1, 6), ("page_no", 1, None), ("confidence", 0, 1), ("exam_year", 1990, 2100), ("semester", 1, 12), ("total", 0, 1000))
 
 
 def violations(columns: list[str]) -> Column:
-    """The sorted names of the columns outside their bounds; null values pass, columns without bounds are not looked at."""
+    """The sorted names of the columns that break a rule; null values pass, columns without rules are not looked at.
+
+    Numbers keep their bounds, q_number has 1 to 20 characters, text is not empty.
+    """
     checks = []
     for name, low, high in BOUNDS:
         if name in columns:
             bad = F.col(name) < low if high is None else ~F.col(name).between(low, high)
             checks.append(F.when(bad, F.lit(name)))
+    for name, most in (("q_number", 20), ("text", None)):
+        if name in columns:
+            size = F.length(name)
+            checks.append(F.when(size < 1 if most is None else ~size.between(1, most), F.lit(name)))
     return F.array_sort(F.array_compact(F.array(*checks))) if checks else F.array().cast("array<string>")
+
+
+# The enumerated domains that table checks hold rows to.
+DOMAINS = {
+    "exam_type": ("endsem", "assessment", "quiz", "supplementary", "retest"), "text_source": ("digital", "vision", "dirty_ocr_recovered"), "part": ("A", "B", "C"),
+    "regime": ("high", "medium", "low"), "status": ("provisional", "confirmed", "disputed"), "kind": ("prerequisite", "related"), "mode": ("night_before", "mastery"), "depth": ("cram", "full"),
+}
+
+
+def broken_checks(columns: dict[str, str], loop: tuple[str, str] | None = None) -> Column:
+    """The sorted names of broken table checks: columns (column -> domain) outside their domain, and a row that leads to itself."""
+    checks = [F.when(~F.col(c).isin(*DOMAINS[d]), F.lit(c)) for c, d in columns.items()]
+    if loop:
+        checks.append(F.when(F.col(loop[0]) == F.col(loop[1]), F.lit("self_loop")))
+    return F.array_sort(F.array_compact(F.array(*checks)))

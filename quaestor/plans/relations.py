@@ -21,7 +21,7 @@ def paper_question_order(spark, sf_dir):
     return rows.select("paper_id", "number", "label", "part_id", "marks", F.row_number().over(order).cast("long").alias("place"))
 
 
-@query(LABELLED + "SELECT paper_id, number, label, CAST(exam_year AS VARCHAR) || ' ' || upper(split_part(session, '-', 1)) || ' Q' || CAST(number AS VARCHAR) || coalesce('(' || label || ')', '') AS citation FROM labelled")
+@query(LABELLED + "SELECT paper_id, number, label, CAST(exam_year AS VARCHAR) || ' ' || upper(session) || ' Q' || CAST(number AS VARCHAR) || coalesce('(' || label || ')', '') AS citation FROM labelled")
 def citation_trail(spark, sf_dir):
     rows = binding.labelled(spark, sf_dir)
     return rows.select("paper_id", "number", "label", text.citation(F.col("exam_year"), F.col("session"), F.col("number").cast("string"), F.col("label")).alias("citation"))
