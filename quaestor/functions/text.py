@@ -110,17 +110,34 @@ def part_header(text: Column) -> Column:
     return F.when((F.length(text) <= 90) & (part != ""), found)
 
 
-def line_class(text: Column, x: Column, page_width: Column) -> Column:
-    """What a line of a paper is: part, or (centred), note, header (of the question table), furniture, or body."""
+# The patterns of the lines around questions, and of the starts of questions and their parts.
+QUESTION_START = r"^\(?\s*(\d{1,2})\s*[.)]?\s*(?:\(\s*([a-dA-D])\s*\))?\s*"
+PART_START = r"^\(\s*([^)\s]{0,4})\s*\)\s*"
+
+
+def furniture(text: Column) -> Column:
+    return text.rlike(r"(?i)^page\s*\d+\s*(of|/)\s*\d+$") | text.rlike(r"(?i)^roll\s*\.?\s*no\.?[\s._]*$") | ~text.rlike("[A-Za-z0-9]")
+
+
+def table_header(text: Column) -> Column:
+    return text.rlike(r"(?i)q\s*\.?\s*no\.?") & text.rlike("(?i)marks")
+
+
+def or_marker(text: Column, x: Column, page_width: Column) -> Column:
+    """The word between alternatives: it stands alone, and not at the left edge."""
+    return text.rlike(r"(?i)^o\s*\.?\s*r\.?$") & (x > page_width * 0.2)
+
+
+def note(text: Column) -> Column:
+    """Instructions in brackets under a heading; a part of a question is none."""
     trimmed = tidy(text)
-    sub_part = trimmed.rlike(r"(?i)^\(\s*(?:[ivx]{1,4}|[a-z])\s*\)")
-    note = (F.length(trimmed) <= 90) & trimmed.startswith("(") & trimmed.contains(")") & ~sub_part
-    # The patterns of the lines around questions.
-    furniture = text.rlike(r"(?i)^page\s*\d+\s*(of|/)\s*\d+$") | text.rlike(r"(?i)^roll\s*\.?\s*no\.?[\s._]*$") | ~text.rlike("[A-Za-z0-9]")
-    return (
-        F.when(part_header(text).isNotNull(), "part").when(text.rlike(r"(?i)^o\s*\.?\s*r\.?$") & (x > page_width * 0.2), "or")
-        .when(text.rlike(r"(?i)q\s*\.?\s*no\.?") & text.rlike("(?i)marks"), "header").when(furniture, "furniture").when(note, "note").otherwise("body")
-    )
+    return (F.length(trimmed) <= 90) & trimmed.startswith("(") & trimmed.contains(")") & ~trimmed.rlike(PART_START)
+
+
+def line_class(text: Column, x: Column, page_width: Column) -> Column:
+    """What a line of a paper is: furniture, part, note, header (of the question table), or (centred), or body."""
+    kinds = (("furniture", furniture(text)), ("part", part_header(text).isNotNull()), ("note", note(text)), ("header", table_header(text)), ("or", or_marker(text, x, page_width)))
+    return F.coalesce(*[F.when(hit, name) for name, hit in kinds], F.lit("body"))
 
 
 def question_number(raw: Column, label: Column | None = None) -> Column:
