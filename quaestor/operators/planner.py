@@ -7,7 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 
-PLAN = "subject_id int, step long, concept_id string, phase string, unit_no int, cost long, expected_marks double, planned long, reserve long"
+PLAN = "subject_id int, step long, concept_id string, phase string, unit_no int, cost long, expected_marks double, planned long, reserve long, expected_total double, unit_minutes array<long>, uncovered array<int>"
 
 
 def reserve_of(budget: int, share: float = 0.15) -> int:
@@ -35,14 +35,20 @@ def plan(concepts: list[dict], budget: int, units: list[int], enough: int = 25)
     return list(steps.values())
 
 
+def unit_minutes(steps: list[dict], units: list[int]) -> list[int]:
+    """The minutes that steps spend on each unit; a concept of two units counts for both."""
+    return [sum(s["cost"] for s in steps if u in s["units"]) for u in units]
+
+
 def planned(concepts: DataFrame, budget: int = 120, units: tuple = (1, 2, 3, 4, 5)) -> DataFrame:
     """PLAN for each subject of concepts (subject_id, concept_id, units, cost, expected_marks, place); a group is a syllabus."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place")
         steps = plan([{**r, "units": list(r["units"])} for r in rows.to_dict("records")], budget, list(units))
-        total = sum(s["cost"] for s in steps)
-        out = [(s["subject_id"], i + 1, s["concept_id"], s["phase"], s["unit_no"], s["cost"], s["expected_marks"], total, reserve_of(budget)) for i, s in enumerate(steps)]
+        total, worth, minutes = sum(s["cost"] for s in steps), sum(s["expected_marks"] for s in steps), unit_minutes(steps, list(units))
+        bare = [u for u, m in zip(units, minutes) if m == 0]
+        out = [(s["subject_id"], i + 1, s["concept_id"], s["phase"], s["unit_no"], s["cost"], s["expected_marks"], total, reserve_of(budget), worth, minutes, bare) for i, s in enumerate(steps)]
         return pd.DataFrame(out, columns=[x.split()[0] for x in PLAN.split(", ")]).astype({"unit_no": "Int32"})
 
     return concepts.groupBy("subject_id").applyInPandas(one, PLAN)

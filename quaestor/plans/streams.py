@@ -8,7 +8,7 @@ from quaestor.operators import state, tables
 from quaestor.plans import registry
 from quaestor.plans.binding import table
 from quaestor.plans.registry import query
-from quaestor.streaming import windows
+from quaestor.streaming import stateful, windows
 
 
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, date_trunc('hour', ts)::TIMESTAMP + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL", bound=False)
@@ -54,32 +54,95 @@ def dead_letters(spark, sf_dir):
     return tables.dead_letters(failures).select("job_id", "event_id", "ts")
 
 
+_DEAD = registry.SQL["dead_letters"]
+
+
+@query(_DEAD, bound=False)
+def stream_dead_letters(spark, sf_dir):
+    """The same from a stream, with the count of each job in the state store."""
+    failures = windows.events(spark, sf_dir).where("event_type = 'error'").select(F.col("user_id").alias("job_id"), "event_id", "ts")
+    out = stateful.dead_letters(failures, "job_id", ["ts", "event_id"], "job_id long,event_id long,ts timestamp")
+    return windows.drained(spark, out, "append").select("job_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 # How the events stand for those of the learn loop.
 LOOP = {"signup": "START", "view": "LESSON_SERVED", "purchase": "TEST_PASSED", "error": "TEST_FAILED", "click": "ESCALATE"}
+LOOP_OUT = "user_id long,event_id long,state string,index long,depth long,spent double,effects string,reason string"
+
+
+def _steps(rows):
+    return rows.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("concept"), (F.col("value") / 10).alias("minutes"))
+
+
+def _learn(session, r):
+    session = state.advance(session, LOOP[r.event_type], r.concept, r.minutes, (r.concept,))
+    return session, (r.user_id, r.event_id, session.state, session.index, len(session.stack), round(session.spent, 6), " ".join(session.effects), session.reason)
+
+
+def _session(user):
+    return state.Session(plan=tuple(range(20)), budget=600.0, planned=300.0, reserve=90.0)
+
+
+def _packed(s):
+    return [s.plan, s.budget, s.planned, s.reserve, s.state, s.index, s.stack, s.spent, s.current]
+
+
+def _unpacked(x):
+    return state.Session(*[tuple(v) if isinstance(v, list) else v for v in x])
 
 
 def loop_fold(spark, sf_dir):
-    """The state of each user's session after each event."""
-    rows = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("concept"), (F.col("value") / 10).alias("minutes"))
+    """The state of each user's session after each event, in batch."""
+    return tables.folded(_steps(table(spark, sf_dir, "events")), "user_id", ["at", "event_id"], _session, _learn, LOOP_OUT)
+
+
+def loop_stream(spark, sf_dir):
+    """The same from a stream, with each session in the state store."""
+    out = stateful.folded(_steps(windows.events(spark, sf_dir)), "user_id", ["at", "event_id"], _session, _learn, LOOP_OUT, _packed, _unpacked)
+    return windows.drained(spark, out, "append")
+
+
+BUCKET_OUT = "provider string,event_id long,allowed boolean,wait_ms long"
 
-    def step(session, r):
-        session = state.advance(session, LOOP[r.event_type], r.concept, r.minutes, (r.concept,))
-        return session, (r.user_id, r.event_id, session.state, session.index, len(session.stack), " ".join(session.effects))
 
-    start = lambda user: state.Session(plan=tuple(range(20)), budget=600.0, planned=300.0, reserve=90.0)
-    return tables.folded(rows, "user_id", ["at", "event_id"], start, step, "user_id long,event_id long,state string,index long,depth long,effects string")
+def _requests(rows):
+    """Requests to two providers; time runs 150 times slower than in the events, so that buckets do run dry."""
+    return rows.select(F.when(F.col("event_id") % 2 == 0, "gemini").otherwise("groq").alias("provider"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1.5e8).alias("at"), "event_id")
 
 
+def _take(bucket, r):
+    tokens, allowed, wait = state.take(*bucket, r.at, 1.0, *state.BUCKETS[r.provider])
+    return (tokens, r.at), (r.provider, r.event_id, allowed, wait)
+
+
+_BUCKET = """WITH RECURSIVE e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'gemini' ELSE 'groq' END AS provider, epoch_us(ts) / 1.5e8 AS sec, CASE WHEN event_id % 2 = 0 THEN 15.0::DOUBLE ELSE 30.0::DOUBLE END AS cap, CASE WHEN event_id % 2 = 0 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS rate FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY sec, event_id) AS n FROM e),
+b AS (SELECT provider, n, event_id, sec, cap - 1 AS tokens, TRUE AS allowed, 0::BIGINT AS wait_ms FROM o WHERE n = 1
+  UNION ALL SELECT provider, n, event_id, sec, CASE WHEN t >= 1 THEN t - 1 ELSE t END, t >= 1, CASE WHEN t >= 1 THEN 0 ELSE CAST(ceil((1 - t) / rate * 1000) AS BIGINT) END
+  FROM (SELECT o.*, least(o.cap, b.tokens + (o.sec - b.sec) * o.rate) AS t FROM b JOIN o ON o.provider = b.provider AND o.n = b.n + 1))
+SELECT provider, event_id, allowed, wait_ms FROM b"""
+
+
+@query(_BUCKET, bound=False)
 def token_bucket(spark, sf_dir):
-    """Whether each event gets a token of its provider's bucket, and how long it would have to wait."""
-    rows = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 2 == 0, "gemini").otherwise("groq").alias("provider"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "event_id")
+    """Whether each request gets a token of its provider's bucket, and how long it would have to wait: one task a bucket, by nature."""
+    return tables.folded(_requests(table(spark, sf_dir, "events")), "provider", ["at", "event_id"], lambda _: (0.0, None), _take, BUCKET_OUT)
+
+
+@query(_BUCKET, bound=False)
+def stream_token_bucket(spark, sf_dir):
+    out = stateful.folded(_requests(windows.events(spark, sf_dir)), "provider", ["at", "event_id"], lambda _: (0.0, None), _take, BUCKET_OUT)
+    return windows.drained(spark, out, "append")
 
-    def step(bucket, r):
-        tokens, last = bucket
-        tokens, allowed, wait = state.take(tokens, last, r.at, 1.0, *state.BUCKETS[r.provider])
-        return (tokens, r.at), (r.provider, r.event_id, allowed, wait)
 
-    return tables.folded(rows, "provider", ["at", "event_id"], lambda _: (0.0, None), step, "provider string,event_id long,allowed boolean,wait_s double")
+@query("SELECT CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS paper, event_id, CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 6 ELSE -1 END AS stage FROM events WHERE user_id % 3 > 0", bound=False)
+def progress_stream(spark, sf_dir):
+    """Progress of papers: messages of channels paper:<id>, with the place of their stage; other channels are passed over."""
+    stages = {"signup": "queued", "view": "extracted", "click": "segmented", "purchase": "ready", "error": "failed"}
+    kind = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in stages.items()])
+    channel = F.concat(F.when(F.col("user_id") % 3 == 0, "user:").otherwise("paper:"), F.get_json_object("props", "$.k"))
+    stream = windows.events(spark, sf_dir).select("event_id", channel.alias("channel"), kind.alias("kind"))
+    return windows.drained(spark, windows.progress(stream), "append")
 
 
-registry.QUERIES |= {"loop_fold": loop_fold, "token_bucket": token_bucket}
+registry.QUERIES |= {"loop_fold": loop_fold, "loop_stream": loop_stream}

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaestor.functions import labels
 from quaestor.plans.saving import shared_dir
 
 LATE = "1 day"
@@ -48,3 +49,14 @@ sessions = counted(lambda: F.session_window("ts", "6 hours"), "user_id")
 def firsts(stream: DataFrame) -> DataFrame:
     """Each user's event types, once: state grows with distinct pairs, not with events."""
     return stream.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
+
+
+def progress(messages: DataFrame) -> DataFrame:
+    """paper, event_id, stage of the messages (event_id, channel, kind) on the channels of papers."""
+    paper = F.regexp_extract("channel", r"^paper:(\d+)$", 1)
+    return messages.where(paper != "").select(paper.cast("long").alias("paper"), "event_id", labels.stage(F.col("kind")).alias("stage"))
+
+
+def firsts_within(stream: DataFrame, wait: str = LATE) -> DataFrame:
+    """firsts, with state bounded by time: what comes again after `wait` is taken for new."""
+    return stream.withWatermark("ts", wait).dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")

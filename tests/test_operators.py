@@ -73,7 +73,7 @@ def test_planner_keeps_its_limits():
 
 def test_loop_transitions():
     s = state.advance(state.Session(plan=("a", "b"), reserve=20.0), "START")
-    assert (s.state, s.current, s.effects) == ("TEACH", "a", ("serve_lesson:a",))
+    assert (s.state, s.current, s.effects) == ("TEACH", "a", ("serve_lesson:a:cram",))
     hop = state.advance(s, "TEST_FAILED", "a", missed=("p",))
     assert (hop.stack, hop.state) == (("p",), "TEACH")
     deep = state.advance(hop, "TEST_FAILED", "p", missed=("q",))
@@ -92,7 +92,7 @@ def test_token_bucket():
         tokens, allowed, wait = state.take(tokens, last, now, 1.0, 3.0, 0.25)
         last = now
         seen.append((allowed, wait))
-    assert seen == [(True, 0.0)] * 3 + [(False, 4.0), (True, 0.0)]
+    assert seen == [(True, 0)] * 3 + [(False, 4000), (True, 0)]
 
 
 def test_folded_streams_a_key(spark):
@@ -125,3 +125,56 @@ def test_first_writer_wins(spark):
     got = tables.arrivals(up, F.col("upload_id"))
     assert got.where("created").count() == 1 and {r["user"] for r in tables.credits(got).collect()} == {7, 8, 9}
     assert tables.absent(up, up.where("user = 100"), ["hash"]).count() == 1
+
+
+def test_only_lessons_and_tests_spend():
+    s = state.Session(plan=("a", "b"), budget=10.0)
+    for event in ("START", "ESCALATE", "TUTOR_RESOLVED", "ABANDON_CONCEPT"):
+        assert state.advance(s, event, "a", minutes=5).spent == 0
+    for event in ("LESSON_SERVED", "TEST_PASSED", "TEST_FAILED"):
+        assert state.advance(s, event, "a", minutes=5).spent == 5
+
+
+def test_refusals_in_order():
+    full, poor = state.POLICIES["mastery"], state.Session(plan=("a", "b"), reserve=0.0)
+    rich = state.Session(plan=("a", "b"), reserve=50.0, stack=("p",))
+    why = lambda s, missed, policy=full: state.advance(s, "TEST_FAILED", "a", missed=missed, policy=policy).reason
+    assert why(rich, ("p",)).startswith(state.REASONS["cycle"]) and why(rich, ("q",), state.POLICIES["night_before"]).startswith(state.REASONS["deep"])
+    assert why(rich, ()).startswith(state.REASONS["none"]) and why(poor, ("q",)).startswith(state.REASONS["poor"]) and why(rich, ("q",)) == state.REASONS["hop"]
+    assert state.advance(rich, "TEST_FAILED", "a", missed=("q",), policy=full).effects == ("record_mastery:a:false", "serve_lesson:q:full")
+    done = state.advance(state.Session(plan=("a",), current="a"), "TEST_FAILED", "a")
+    assert (done.state, done.index, done.current) == ("DONE", 1, "a")
+
+
+def test_stream_of_sessions_equals_the_fold(spark):
+    from quaestor.plans import streams
+
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(streams.loop_stream(spark, "/root/testdata/sf0.001")) == rows(streams.loop_fold(spark, "/root/testdata/sf0.001"))
+
+
+def test_lookups_scopes_and_retries(spark):
+    import pytest
+
+    from quaestor.operators import reads
+
+    rows = spark.createDataFrame([(1, 7, 1.0), (2, 8, 2.0)], "event_id long, user_id long, ts double")
+    assert reads.lookup(rows, "event_id", "2").first()["user_id"] == 8
+    for raw, error in (("x", ValueError), ("-1", ValueError), ("3", reads.NotFound)):
+        with pytest.raises(error):
+            reads.lookup(rows, "event_id", raw)
+    private = reads.Private(rows)
+    assert private.of(7).count() == 1 and private.added(rows.select("event_id", "ts"), 9).of(9).count() == 2
+    for bad in (lambda: private.of(None), lambda: reads.Private(rows.drop("user_id"))):
+        with pytest.raises(ValueError):
+            bad()
+    waits, tries = [], iter([reads.VersionConflict(), reads.VersionConflict(), None])
+
+    def commit():
+        if e := next(tries):
+            raise e
+        return "done"
+
+    assert reads.retried(commit, sleep=waits.append) == "done" and len(waits) == 2 and 0.01 <= waits[0] <= 0.03 and 0.02 <= waits[1] <= 0.06
+    with pytest.raises(KeyError):
+        reads.retried(lambda: {}["x"], sleep=waits.append)
