@@ -3,7 +3,7 @@
 Documents with the same shingle set are one class, so copies are never paired. Classes that share a band of their
 signature are candidates, in two steps that emit no more rows than there are band keys:
 
-1. Every class is compared with the least class of each of its buckets. Signatures are compared a batch at a time; a
+1. Every class is compared with the head of each of its buckets, the class that stands in the fullest ones. Signatures are compared a batch at a time; a
    pair is dropped as soon as the posterior chance (uniform prior) of a similarity at the threshold is below MISS. What
    survives is verified on whole shingle sets, the likeliest head of a class first, the others only where they would
    join components.
@@ -212,7 +212,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def roots(parents: DataFrame) -> DataFrame:
-    """id, component of a forest (b, a), where every b has one a below it: pointers are doubled until none moves."""
+    """id, component (the root) of a forest (b, a), where every b has one a and none leads to itself: pointers are doubled until none moves."""
     labels = cut(parents.select(F.col("b").alias("id"), F.col("a").alias("component")))
     while True:
         up = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
@@ -270,14 +270,17 @@ def rare_pairs(sets: DataFrame) -> DataFrame:
     level = lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(1.1)) + 1e-9)
     least = F.ceil(F.col("n") * PERCENT / 100)
     ranked = cut(ranked.where(F.col("place") <= need(least)))
-    smaller = ranked.where(F.col("place") <= need(F.col("n"))).select("gram", level(F.col("n")).alias("k"), "id", "n", "c")
+    smaller = ranked.where(F.col("place") <= need(F.col("n"))).select("gram", level(F.col("n")).alias("k"), "id", "n", "c", "place")
     larger = ranked.where(F.col("place") <= need(least)).withColumn("k", F.explode(F.sequence(level(least), level(F.col("n")))))
     floor_ = F.greatest(least, F.floor(F.pow(F.lit(1.1), F.col("k")) * (1 - 1e-9)))
-    larger = larger.where(F.col("place") <= need(floor_)).select("gram", "k", "id", "n", "c")
+    larger = larger.where(F.col("place") <= need(floor_)).select("gram", "k", "id", "n", "c", "place")
     counts = smaller.select("gram", "k", "c").unionAll(larger.select("gram", "k", "c")).groupBy("gram", "k", "c").agg(F.count("*").alias("n"))
     leads = counts.groupBy("gram", "k").agg(F.max_by("c", F.struct("n", "c")).alias("lead"), F.count("*").alias("held")).where("held > 1").drop("held")
-    s, l = (x.join(leads, ["gram", "k"]).select("gram", "k", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "c")], "lead") for x, side in ((smaller, "s"), (larger, "l")))
-    fits = (F.col("c_s") != F.col("c_l")) & (F.struct("n_s", "id_s") < F.struct("n_l", "id_l")) & sized(F.col("n_s"), F.col("n_l"))
+    s, l = (x.join(leads, ["gram", "k"]).select("gram", "k", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "c", "place")], "lead") for x, side in ((smaller, "s"), (larger, "l")))
+    # The first shingle that two linked sets share, in this order, leaves room in both for all that they must share.
+    must = F.ceil((F.col("n_s") + F.col("n_l")) * PERCENT / (100 + PERCENT))
+    room = F.least(F.col("n_s") - F.col("place_s"), F.col("n_l") - F.col("place_l")) + 1
+    fits = (F.col("c_s") != F.col("c_l")) & (F.struct("n_s", "id_s") < F.struct("n_l", "id_l")) & sized(F.col("n_s"), F.col("n_l")) & (room >= must)
     one = s.where("c_s <> lead").drop("lead").join(l.drop("lead"), ["gram", "k"]).where(fits)
     other = s.where("c_s = lead").drop("lead").join(l.where("c_l <> lead").drop("lead"), ["gram", "k"]).where(fits)
     return cut(one.unionByName(other).select(F.least("id_s", "id_l").alias("a"), F.greatest("id_s", "id_l").alias("b")).distinct())
@@ -290,17 +293,21 @@ def verdicts(docs: DataFrame) -> DataFrame:
     one = members.groupBy("digest").agg(F.min_by(F.struct("doc_id", "t", F.col("n_shingles").alias("n"), "keys", "sig"), F.struct("doc_id", "t")).alias("x"))
     classes = cut(one.select(F.monotonically_increasing_id().alias("id"), "digest", "x.*"))
     keys = classes.select("id", F.explode("keys").alias("key"))
-    heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("held")).where("held > 1").drop("held")
-    keys = cut(keys.join(heads, "key"))  # only of buckets that are shared
+    held = keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    keys = cut(keys.join(held, "key"))  # only of buckets that are shared
+    # A bucket's head is the class that stands in the fullest buckets: the one most like the others.
+    weights = keys.groupBy("id").agg(F.sum("held").alias("weight"))
+    heads = keys.join(weights, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", "id")).alias("head"))
+    keys = cut(keys.select("key", "id").join(heads, "key"))
     crowd = classes.select("id", "doc_id", "t", "n", "sig").join(keys.select("id").distinct(), "id", "left_semi")
     sets = cut(sets_of(docs, crowd))
-    near = matched(keys.where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), sets)
+    near = matched(keys.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), sets)
     best = near.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")).select("a", "b")
     found = roots(verified(best, sets))
     ends = placed(placed(near.select("a", "b"), found, "a", "x"), found, "b", "y").where("x <> y").select("a", "b")
     found = joined(found, verified(cut(ends), sets))
     # Of a bucket, only pairs without its head are untested.
-    spread = placed(keys.where("id > head").select("key", "id"), found, "id", "c")
+    spread = placed(keys.where("id <> head").select("key", "id"), found, "id", "c")
     opened = spread.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     opened = cut(spread.join(opened, "key", "left_semi").select("id", "c").distinct())
     rest = matched(rare_pairs(sets.select("id", "n", "grams").join(opened, "id")), sets)
