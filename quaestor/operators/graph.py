@@ -55,15 +55,19 @@ def version_conflicts(rows: DataFrame) -> DataFrame:
     return rows.where("expected_version is not null and not (expected_version <=> version)")
 
 
-def depths(edges: DataFrame, nodes: DataFrame, saved, most: int = 64) -> DataFrame:
+def depths(edges: DataFrame, nodes: DataFrame, saved) -> DataFrame:
     """node, depth: the longest way down to a node along edges (upper, lower), 0 for a node without any.
 
-    A frontier of distinct nodes goes down a level a round, so paths are never listed; cycles end after `most` rounds.
+    A frontier of distinct nodes goes down a level a round, so paths are never listed. A graph with more levels than nodes
+    has a cycle, which has no longest way: a ValueError.
     """
+    most = nodes.count()
     best = nodes.select("node", F.lit(0).cast("long").alias("depth"))
     frontier, level = saved(nodes.select("node")), 0
-    while level < most:
+    while True:
         level += 1
+        if level > most:
+            raise ValueError("the edges have a cycle")
         frontier = saved(edges.join(frontier, edges["upper"] == frontier["node"]).select(F.col("lower").alias("node")).distinct())
         if not frontier.take(1):
             break
@@ -71,11 +75,11 @@ def depths(edges: DataFrame, nodes: DataFrame, saved, most: int = 64) -> DataFra
     return best.groupBy("node").agg(F.max("depth").alias("depth"))
 
 
-def ancestors(edges: DataFrame, start: DataFrame, saved, most: int = 64) -> DataFrame:
+def ancestors(edges: DataFrame, start: DataFrame, saved) -> DataFrame:
     """origin, node, hops: the fewest steps up from each origin to every node above it; a node is entered once, so cycles end."""
     frontier = saved(start.select(F.col("node").alias("origin"), "node"))
     seen, hops = frontier.select("origin", "node", F.lit(0).cast("long").alias("hops")), 0
-    while hops < most:
+    while True:
         hops += 1
         up = frontier.join(edges, edges["lower"] == frontier["node"]).select("origin", F.col("upper").alias("node")).distinct()
         frontier = saved(up.join(seen, ["origin", "node"], "left_anti"))

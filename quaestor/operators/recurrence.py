@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 YEAR, DECAY, SLOTS = 2002, 0.75, 2.0
@@ -20,9 +20,30 @@ def cluster_stats(questions: DataFrame, year: int = YEAR) -> DataFrame:
 
 
 def scored(clusters: DataFrame) -> DataFrame:
-    """clusters (with unit_no) with quota, score and expected_marks; windows share the subject's partitioning."""
-    subject = Window.partitionBy("subject_id")
-    quota = F.least(F.lit(SLOTS) / F.count("*").over(Window.partitionBy("subject_id", "unit_no")), F.lit(1.0))
-    top = F.greatest(F.lit(1), F.max("marks").over(subject))
-    score = 0.45 * F.col("freq") + 0.25 * F.col("overdue") + 0.15 * F.col("quota") + 0.15 * F.col("marks") / top
-    return clusters.withColumn("quota", quota).withColumn("score", score).withColumn("expected_marks", F.coalesce(F.try_divide(F.col("score"), F.sum("score").over(subject)), F.lit(0.0)) * F.col("marks"))
+    """clusters (with unit_no) with quota, score and expected_marks.
+
+    What a subject or a unit has in all is an aggregate, combined on the map side, that is joined back (by broadcast where
+    it turns out small): no task holds a subject's clusters.
+    """
+    crowd = clusters.groupBy("subject_id", "unit_no").agg(F.count("*").alias("_competitors"))
+    top = clusters.groupBy("subject_id").agg(F.max("marks").alias("_top"))
+    quota = F.least(F.lit(SLOTS) / F.col("_competitors"), F.lit(1.0))
+    rows = clusters.join(crowd, ["subject_id", "unit_no"]).join(top, "subject_id").withColumn("quota", quota)
+    score = 0.45 * F.col("freq") + 0.25 * F.col("overdue") + 0.15 * F.col("quota") + 0.15 * F.col("marks") / F.greatest(F.lit(1), F.col("_top"))
+    rows = rows.withColumn("score", score).drop("_competitors", "_top")
+    total = rows.groupBy("subject_id").agg(F.sum("score").alias("_total"))
+    share = F.when(F.col("_total") > 0, F.col("score") / F.col("_total")).otherwise(0.0)
+    return rows.join(total, "subject_id").withColumn("expected_marks", share * F.col("marks")).drop("_total")
+
+
+def pressure(clusters: DataFrame, slots: DataFrame) -> DataFrame:
+    """clusters with quota: the slots (subject_id, unit_no, slots) of its unit for each competitor, at most 1; 0 without a unit or without slots."""
+    crowd = clusters.where("unit_no is not null").groupBy("subject_id", "unit_no").agg(F.count("*").alias("_competitors"))
+    rows = clusters.join(crowd, ["subject_id", "unit_no"], "left").join(slots, ["subject_id", "unit_no"], "left")
+    quota = F.coalesce(F.least(F.try_divide(F.coalesce("slots", F.lit(0)).cast("double"), F.col("_competitors")), F.lit(1.0)), F.lit(0.0))
+    return rows.withColumn("quota", F.when(F.col("unit_no").isNull(), 0.0).otherwise(quota)).drop("_competitors", "slots")
+
+
+def inherited(clusters: DataFrame, lineage: DataFrame) -> DataFrame:
+    """clusters (subject_id, raw) with freq: raw times the discount of the lineage (subject_id, discount), 1 where it has none."""
+    return clusters.join(lineage, "subject_id", "left").withColumn("freq", F.col("raw") * F.coalesce("discount", F.lit(1.0))).drop("discount")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,10 +19,13 @@ def absent(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(table.select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys)
 
 
-def arrivals(uploads: DataFrame, order: Column) -> DataFrame:
-    """uploads (subject, user, hash) with paper_id (the first arrival's upload_id) and created."""
-    group = Window.partitionBy("subject", "hash")
-    return uploads.withColumn("paper_id", F.min("upload_id").over(group)).withColumn("created", F.row_number().over(group.orderBy(order)) == 1)
+def arrivals(uploads: DataFrame, order: str) -> DataFrame:
+    """uploads (subject, user, hash, upload_id) with paper_id (the first arrival's upload_id) and created.
+
+    The first by column `order` is an aggregate that is joined back, so a hash that many send fills no task.
+    """
+    first = uploads.groupBy("subject", "hash").agg(F.min_by("upload_id", F.struct(F.col(order).alias("at"), F.col("upload_id").alias("id"))).alias("paper_id"))
+    return uploads.join(first, ["subject", "hash"]).withColumn("created", F.col("upload_id") == F.col("paper_id"))
 
 
 def credits(arrived: DataFrame) -> DataFrame:

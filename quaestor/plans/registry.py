@@ -60,25 +60,57 @@ def cluster_scores(spark, sf_dir):
     return scores(spark, sf_dir).select("subject_id", "part_id", F.round("score", 6).alias("score"), F.round("expected_marks", 6).alias("expected_marks"))
 
 
-@query("""SELECT c.subject_id, round(rate, 6) AS repetition_rate, CASE WHEN papers < 3 THEN 'low' WHEN rate >= 0.25 THEN 'high' WHEN rate >= 0.1 THEN 'medium' ELSE 'low' END AS regime
-FROM (SELECT subject_id, avg(CASE WHEN years >= 2 THEN 1.0 ELSE 0.0 END) AS rate FROM clusters GROUP BY 1) c
-JOIN (SELECT subject_id, count(DISTINCT paper_id) AS papers FROM questions GROUP BY 1) p USING (subject_id)""")
+_RATED = "(SELECT subject_id, avg(CASE WHEN years >= 2 THEN 1.0 ELSE 0.0 END) AS rate FROM clusters GROUP BY 1)"
+
+
+@query(f"""SELECT c.subject_id, round(rate, 6) AS repetition_rate, CASE WHEN papers < 3 THEN 'low' WHEN rate >= 0.25 THEN 'high' WHEN rate >= 0.1 THEN 'medium' ELSE 'low' END AS regime
+FROM {_RATED} c JOIN (SELECT subject_id, count(*) AS papers FROM papers GROUP BY 1) p USING (subject_id)""")
 def subject_regime(spark, sf_dir):
     rate = clusters(spark, sf_dir).groupBy("subject_id").agg(F.avg((F.col("years") >= 2).cast("double")).alias("rate"))
-    papers = binding.questions(spark, sf_dir).groupBy("subject_id").agg(F.countDistinct("paper_id").alias("papers"))
+    papers = binding.papers(spark, sf_dir).groupBy("subject_id").agg(F.count("*").alias("papers"))
     regime = F.when(F.col("papers") < 3, "low").when(F.col("rate") >= 0.25, "high").when(F.col("rate") >= 0.1, "medium").otherwise("low")
     return rate.join(papers, "subject_id").select("subject_id", F.round("rate", 6).alias("repetition_rate"), regime.alias("regime"))
 
 
-@query("""SELECT n_nationkey AS subject_id, coalesce(p.papers, 0) AS papers, coalesce(q.questions, 0) AS questions, p.first_year, p.last_year
+@query(f"""SELECT n_nationkey AS subject_id, coalesce(p.papers, 0) AS papers, coalesce(q.questions, 0) AS questions, coalesce(k.clusters, 0) AS clusters, coalesce(c.concepts, 0) AS concepts, p.first_year, p.last_year,
+round(r.rate, 6) AS repetition_rate, CASE WHEN r.rate IS NULL THEN NULL WHEN papers < 3 THEN 'low' WHEN rate >= 0.25 THEN 'high' WHEN rate >= 0.1 THEN 'medium' ELSE 'low' END AS regime
 FROM nation LEFT JOIN (SELECT subject_id, count(*) AS papers, min(exam_year) AS first_year, max(exam_year) AS last_year FROM papers GROUP BY 1) p ON p.subject_id = n_nationkey
-LEFT JOIN (SELECT subject_id, count(*) AS questions FROM questions GROUP BY 1) q ON q.subject_id = n_nationkey""")
+LEFT JOIN (SELECT subject_id, count(*) AS questions FROM questions GROUP BY 1) q ON q.subject_id = n_nationkey LEFT JOIN (SELECT subject_id, count(*) AS clusters FROM clusters GROUP BY 1) k ON k.subject_id = n_nationkey
+LEFT JOIN (SELECT subject_id, count(DISTINCT p_type) AS concepts FROM clusters JOIN part ON p_partkey = part_id GROUP BY 1) c ON c.subject_id = n_nationkey LEFT JOIN {_RATED} r ON r.subject_id = n_nationkey""")
 def subject_summary(spark, sf_dir):
+    """Subjects with their counts, years and regime, null until there is one; each child is counted before it is joined."""
     p = binding.papers(spark, sf_dir).groupBy("subject_id").agg(F.count("*").alias("papers"), F.min("exam_year").alias("first_year"), F.max("exam_year").alias("last_year"))
-    q = binding.questions(spark, sf_dir).groupBy("subject_id").agg(F.count("*").alias("questions"))
+    found = clusters(spark, sf_dir).select("subject_id", "part_id", "n", "years")
+    q = found.groupBy("subject_id").agg(F.sum("n").alias("questions"), F.count("*").alias("clusters"), F.avg((F.col("years") >= 2).cast("double")).alias("rate"))
+    part = binding.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), "p_type")
+    c = found.join(part, "part_id").select("subject_id", "p_type").distinct().groupBy("subject_id").agg(F.count("*").alias("concepts"))
     subjects = binding.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("subject_id"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return subjects.join(p, "subject_id", "left").join(q, "subject_id", "left").select("subject_id", zero("papers"), zero("questions"), "first_year", "last_year")
+    zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
+    regime = F.when(F.col("rate").isNull(), None).when(F.col("papers") < 3, "low").when(F.col("rate") >= 0.25, "high").when(F.col("rate") >= 0.1, "medium").otherwise("low")
+    out = subjects.join(p, "subject_id", "left").join(q, "subject_id", "left").join(c, "subject_id", "left")
+    return out.select("subject_id", zero("papers"), zero("questions"), zero("clusters"), zero("concepts"), "first_year", "last_year", F.round("rate", 6).alias("repetition_rate"), regime.alias("regime"))
+
+
+@query(""", u AS (SELECT c.subject_id, part_id, CASE WHEN p_size > 5 THEN (p_size - 1) % 5 + 1 END AS unit_no FROM clusters c JOIN part ON p_partkey = part_id),
+s AS (SELECT DISTINCT subject_id, unit_no, 2 * unit_no AS slots FROM u WHERE unit_no < 5), n AS (SELECT subject_id, unit_no, count(*) AS k FROM u WHERE unit_no IS NOT NULL GROUP BY 1, 2)
+SELECT u.subject_id, part_id, round(CASE WHEN u.unit_no IS NULL THEN 0.0 ELSE least(coalesce(slots, 0) / CAST(k AS DOUBLE), 1.0) END, 6) AS quota FROM u LEFT JOIN n ON n.subject_id = u.subject_id AND n.unit_no = u.unit_no LEFT JOIN s ON s.subject_id = u.subject_id AND s.unit_no = u.unit_no""")
+def slot_pressure(spark, sf_dir):
+    """Quota pressure from a table of slots: clusters without a unit and units without slots have none."""
+    unit = F.when(F.col("p_size") > 5, (F.col("p_size") - 1) % 5 + 1)
+    part = binding.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), unit.alias("unit_no"))
+    rows = clusters(spark, sf_dir).select("subject_id", "part_id").join(part, "part_id")
+    slots = rows.where("unit_no < 5").select("subject_id", "unit_no").distinct().withColumn("slots", 2 * F.col("unit_no"))
+    return recurrence.pressure(rows, slots).select("subject_id", "part_id", F.round("quota", 6).alias("quota"))
+
+
+@query(""", r AS (SELECT subject_id, part_id, sum(pow(0.75, greatest(0, 2002 - exam_year))) AS raw FROM questions GROUP BY 1, 2), l AS (SELECT n_nationkey AS subject_id, 0.25 * (1 + n_regionkey % 3) AS discount FROM nation WHERE n_nationkey % 4 > 0)
+SELECT subject_id, part_id, round(raw * coalesce(discount, 1.0), 6) AS freq FROM r LEFT JOIN l USING (subject_id)""")
+def inherited_frequency(spark, sf_dir):
+    """Decayed frequency times the discount of the subject's lineage."""
+    decay = F.pow(F.lit(0.75), F.greatest(F.lit(0), 2002 - F.col("exam_year")).cast("double"))
+    raw = binding.questions(spark, sf_dir).groupBy("subject_id", "part_id").agg(F.sum(decay).alias("raw"))
+    lineage = binding.table(spark, sf_dir, "nation").where("n_nationkey % 4 > 0").select(F.col("n_nationkey").alias("subject_id"), (0.25 * (1 + F.col("n_regionkey") % 3)).alias("discount"))
+    return recurrence.inherited(raw, lineage).select("subject_id", "part_id", F.round("freq", 6).alias("freq"))
 
 
 @query("SELECT paper_id, subject_id, exam_year FROM papers WHERE exam_type = 'endsem' AND college IS NULL")

@@ -25,7 +25,7 @@ concept_costs AS (
 regimes AS (
   SELECT c.subject_id, CASE WHEN papers < 3 THEN 'low' WHEN rate >= 0.25 THEN 'high' WHEN rate >= 0.1 THEN 'medium' ELSE 'low' END AS regime
   FROM (SELECT subject_id, avg(CASE WHEN years >= 2 THEN 1.0 ELSE 0.0 END) AS rate FROM clusters GROUP BY 1) c
-  JOIN (SELECT subject_id, count(DISTINCT paper_id) AS papers FROM questions GROUP BY 1) p USING (subject_id)),
+  JOIN (SELECT subject_id, count(*) AS papers FROM papers GROUP BY 1) p USING (subject_id)),
 weighed AS (
   SELECT r.*, CASE regime WHEN 'high' THEN 0.85 WHEN 'medium' THEN 0.6 ELSE 0.35 END * corpus + CASE regime WHEN 'high' THEN 0.15 WHEN 'medium' THEN 0.4 ELSE 0.65 END * prior AS em
   FROM concept_costs r JOIN regimes USING (subject_id)),
@@ -125,11 +125,9 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY f DESC,
 
 
 def _held_out(spark, sf_dir):
-    """(train with place and top, test marks): the years before 2001 and 2001."""
+    """(train, test marks): the years before 2001 and 2001."""
     rows = binding.questions(spark, sf_dir)
     train = rows.where("exam_year < 2001").groupBy("subject_id", "part_id").agg(F.round(F.sum(F.pow(F.lit(0.75), (2001 - F.col("exam_year")).cast("double"))), 9).alias("f"))
-    subject = Window.partitionBy("subject_id")
-    train = train.withColumn("place", F.row_number().over(subject.orderBy(F.desc("f"), "part_id"))).withColumn("top", F.max("f").over(subject))
     return train, rows.where("exam_year = 2001").groupBy("subject_id", "part_id").agg(F.sum("marks").alias("m"))
 
 
@@ -137,7 +135,8 @@ def _held_out(spark, sf_dir):
 round(coalesce(sum(m) FILTER (place <= 20), 0) / sum(m), 6) AS at_20 FROM test t LEFT JOIN placed p ON p.subject_id = t.subject_id AND p.part_id = t.part_id GROUP BY 1""")
 def topk_marks_coverage(spark, sf_dir):
     train, test = _held_out(spark, sf_dir)
-    best = train.where("place <= 20").select("subject_id", "part_id", "place")
+    place = F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc("f"), "part_id"))
+    best = train.withColumn("place", place).where("place <= 20").select("subject_id", "part_id", "place")  # each task keeps twenty of a subject
     share = lambda k: F.round(F.sum(F.when(F.col("place") <= k, F.col("m")).otherwise(0)) / F.sum("m"), 6).alias(f"at_{k}")
     return test.join(best, ["subject_id", "part_id"], "left").groupBy("subject_id").agg(share(5), share(10), share(20))
 
@@ -148,6 +147,7 @@ FROM placed p LEFT JOIN test t ON p.subject_id = t.subject_id AND p.part_id = t.
 def calibration_bins(spark, sf_dir):
     train, test = _held_out(spark, sf_dir)
     p, hit = F.col("f") / F.col("top"), F.col("m").isNotNull().cast("double")
-    rows = train.join(test, ["subject_id", "part_id"], "left").select(p.alias("p"), hit.alias("hit"))
+    top = train.groupBy("subject_id").agg(F.max("f").alias("top"))
+    rows = train.join(top, "subject_id").join(test, ["subject_id", "part_id"], "left").select(p.alias("p"), hit.alias("hit"))
     bin_ = F.least(F.lit(4).cast("long"), F.floor(F.round("p", 9) * 5)).alias("bin")
     return rows.groupBy(bin_).agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("predicted"), F.round(F.avg("hit"), 6).alias("observed"), F.round(F.avg(F.pow(F.col("p") - F.col("hit"), F.lit(2.0))), 6).alias("brier"))

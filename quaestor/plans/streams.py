@@ -13,19 +13,19 @@ from quaestor.streaming import stateful, windows
 
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, date_trunc('hour', ts)::TIMESTAMP + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL", bound=False)
 def stream_tumbling(spark, sf_dir):
-    return windows.drained(spark, windows.tumbling(windows.events(spark, sf_dir)), "complete")
+    return windows.closed(spark, sf_dir, windows.tumbling)
 
 
 @query("SELECT s AS window_start, s + INTERVAL 2 HOUR AS window_end, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('hour', ts)::TIMESTAMP, date_trunc('hour', ts)::TIMESTAMP - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY ALL", bound=False)
 def stream_sliding(spark, sf_dir):
-    return windows.drained(spark, windows.sliding(windows.events(spark, sf_dir)), "complete")
+    return windows.closed(spark, sf_dir, windows.sliding)
 
 
 @query("""SELECT min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end, user_id, count(*) AS n FROM (
   SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM (
     SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, island""", bound=False)
 def stream_session(spark, sf_dir):
-    return windows.drained(spark, windows.sessions(windows.events(spark, sf_dir)), "complete")
+    return windows.closed(spark, sf_dir, windows.sessions)
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events", bound=False)

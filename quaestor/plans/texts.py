@@ -24,12 +24,12 @@ def uploads(spark, sf_dir):
 
 @query(_HASHED + "SELECT doc_id AS upload_id, hash, min(doc_id) OVER w AS paper_id, doc_id = min(doc_id) OVER w AS created FROM hashed WINDOW w AS (PARTITION BY source, hash)", bound=False)
 def content_hash_dedup(spark, sf_dir):
-    return tables.arrivals(uploads(spark, sf_dir), F.col("upload_id")).select("upload_id", "hash", "paper_id", "created")
+    return tables.arrivals(uploads(spark, sf_dir), "upload_id").select("upload_id", "hash", "paper_id", "created")
 
 
 @query(_HASHED + 'SELECT DISTINCT paper_id, doc_id % 20 AS "user" FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY source, hash) AS paper_id FROM hashed) WHERE doc_id <> paper_id', bound=False)
 def contribution_credits(spark, sf_dir):
-    return tables.credits(tables.arrivals(uploads(spark, sf_dir), F.col("upload_id")))
+    return tables.credits(tables.arrivals(uploads(spark, sf_dir), "upload_id"))
 
 
 _GATE = f"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') AS t FROM documents),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quaestor.functions import labels
 from quaestor.plans.saving import shared_dir
 
-LATE = "1 day"
+LATE, END = "1 day", "2200-01-01 00:00:00"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,25 @@ def drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{home}/out").select(*stream.columns)
 
 
+def closed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The result of a windowed stream in append mode, whose state ends with the watermark: the stream is run on all input
+    there is, then once more with a last event far ahead, which closes the windows that are still open."""
+    home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    last = spark.range(1).select(*[F.lit(END if name == "ts" else None).cast(kind).alias(name) for name, kind in rows.dtypes])
+    last.limit(0).write.parquet(f"{home}/end")
+    ends = spark.readStream.schema(rows.schema).parquet(f"{home}/end").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = build(events(spark, sf_dir).unionByName(ends))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{home}/out/batch={number}")
+
+    for _ in range(2):
+        stream.writeStream.outputMode("append").option("checkpointLocation", f"{home}/log").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+        last.write.mode("append").parquet(f"{home}/end")
+    return spark.read.schema(stream.schema).parquet(f"{home}/out").select(*stream.columns)
+
+
 def counted(by: Callable, *keys: str) -> Callable[[DataFrame], DataFrame]:
     def count(stream: DataFrame) -> DataFrame:
         rows = stream.withWatermark("ts", LATE).groupBy(by(), *keys).agg(F.count("*").alias("n"))

@@ -122,7 +122,7 @@ def test_walks_end_on_cycles(spark):
 
 def test_first_writer_wins(spark):
     up = spark.createDataFrame([(i, 1, u, "h") for i, u in enumerate([7, 8, 9, 9, 7])], "upload_id long, subject long, user long, hash string")
-    got = tables.arrivals(up, F.col("upload_id"))
+    got = tables.arrivals(up, "upload_id")
     assert got.where("created").count() == 1 and {r["user"] for r in tables.credits(got).collect()} == {7, 8, 9}
     assert tables.absent(up, up.where("user = 100"), ["hash"]).count() == 1
 
