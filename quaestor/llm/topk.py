@@ -1,70 +1,82 @@
 """Exact top-k search with two cover trees.
 
-Queries are taken in blocks of QUERIES and indexed in a tree; the rows of each partition in another. Every node has a
-centre and a covering radius, so no product between two nodes exceeds c1.c2 + |c1| r2 + |c2| r1 + r1 r2; a pair of nodes
-is dropped when that is below the worst k-th score of the query node. A first pass over a bounded sample (SAMPLE
-vectors by hash order) gives each query a true lower bound on its k-th score, from which pruning starts; what a
-partition returns is merged by query. Products are of whole numbers and exact in float64.
-
-Vectors null, or with null or non-finite components, take no part; so do empty ones, and rows with null vec_id. A row
-never answers a query of its own vec_id. Vectors of another length than the query's take no part in its answer.
+Rows are dealt into chunks of about CHUNK; a chunk is indexed in a cover tree, and so is each block of at most BLOCK
+queries that meets it. In a cover tree every node is a vector; at each scale, BASE times finer than the one above, its
+children lie farther apart than the scale and cover all vectors below them within it. A node keeps its covering radius,
+so no product between two nodes' vectors exceeds c1.c2 + |c1| r2 + |c2| r1 + r1 r2, and a pair of nodes is dropped when
+that is below the worst k-th score of its queries. A first pass over a bounded sample (SAMPLE vectors by hash order) gives
+each query a true lower bound of its k-th score, from which pruning starts. Queries are copied to every chunk and
+streamed through its task block after block; a task holds one chunk and one block, the driver the sample alone. What the
+chunks return, k for each query at most, is merged by query.
+
+Products are of whole numbers and exact in float64; vectors with whose length and components they might not be (beyond
+2**53 in all) are refused with an error. Ties go to the smaller vec_id. Vectors null, or with null or non-finite
+components, take no part; so do empty ones, and rows with null vec_id. A row never answers a query of its own vec_id;
+rows that repeat a vec_id answer each, and as queries count once (the first in the order of their vectors). Vectors of
+another length than the query's take no part in its answer. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERIES, SAMPLE, LEAF, FAN = 4096, 2048, 64, 8
+CHUNK, BLOCK, SAMPLE, LEAF, BASE, EXACT = 4096, 2048, 2048, 48, 1.4, 2.0**53
+
+
+class Node:
+    """A vector (by row) with its covering radius, the rows it covers and its children, None for a leaf."""
+
+    __slots__ = ("centre", "radius", "rows", "children")
 
+    def __init__(self, centre: int, radius: float, rows: np.ndarray, children: list | None):
+        self.centre, self.radius, self.rows, self.children = centre, radius, rows, children
 
-def tree(x: np.ndarray, rows: np.ndarray | None = None) -> tuple:
-    """(centre, radius, rows, children); children cover their parent's rows, around centres chosen farthest first."""
+
+def cover_tree(x: np.ndarray, rows: np.ndarray | None = None, centre: int | None = None) -> Node:
     rows = np.arange(len(x)) if rows is None else rows
-    part = x[rows]
-    centre = part.mean(0)
-    away = np.sqrt(((part - centre) ** 2).sum(1))
+    centre = int(rows[0]) if centre is None else centre
+    away = np.sqrt(((x[rows] - x[centre]) ** 2).sum(1))
     radius = float(away.max())
     if len(rows) <= LEAF or radius == 0:
-        return centre, radius, rows, []
-    picks = [int(away.argmax())]
-    near = ((part - part[picks[0]]) ** 2).sum(1)
-    owner = np.zeros(len(rows), int)
-    for k in range(1, FAN):
-        if near.max() == 0:
-            break
-        picks.append(int(near.argmax()))
-        d = ((part - part[picks[-1]]) ** 2).sum(1)
-        owner[d < near] = k
-        near = np.minimum(near, d)
-    return centre, radius, rows, [tree(x, rows[owner == k]) for k in range(len(picks)) if (owner == k).any()]
-
-
-def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, worst: np.ndarray) -> list[tuple[int, int, int]]:
+        return Node(centre, radius, rows, None)
+    scale, centres, owner = radius / BASE, [centre], np.zeros(len(rows), int)
+    while away.max() > scale:  # the next child is the vector that no child covers yet, the farthest first
+        centres.append(int(rows[away.argmax()]))
+        d = np.sqrt(((x[rows] - x[centres[-1]]) ** 2).sum(1))
+        owner[d < away] = len(centres) - 1
+        away = np.minimum(away, d)
+    return Node(centre, radius, rows, [cover_tree(x, rows[owner == i], c) for i, c in enumerate(centres)])
+
+
+def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, worst: np.ndarray, x_tree: Node | None = None) -> list[tuple[int, int, int]]:
     """(query, row, score) of every product that may be among a query's k best; worst: lower bounds, raised meanwhile."""
-    best = np.full((len(q), k), -np.inf)
-    best_rows = np.full((len(q), k), -1)
-    stack = [(tree(q), tree(x))]
+    best, best_rows = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
+    q_size, x_size = np.sqrt((q**2).sum(1)), np.sqrt((x**2).sum(1))
+    stack = [(cover_tree(q), x_tree or cover_tree(x))]
     while stack:
-        (qc, qr, qi, qk), (xc, xr, xi, xk) = stack.pop()
-        if qc @ xc + np.linalg.norm(qc) * xr + np.linalg.norm(xc) * qr + qr * xr < worst[qi].min() - 1e-6:
+        a, b = stack.pop()
+        most = q[a.centre] @ x[b.centre] + q_size[a.centre] * b.radius + x_size[b.centre] * a.radius + a.radius * b.radius
+        if most < worst[a.rows].min() - 1e-6:
             continue
-        if qk and (not xk or len(qi) >= len(xi)):
-            stack += [(c, (xc, xr, xi, xk)) for c in qk]
-        elif xk:
-            stack += [((qc, qr, qi, qk), c) for c in sorted(xk, key=lambda c: qc @ c[0])]  # the most promising is popped first
+        if a.children and (not b.children or a.radius >= b.radius):
+            stack += [(child, b) for child in a.children]
+        elif b.children:
+            near = x[[c.centre for c in b.children]] @ q[a.centre]
+            stack += [(a, b.children[i]) for i in np.argsort(near)]  # the most promising is popped first
         else:
-            s = q[qi] @ x[xi].T
-            s[q_ids[qi][:, None] == x_ids[xi][None, :]] = -np.inf
-            all_s = np.hstack([best[qi], s])
-            all_r = np.hstack([best_rows[qi], np.broadcast_to(xi, s.shape)])
+            s = q[a.rows] @ x[b.rows].T
+            s[q_ids[a.rows][:, None] == x_ids[b.rows][None, :]] = -np.inf
+            all_s = np.hstack([best[a.rows], s])
+            all_r = np.hstack([best_rows[a.rows], np.broadcast_to(b.rows, s.shape)])
             ids = np.where(all_r < 0, np.iinfo(np.int64).max, x_ids[all_r])
             order = np.lexsort((ids, -all_s), axis=1)[:, :k]
-            best[qi] = np.take_along_axis(all_s, order, 1)
-            best_rows[qi] = np.take_along_axis(all_r, order, 1)
-            worst[qi] = np.maximum(worst[qi], best[qi][:, -1])
+            best[a.rows], best_rows[a.rows] = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_r, order, 1)
+            worst[a.rows] = np.maximum(worst[a.rows], best[a.rows][:, -1])
     i, j = np.nonzero((best_rows >= 0) & np.isfinite(best) & (best >= worst[:, None]))
     return [(int(q_ids[a]), int(x_ids[best_rows[a, b]]), int(best[a, b])) for a, b in zip(i, j)]
 
@@ -72,42 +84,85 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     x = F.col("embedding")
     fine = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
-    return vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("double")).alias("v"))
+    v = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("double"))
+    rows = vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    # A product is at most the length times the square of the largest component.
+    large = F.array_max(F.transform("v", lambda c: F.abs(c)))
+    return rows.withColumn("v", F.when(F.size("v") * large * large >= EXACT, F.raise_error(F.lit("products of these vectors are not exact")).cast("array<double>")).otherwise(F.col("v")))
+
+
+def matrix(part: pd.DataFrame) -> np.ndarray:
+    return np.stack(part["v"].to_numpy()).astype(float)
+
+
+def bounded(asked: DataFrame, sample: list, k: int) -> DataFrame:
+    """asked with worst: the k-th best score that the sample's rows alone give."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            worst = np.full(len(batch), -np.inf)
+            width = batch["v"].map(len).to_numpy()
+            for w in np.unique(width):
+                near = [s for s in sample if len(s[1]) == w]
+                if near:
+                    at = np.flatnonzero(width == w)
+                    s = matrix(batch.iloc[at]) @ np.array([v for _, v in near]).T
+                    s[batch["vec_id"].to_numpy()[at][:, None] == np.array([i for i, _ in near])[None, :]] = -np.inf
+                    worst[at] = -np.partition(-s, k - 1, 1)[:, k - 1] if len(near) >= k else -np.inf
+            yield batch.assign(worst=worst)
+
+    return asked.mapInPandas(add, "vec_id long, v array<double>, worst double")
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score."""
-    spark, rows = vectors.sparkSession, quantised(vectors)
-    asked = rows.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-asked.count() // (QUERIES // 2)))
+    rows = quantised(vectors)
+    chunks = max(1, -(-rows.count() // CHUNK))
     sample = [(r["vec_id"], r["v"]) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
-    out = None
-    for b in range(blocks):  # a block holds about QUERIES / 2 vectors by hash
-        mine = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)) == b).dropDuplicates(["vec_id"]).collect()
-        sets = []
-        for width in sorted({len(r["v"]) for r in mine}):
-            own = [r for r in mine if len(r["v"]) == width]
-            q, ids = np.array([r["v"] for r in own]), np.array([r["vec_id"] for r in own])
-            near = [s for s in sample if len(s[1]) == width]
-            worst = np.full(len(q), -np.inf)
-            if near:
-                search(q, ids, np.array([s[1] for s in near]), np.array([s[0] for s in near]), k, worst)
-            sets.append((width, q, ids, worst))
-
-        def find(batches, sets=sets):
-            for batch in batches:
-                out = []
-                size = batch["v"].map(len)
-                for width, q, ids, worst in sets:
-                    part = batch[size == width]
-                    if len(part):
-                        out += search(q, ids, np.stack(part["v"].to_numpy()), part["vec_id"].to_numpy(), k, worst)
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-        found = rows.mapInPandas(find, "query_id long, vec_id long, score long")
-        out = found if out is None else out.unionByName(found)
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = bounded(asked, sample, k).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    dealt = rows.select("vec_id", "v", F.lit(None).cast("double").alias("worst"), F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(chunks)).cast("int").alias("chunk"))
+    both = dealt.withColumn("asks", F.lit(0)).unionByName(asked.withColumn("asks", F.lit(1)))
+    both = both.repartition(chunks, "chunk").sortWithinPartitions("chunk", "asks", F.size("v"), F.xxhash64("vec_id"))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, parts, trees, waiting = None, [], {}, []
+
+        def answers() -> pd.DataFrame:
+            out = []
+            asked_ = pd.concat(waiting)
+            for w, group in asked_.groupby(asked_["v"].map(len)):
+                if w in trees:
+                    x, ids, tree = trees[w]
+                    out += search(matrix(group), group["vec_id"].to_numpy(), x, ids, k, group["worst"].to_numpy().copy(), tree)
+            return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            for (chunk, asks), part in batch.groupby(["chunk", "asks"], sort=True):
+                if chunk != at:
+                    if waiting:
+                        yield answers()
+                    at, parts, trees, waiting = chunk, [], {}, []
+                if not asks:
+                    parts.append(part)
+                    continue
+                if parts:  # the chunk's rows are all there
+                    held = pd.concat(parts)
+                    for w, group in held.groupby(held["v"].map(len)):
+                        x = matrix(group)
+                        trees[w] = (x, group["vec_id"].to_numpy(), cover_tree(x))
+                    parts = []
+                for low in range(0, len(part), BLOCK):
+                    waiting.append(part.iloc[low : low + BLOCK])
+                    if sum(map(len, waiting)) >= BLOCK:
+                        yield answers()
+                        waiting = []
+        if waiting:
+            yield answers()
+
+    found = both.mapInPandas(find, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """
