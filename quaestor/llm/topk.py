@@ -1,7 +1,7 @@
 """Exact top-k search with two cover trees.
 
-Rows are dealt into chunks of about CHUNK; a chunk is indexed in a cover tree, and so is each block of at most BLOCK
-queries that meets it. In a cover tree every node is a vector; at each scale, BASE times finer than the one above, its
+Rows are dealt into chunks of CHUNK to MOST rows; a chunk is indexed in cover trees of TREE rows, and so is each block of
+at most BLOCK queries that meets it. In a cover tree every node is a vector; at each scale, BASE times finer than the one above, its
 children lie farther apart than the scale and cover all vectors below them within it. A node keeps its covering radius,
 so no product between two nodes' vectors exceeds c1.c2 + |c1| r2 + |c2| r1 + r1 r2, and a pair of nodes is dropped when
 that is below the worst k-th score of its queries. A first pass over a bounded sample (SAMPLE vectors by hash order) gives
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK, BLOCK, SAMPLE, LEAF, BASE, EXACT = 4096, 2048, 2048, 48, 1.4, 2.0**53
+CHUNK, MOST, TREE, BLOCK, SAMPLE, LEAF, BASE, EXACT = 8192, 131_072, 1024, 2048, 2048, 64, 1.4, 2.0**53
 
 
 class Node:
@@ -53,32 +53,58 @@ def cover_tree(x: np.ndarray, rows: np.ndarray | None = None, centre: int | None
     return Node(centre, radius, rows, [cover_tree(x, rows[owner == i], c) for i, c in enumerate(centres)])
 
 
-def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, worst: np.ndarray, x_tree: Node | None = None) -> list[tuple[int, int, int]]:
-    """(query, row, score) of every product that may be among a query's k best; worst: lower bounds, raised meanwhile."""
-    best, best_rows = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
-    q_size, x_size = np.sqrt((q**2).sum(1)), np.sqrt((x**2).sum(1))
-    stack = [(cover_tree(q), x_tree or cover_tree(x))]
-    while stack:
-        a, b = stack.pop()
-        most = q[a.centre] @ x[b.centre] + q_size[a.centre] * b.radius + x_size[b.centre] * a.radius + a.radius * b.radius
-        if most < worst[a.rows].min() - 1e-6:
-            continue
-        if a.children and (not b.children or a.radius >= b.radius):
-            stack += [(child, b) for child in a.children]
-        elif b.children:
-            near = x[[c.centre for c in b.children]] @ q[a.centre]
-            stack += [(a, b.children[i]) for i in np.argsort(near)]  # the most promising is popped first
-        else:
-            s = q[a.rows] @ x[b.rows].T
-            s[q_ids[a.rows][:, None] == x_ids[b.rows][None, :]] = -np.inf
-            all_s = np.hstack([best[a.rows], s])
-            all_r = np.hstack([best_rows[a.rows], np.broadcast_to(b.rows, s.shape)])
-            ids = np.where(all_r < 0, np.iinfo(np.int64).max, x_ids[all_r])
-            order = np.lexsort((ids, -all_s), axis=1)[:, :k]
-            best[a.rows], best_rows[a.rows] = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_r, order, 1)
-            worst[a.rows] = np.maximum(worst[a.rows], best[a.rows][:, -1])
-    i, j = np.nonzero((best_rows >= 0) & np.isfinite(best) & (best >= worst[:, None]))
-    return [(int(q_ids[a]), int(x_ids[best_rows[a, b]]), int(best[a, b])) for a, b in zip(i, j)]
+def leaves(node: Node) -> Iterator[Node]:
+    if node.children is None:
+        yield node
+    for child in node.children or ():
+        yield from leaves(child)
+
+
+class Search:
+    """One block of queries against trees: groups of queries (the leaves of their own tree) go down a tree together."""
+
+    def __init__(self, q: np.ndarray, q_ids: np.ndarray, k: int, worst: np.ndarray):
+        self.q, self.ids, self.k, self.worst = q, q_ids, k, worst
+        self.groups = list(leaves(cover_tree(q)))
+        centres = [g.centre for g in self.groups]
+        self.centres, self.radii = q[centres], np.array([g.radius for g in self.groups])
+        self.sizes = np.sqrt((self.centres**2).sum(1))
+        self.found = (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))  # query, row's id, score
+
+    def bounds(self, groups: np.ndarray, c: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Whether a pair of a group and a node (centre, radius) may hold a product as good as a k-th score of the group."""
+        least = np.array([self.worst[self.groups[g].rows].min() for g in groups])
+        most = self.centres[groups] @ c.T + self.sizes[groups][:, None] * r + np.sqrt((c**2).sum(1)) * self.radii[groups][:, None] + self.radii[groups][:, None] * r
+        return most >= least[:, None] - 1e-6
+
+    def score(self, groups: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+        rows = np.concatenate([self.groups[g].rows for g in groups])
+        s = self.q[rows] @ x.T
+        s[self.ids[rows][:, None] == ids[None, :]] = -np.inf
+        i, j = np.nonzero((s >= self.worst[rows][:, None]) & (s > -np.inf))
+        query, of, score = (np.concatenate(z) for z in zip(self.found, (rows[i], ids[j], s[i, j])))
+        order = np.lexsort((of, -score, query))
+        query, of, score = query[order], of[order], score[order]
+        first = np.searchsorted(query, query)  # where each query's run begins
+        place = np.arange(len(query)) - first
+        last = place == self.k - 1
+        self.worst[query[last]] = np.maximum(self.worst[query[last]], score[last])
+        self.found = tuple(z[place < self.k] for z in (query, of, score))
+
+    def visit(self, x: np.ndarray, ids: np.ndarray, node: Node, groups: np.ndarray | None = None) -> None:
+        groups = np.arange(len(self.groups)) if groups is None else groups
+        kids = node.children or [node]
+        may = self.bounds(groups, x[[c.centre for c in kids]], np.array([c.radius for c in kids]))
+        ends = np.array([c.children is None for c in kids])
+        if (may & ends).any():
+            rows = np.concatenate([kids[i].rows for i in np.flatnonzero(ends & may.any(0))])
+            self.score(groups[(may & ends).any(1)], x[rows], ids[rows])
+        for i in np.flatnonzero(~ends & may.any(0)):
+            self.visit(x, ids, kids[i], groups[may[:, i]])
+
+    def best(self) -> list[tuple[int, int, int]]:
+        """(query, row, score) of every product that may be among a query's k best."""
+        return [(int(self.ids[q]), int(i), int(s)) for q, i, s in zip(*self.found)]
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -117,7 +143,8 @@ def bounded(asked: DataFrame, sample: list, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score."""
     rows = quantised(vectors)
-    chunks = max(1, -(-rows.count() // CHUNK))
+    n = rows.count()
+    chunks = max(1, -(-n // min(MOST, max(CHUNK, n // 4096))))
     sample = [(r["vec_id"], r["v"]) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = bounded(asked, sample, k).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
@@ -133,8 +160,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
             asked_ = pd.concat(waiting)
             for w, group in asked_.groupby(asked_["v"].map(len)):
                 if w in trees:
-                    x, ids, tree = trees[w]
-                    out += search(matrix(group), group["vec_id"].to_numpy(), x, ids, k, group["worst"].to_numpy().copy(), tree)
+                    run = Search(matrix(group), group["vec_id"].to_numpy(), k, group["worst"].to_numpy().copy())
+                    for x, ids, tree in trees[w]:
+                        run.visit(x, ids, tree)
+                    out += run.best()
             return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
         for batch in batches:
@@ -149,8 +178,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 if parts:  # the chunk's rows are all there
                     held = pd.concat(parts)
                     for w, group in held.groupby(held["v"].map(len)):
-                        x = matrix(group)
-                        trees[w] = (x, group["vec_id"].to_numpy(), cover_tree(x))
+                        x, ids = matrix(group), group["vec_id"].to_numpy()
+                        trees[w] = [(x[i : i + TREE], ids[i : i + TREE], cover_tree(x[i : i + TREE])) for i in range(0, len(x), TREE)]
                     parts = []
                 for low in range(0, len(part), BLOCK):
                     waiting.append(part.iloc[low : low + BLOCK])
