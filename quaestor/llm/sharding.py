@@ -1,13 +1,14 @@
 """Sharding with a k-d tree.
 
 Cells are split at distributed weighted medians along their widest metadata dimension until there is a leaf for each
-shard. The point of a row is a function of its text alone (bytes, characters, white space), so equal texts fall into one
-leaf with no join, and the tree is applied as one expression. Ties in a dimension are ordered by a hash of the text, so
-medians can cut anywhere between two texts. A text whose copies together outweigh a shard gets a shard of its own.
-Only histograms reach the driver: at most cells x 4096 rows, whatever the input.
+shard: the logarithm of the length, and the places of language and source on a line (by checksum). Equal texts take the
+metadata of the one with the least doc_id among them, so they fall into one leaf, and the tree is applied as one
+expression. Ties in a dimension are ordered by a hash of the text, so medians can cut anywhere between two texts. A text
+whose copies together outweigh a shard gets a shard of its own. Only histograms reach the driver: at most cells x 4096
+rows, whatever the input.
 
-Null text weighs 8 bytes and is no group with the empty text's hash left out: both are texts of length 0 and go together.
-Repeated rows each get a slot. An empty table gives an empty result. Other columns are not read.
+A null text weighs 8 bytes and goes with the empty one; null language or source is a place of its own. Repeated rows each
+get a slot. An empty table gives an empty result. Language and source may be missing; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from quaestor.llm.common import buckets_for, cut, numbered
 
 BITS, ROUND = 48, 12  # a composite key: 20 bits of the dimension, 28 of the hash; refined 12 bits a round
-DIMS = ("bytes", "chars", "spaces")
+DIMS = ("length", "lang", "source")
 
 
 def _key(dim: str, low: float, high: float) -> Column:
@@ -27,8 +28,8 @@ def _key(dim: str, low: float, high: float) -> Column:
     return F.shiftleft(F.greatest(F.lit(0), F.least(F.lit(2**20 - 1), place)).cast("long"), 28) + F.pmod(F.col("h"), F.lit(2**28))
 
 
-def kd_shards(points: DataFrame, shards: int) -> Column:
-    """The shard of each row of points (bytes, chars, spaces, h, size) as a column expression."""
+def kd_shards(points: DataFrame, shards: int) -> tuple[DataFrame, list[int], int]:
+    """(points with leaf, texts with shards of their own, number of leaves) of points (DIMS, h, size)."""
     total = points.agg(F.sum("size").alias("s")).first()["s"] or 0
     giants = [r["h"] for r in points.groupBy("h").agg(F.sum("size").alias("s")).where(F.col("s") * shards > total).orderBy(F.desc("s"), "h").limit(shards - 1).collect()]
     light = points.where(~F.col("h").isin(giants)) if giants else points
@@ -79,22 +80,21 @@ def kd_shards(points: DataFrame, shards: int) -> Column:
         cells, shard = split, grown
         light = cut(light.withColumn("leaf", shard))
         shard = F.col("leaf")
-        if any(n > 1 for _, n in cells):
-            continue
-    return light, giants, leaves
+    return light.withColumn("leaf", shard), giants, leaves
 
 
 def sharded(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    raw = text.cast("binary")
-    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(text, F.lit(7)).alias("h"), F.octet_length(text).cast("double").alias("bytes"), F.length(text).cast("double").alias("chars"), F.greatest(F.length(text) - F.length(F.translate(text, " \n\t", "")), F.lit(0)).cast("double").alias("spaces"))
+    place = lambda c: (F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) / 2.0**32 if c in docs.columns else F.lit(0.0)).alias(c)
+    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.lit(7)).alias("h"), place("lang"), place("source"))
     rows = cut(rows)
-    light, giants, leaves = kd_shards(rows, shards)
-    if "leaf" not in light.columns:
-        light = light.withColumn("leaf", F.lit(0))
+    first = rows.groupBy("h").agg(F.min_by(F.struct("lang", "source"), F.struct("doc_id", "lang", "source")).alias("of"))
+    points = cut(rows.drop("lang", "source").join(first, "h").select("doc_id", "size", "text_crc32", "h", F.log2(F.col("size").cast("double")).alias("length"), "of.lang", "of.source"))
+    light, giants, leaves = kd_shards(points, shards)
     placed = light.select("doc_id", "size", "text_crc32", F.col("leaf").cast("int").alias("shard"))
-    for i, h in enumerate(giants):
-        placed = placed.unionByName(rows.where(F.col("h") == h).select("doc_id", "size", "text_crc32", F.lit(leaves + i).cast("int").alias("shard")))
-    out = numbered(placed, ["shard"], [F.col("doc_id"), F.col("text_crc32")], F.lit(1), "slot", buckets_for(rows.count()))
+    if giants:
+        own = F.coalesce(*[F.when(F.col("h") == h, leaves + i) for i, h in enumerate(giants)])
+        placed = placed.unionByName(points.where(F.col("h").isin(giants)).select("doc_id", "size", "text_crc32", own.cast("int").alias("shard")))
+    out = numbered(placed, ["shard"], [F.col("doc_id"), F.col("text_crc32")], F.lit(1), "slot", buckets_for(points.count()))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
