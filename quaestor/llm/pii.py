@@ -3,10 +3,14 @@
 E-mail addresses, payment card numbers (Luhn-checked), IPv4 addresses, phone and social security numbers, access keys
 and dates are found in whole texts. Each is permuted by a keyed Feistel network inside its format: a half's characters
 move within their class (digit, lower, upper) by an amount keyed by the other half, so equal values get equal
-pseudonyms in every document and different ones never meet. Cards get a new check digit, addresses move within 32 bits,
-dates within the 72,800 days from 1900-01-01. Values that fail their check (octets over 255, no such day) stay.
-
-Null text stays null, with nothing found. Rows are independent: repeated rows and other columns change nothing.
+pseudonyms in every document and different ones never meet. Only digits of cards, phones and social security numbers
+move and separators are put back, and a date is permuted as a day, so a value stays linked however it is written. Cards
+get a new check digit, addresses move within 32 bits, dates within the 72,800 days from 1900-01-01, both parts of e-mail
+addresses but the last label. Who has the key can undo all of it (`undo`).
+
+Values that fail their check stay: octets over 255 or with leading zeros, no such day, numbers that no social security
+number has. Dates are ISO, day/month/year, or day, English month and year. Null text stays null, with nothing found. Rows
+are independent: repeated rows and other columns change nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,12 +23,15 @@ ROUNDS, ACROSS, DOWN = 4, 280, 260
 KINDS = {
     "email": r"[A-Za-z0-9_%+\-][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
     "date": r"(?<![0-9\-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9\-])",
+    "slash": r"(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])",
+    "written": r"(?<![0-9])[0-9]{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{4}(?![0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "phone": r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|(?<![0-9])[0-9]{3}[ .\-])[0-9]{3}[.\-][0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}|[0-9]{13,19})(?![0-9])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
 }
+DAYS = {"date": "yyyy-MM-dd", "slash": "dd/MM/yyyy", "written": "d MMMM yyyy"}
 ANY = "|".join(KINDS.values())
 
 
@@ -42,31 +49,47 @@ def _moved(chars: Column, by) -> Column:
     return F.transform(chars, one)
 
 
-def feistel_text(value: Column, key: Column) -> Column:
-    """A permutation of the strings of value's format: characters keep their class and place."""
+def _rounds(undo: bool) -> Column:
+    return F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if undo else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+
+
+def feistel_text(value: Column, key: Column, undo: bool = False) -> Column:
+    """A permutation of the strings of value's format: characters keep their class and place. undo is its inverse."""
     chars = F.split(value, "")
     cut = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.slice(chars, F.lit(1), cut).alias("l"), F.slice(chars, cut + 1, F.length(value)).alias("r"))
+    sign = -1 if undo else 1
 
     def step(s: Column, i: Column) -> Column:
         even = i % 2 == 0
         other = F.array_join(F.when(even, s["r"]).otherwise(s["l"]), "")
-        move = lambda half: _moved(half, lambda at: _number(key, i, other, at))
+        move = lambda half: _moved(half, lambda at: sign * _number(key, i, other, at))
         return F.struct(F.when(even, move(s["l"])).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(move(s["r"])).alias("r"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.array_join(F.concat(s["l"], s["r"]), ""))
+    return F.aggregate(_rounds(undo), start, step, lambda s: F.array_join(F.concat(s["l"], s["r"]), ""))
 
 
-def feistel_pair(left: Column, right: Column, a: int, b: int, key: Column) -> Column:
-    """A permutation of the pairs below (a, b), as struct l, r of longs."""
+def feistel_pair(left: Column, right: Column, a: int, b: int, key: Column, undo: bool = False) -> Column:
+    """A permutation of the pairs below (a, b), as struct l, r of longs. undo is its inverse."""
+    sign = -1 if undo else 1
 
     def step(s: Column, i: Column) -> Column:
         even = i % 2 == 0
-        l = F.when(even, F.pmod(s["l"] + _number(key, i, s["r"]), F.lit(a))).otherwise(s["l"])
-        r = F.when(even, s["r"]).otherwise(F.pmod(s["r"] + _number(key, i, s["l"]), F.lit(b)))
+        l = F.when(even, F.pmod(s["l"] + sign * _number(key, i, s["r"]), F.lit(a))).otherwise(s["l"])
+        r = F.when(even, s["r"]).otherwise(F.pmod(s["r"] + sign * _number(key, i, s["l"]), F.lit(b)))
         return F.struct(l.cast("long").alias("l"), r.cast("long").alias("r"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), step)
+    return F.aggregate(_rounds(undo), F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), step)
+
+
+def digits_of(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9]", "")
+
+
+def refilled(value: Column, digits: Column) -> Column:
+    """value with its digits, in order, replaced by others; all else stays."""
+    nth = lambda i: F.length(digits_of(F.substring(value, F.lit(1), i + 1)))
+    return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.between("0", "9"), F.substring(digits, nth(i), F.lit(1))).otherwise(c)), "")
 
 
 def luhn_sum(digits: Column, doubled: int) -> Column:
@@ -75,43 +98,60 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
+def day_of(value: Column, kind: str) -> Column:
+    """Days since 1900-01-01; null for no day, or one that is written otherwise in this format."""
+    day = F.try_to_timestamp(value, F.lit(DAYS[kind])).cast("date")
+    return F.when(F.date_format(day, DAYS[kind]) == value, F.datediff(day, F.lit("1900-01-01").cast("date")))
+
+
 def kind_of(value: Column) -> Column:
     """The kind of a matched value, null if it fails its check."""
     whole = lambda kind: value.rlike(f"^(?:{KINDS[kind]})$")
-    day = F.datediff(F.try_to_timestamp(value, F.lit("yyyy-MM-dd")).cast("date"), F.lit("1900-01-01").cast("date"))
+    out = F.when(F.contains(value, F.lit("@")), F.lit("email"))
+    for kind in DAYS:
+        out = out.when(whole(kind), F.when(day_of(value, kind).between(0, ACROSS * DOWN - 1), F.lit(kind)))
     return (
-        F.when(F.contains(value, F.lit("@")), F.lit("email"))
-        .when(whole("date"), F.when(day.between(0, ACROSS * DOWN - 1), F.lit("date")))
-        .when(whole("ipv4"), F.when(F.forall(F.split(value, r"\."), lambda o: o.cast("int") <= 255), F.lit("ipv4")))
-        .when(whole("ssn"), F.lit("ssn"))
+        out.when(whole("ipv4"), F.when(F.forall(F.split(value, r"\."), lambda o: (o.cast("int") <= 255) & (o.cast("int").cast("string") == o)), F.lit("ipv4")))
+        .when(whole("ssn"), F.when(~value.rlike("^(?:000|666|9)|-00-|-0000$"), F.lit("ssn")))
         .when(whole("phone"), F.lit("phone"))
         .when(whole("card"), F.when(luhn_sum(F.translate(value, " -", ""), 1) % 10 == 0, F.lit("card")))
         .when(whole("key"), F.lit("key"))
     )
 
 
-def pseudonym(value: Column, kind: Column, key: Column) -> Column:
-    body = feistel_text(F.substring(value, F.lit(1), F.length(value) - 1), F.concat(key, F.lit("card")))
-    card = F.transform(F.array(body), lambda b: F.concat(b, F.pmod(-luhn_sum(F.translate(b, " -", ""), 0), F.lit(10)).cast("string")))[0]
+def pseudonym(value: Column, kind: Column, secret: Column, undo: bool = False) -> Column:
+    """The pseudonym of a value of a kind; undo gives the value of a pseudonym."""
+    one = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  x is worked out once
+    text = lambda x, name: feistel_text(x, F.concat(secret, F.lit(name)), undo)
+    pair = lambda x, y, a, b, name: feistel_pair(x, y, a, b, F.concat(secret, F.lit(name)), undo)
+    plain = digits_of(value)
+    body = text(F.substring(plain, F.lit(1), F.length(plain) - 1), "card")
+    card = one(body, lambda b: refilled(value, F.concat(b, F.pmod(-luhn_sum(b, 0), F.lit(10)).cast("string"))))
     octet = lambda i: F.split(value, r"\.")[i].cast("long")
-    ip = F.transform(F.array(feistel_pair(octet(0) * 256 + octet(1), octet(2) * 256 + octet(3), 65536, 65536, F.concat(key, F.lit("ipv4")))), lambda s: F.concat_ws(".", *[x.cast("long").cast("string") for h in ("l", "r") for x in (F.floor(s[h] / 256), s[h] % 256)]))[0]
-    day = F.datediff(F.try_to_timestamp(value, F.lit("yyyy-MM-dd")).cast("date"), F.lit("1900-01-01").cast("date"))
-    date = F.transform(F.array(feistel_pair(F.floor(day / DOWN), day % DOWN, ACROSS, DOWN, F.concat(key, F.lit("date")))), lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (s["l"] * DOWN + s["r"]).cast("int")).cast("string"))[0]
-    cc = F.regexp_extract(value, r"^\+[0-9]{1,3}[ .\-]?", 0)
-    phone = F.concat(cc, feistel_text(F.substring(value, F.length(cc) + 1, F.length(value)), F.concat(key, F.lit("phone"))))
-    at = F.locate("@", value)
-    email = F.concat(feistel_text(F.substring(value, F.lit(1), at - 1), F.concat(key, F.lit("email"), F.lower(F.substring(value, at, F.length(value))))), F.substring(value, at, F.length(value)))
-    access = F.concat(F.substring(value, 1, 4), feistel_text(F.substring(value, F.lit(5), F.length(value)), F.concat(key, F.lit("key"))))
-    return F.when(kind == "card", card).when(kind == "ipv4", ip).when(kind == "date", date).when(kind == "phone", phone).when(kind == "email", email).when(kind == "key", access).when(kind == "ssn", feistel_text(value, F.concat(key, F.lit("ssn")))).otherwise(value)
-
-
-def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
-    """doc_id, text (values replaced), n_found, kinds (sorted, with repeats)."""
+    ip = one(pair(octet(0) * 256 + octet(1), octet(2) * 256 + octet(3), 65536, 65536, "ipv4"), lambda s: F.concat_ws(".", *[x.cast("long").cast("string") for h in ("l", "r") for x in (F.floor(s[h] / 256), s[h] % 256)]))
+    prefix = F.regexp_extract(value, r"^\+[0-9]{1,3}[ .\-]?", 0)
+    rest = F.substring(value, F.length(prefix) + 1, F.length(value))
+    phone = F.concat(prefix, one(text(digits_of(rest), "phone"), lambda d: refilled(rest, d)))
+    ssn = one(text(plain, "ssn"), lambda d: refilled(value, d))
+    name, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+    label, last = F.regexp_extract(host, r"^(.*)\.[^.]*$", 1), F.regexp_extract(host, r"(\.[^.]*)$", 1)
+    email = F.concat(text(name, "email"), F.lit("@"), text(label, "host"), last)
+    access = F.concat(F.substring(value, 1, 4), text(F.substring(value, F.lit(5), F.length(value)), "key"))
+    out = F.when(kind == "card", card).when(kind == "ipv4", ip).when(kind == "phone", phone).when(kind == "email", email).when(kind == "key", access).when(kind == "ssn", ssn)
+    for name_, form in DAYS.items():
+        day = day_of(value, name_)
+        moved = pair(F.floor(day / DOWN), day % DOWN, ACROSS, DOWN, "date")
+        out = out.when(kind == name_, F.date_format(one(moved, lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (s["l"] * DOWN + s["r"]).cast("int"))), form))
+    return out.otherwise(value)
+
+
+def pseudonymised(docs: DataFrame, key: str, undo: bool = False) -> DataFrame:
+    """doc_id, text (values replaced), n_found, kinds (sorted, with repeats). undo: texts with pseudonyms get their values back."""
     text, secret = F.col("text"), F.lit(key)
     found = F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0)))
     marked = docs.select("doc_id", "text", F.transform(found, lambda v: F.struct(v.alias("v"), kind_of(v).alias("k"))).alias("found"))
     gaps = F.split(text, ANY, -1)
-    new = F.concat(F.transform("found", lambda x: pseudonym(x["v"], x["k"], secret)), F.array(F.lit("")))
+    new = F.concat(F.transform("found", lambda x: pseudonym(x["v"], x["k"], secret, undo)), F.array(F.lit("")))
     whole = F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, p: F.array(g, p))), "")
     kinds = F.array_sort(F.transform(F.filter("found", lambda x: x["k"].isNotNull()), lambda x: x["k"]))
     kinds = F.coalesce(kinds, F.array().cast("array<string>"))
