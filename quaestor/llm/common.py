@@ -19,7 +19,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder the cluster names; survives lost executors."""
     context = df.sparkSession.sparkContext
     if context.getConf().get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))  # only where the cluster names none
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))  # one machine, as in tests
     return df.checkpoint()
 
 
