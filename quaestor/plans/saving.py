@@ -11,7 +11,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's checkpoint folder, or one of our own where none is set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
     return context.getCheckpointDir()
 
 
