@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaestor.llm.common import cut
+from quaestor.llm.common import cut, small
 
 HEAVY, TRACKED = 1000, 20_000
 
@@ -34,13 +34,16 @@ def verdicts(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) -> Dat
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: one for each text, also where ids are null or repeat."""
-    seen = verdicts(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"))
-    seen = seen.where(~F.col("_kept") | (F.col("_n") > 1))
-    marked = docs.withColumn("_text_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha"))
-    once = marked.join(seen, same, "left_anti").select(*docs.columns)
-    again = marked.join(seen.where("_kept"), same).groupBy("_text_sha").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return once.unionByName(again)
+    seen = verdicts(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    seen = cut(seen.where(~F.col("kept") | (F.col("n") > 1)).select(F.col("doc_id").alias("d"), F.col("text_sha256").alias("h"), "kept"))
+    # The documents travel as one struct, so no helper column meets one of theirs.
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sha") == F.col("h"))
+    once = keyed.join(small(seen), same, "left_anti").select("doc.*")
+    repeated = seen.where("kept")
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(keyed.join(small(repeated), same).groupBy("sha").agg(F.first("doc").alias("doc")).select("doc.*"))
 
 
 SQL = """

@@ -328,6 +328,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each component, with all columns: of rows that repeat a doc_id the one with the least text hash."""
-    lost = verdicts(docs).where(~F.col("stays")).select(F.col("doc_id").alias("_lost"), F.col("t").alias("_lost_t")).distinct()
-    same = (F.col("doc_id").cast("long") == F.col("_lost")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_lost_t"))
-    return docs.join(small(lost), same, "left_anti")
+    lost = verdicts(docs).where(~F.col("stays")).select(F.col("doc_id").alias("d"), F.col("t").alias("h")).distinct()
+    # The documents travel as one struct, so no helper column meets one of theirs.
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+    return keyed.join(small(lost), (F.col("doc_id") == F.col("d")) & (F.col("t") == F.col("h")), "left_anti").select("doc.*")
