@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quaestor.llm import exact_dedup, mixing, neardup, packing, toxicity
 from quaestor.llm.common import cut, table
@@ -15,8 +16,9 @@ ORACLE_SQL = None  # a learned grammar, MinHash links and a tokenizer are beyond
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar rejects go; it learns from the labelled rows outside the held-out fold."""
-    scored = toxicity.scored(docs, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), "_score", "_toxic")
-    return scored.where("_toxic = 0").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")  # so that no helper column meets one of theirs
+    scored = toxicity.scored(whole, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 0").select("doc.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
