@@ -61,6 +61,12 @@ def retried(commit: Callable[[], object], attempts: int = 4, base_s: float = 0.0
             sleep(base_s * 2**n * (0.5 + random.random()))
 
 
+def retry_after_ms(attempt: Column, key: Column, base_ms: int = 2000, jitter: float = 0.5) -> Column:
+    """When a job's attempt (from 1) is tried again: twice as late each time, off by up to half, the same on every run."""
+    share = F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(1000)) / 1000.0
+    return F.floor(base_ms * F.pow(F.lit(2.0), (attempt - 1).cast("double")) * (1 - jitter + 2 * jitter * share)).cast("long")
+
+
 def attributed(jobs: DataFrame, papers: DataFrame, questions: DataFrame, clusters: DataFrame) -> DataFrame:
     """jobs (subject_id, paper_id, question_id, question_ids, cluster_ids) with subject: of the first of these that a job names."""
     subject, paper = F.col("subject_id").isNull(), F.col("paper_id").isNull()

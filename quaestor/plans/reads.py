@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quaestor.functions import text
 from quaestor.operators import graph, reads, tables
 from quaestor.plans import binding, registry, relations, statistics
 from quaestor.plans.binding import LABELLED, table
@@ -321,3 +322,45 @@ def put_if_absent(spark, sf_dir):
     """How many blobs a sink that holds every fifth key has still to write."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_totalprice") > 150000, "big").otherwise("small").alias("size"))
     return tables.absent(rows, rows.where("o_orderkey % 5 = 0"), ["o_orderkey"]).groupBy("size").agg(F.count("*").alias("written"))
+
+
+@query("""WITH a AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events WHERE event_type = 'error')
+SELECT event_id, attempt, attempt < 5 AS again FROM a""", bound=False)
+def retry_schedule(spark, sf_dir):
+    """Which failures are tried again: of five attempts, all but the last."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").where("event_type = 'error'").withColumn("attempt", F.row_number().over(order).cast("long"))
+    return rows.select("event_id", "attempt", (F.col("attempt") < 5).alias("again"))
+
+
+@query("""SELECT 'university' AS kind, r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT 'regulation', n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'revised' ELSE n_name END FROM nation
+UNION ALL SELECT 'subject', s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'renamed' ELSE s_name END FROM supplier UNION ALL SELECT 'unit', p_partkey, p_name FROM part UNION ALL SELECT 'unit', -1, 'a new unit'""", bound=False)
+def seed_corpus(spark, sf_dir):
+    """The four tables of a corpus after a seed: nothing new, changed rows, renamed ones, and one more."""
+    of = lambda name, key, value: table(spark, sf_dir, name).select(F.col(key).cast("long").alias("id"), F.col(value).alias("name"))
+    region, nation, supplier, part = of("region", "r_regionkey", "r_name"), of("nation", "n_nationkey", "n_name"), of("supplier", "s_suppkey", "s_name"), of("part", "p_partkey", "p_name")
+    seeds = {"university": (region, region.limit(0)), "regulation": (nation, nation.where("id % 4 = 0").select("id", F.lit("revised").alias("name"))), "subject": (supplier, supplier.where("id % 3 = 0").select("id", F.lit("renamed").alias("name"))), "unit": (part, spark.range(1).select((F.col("id") - 1).alias("id"), F.lit("a new unit").alias("name")))}
+    out = None
+    for kind, (rows, seed) in seeds.items():
+        done = tables.upsert(rows, seed, ["id"]).select(F.lit(kind).alias("kind"), "id", "name")
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
+@query(LABELLED + """, c AS (SELECT subject_id, part_id, CAST(exam_year AS VARCHAR) || ' ' || upper(session) || ' Q' || CAST(number AS VARCHAR) || coalesce('(' || label || ')', '') AS citation FROM labelled)
+SELECT subject_id, part_id, count(*) AS n, string_agg(citation, ';' ORDER BY citation) AS evidence FROM c GROUP BY ALL""")
+def cluster_evidence(spark, sf_dir):
+    """Each cluster with the citations of its questions, nested, then written out."""
+    rows = binding.labelled(spark, sf_dir)
+    cited = rows.select("subject_id", "part_id", text.citation(F.col("exam_year"), F.col("session"), F.col("number").cast("string"), F.col("label")).alias("citation"))
+    nested = cited.groupBy("subject_id", "part_id").agg(F.array_sort(F.collect_list("citation")).alias("evidence"))
+    return nested.select("subject_id", "part_id", F.size("evidence").cast("long").alias("n"), F.array_join("evidence", ";").alias("evidence"))
+
+
+@query(statistics.CONCEPTS + """, l AS (SELECT subject_id, concept_id, string_agg(CAST(part_id AS VARCHAR), ';' ORDER BY part_id) AS clusters FROM linked WHERE n >= 3 GROUP BY ALL)
+SELECT subject_id, concept_id, cost AS study_cost_min, place, clusters FROM ranked LEFT JOIN l USING (subject_id, concept_id)""")
+def concept_detail(spark, sf_dir):
+    """Each concept with its cost and rank and the clusters that ask for it often; null where none does."""
+    often = statistics.concepts.linked(statistics.evidence(spark, sf_dir)).where("n >= 3").groupBy("subject_id", "concept_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part_id")), lambda p: p.cast("string")), ";").alias("clusters"))
+    rows = statistics.ranked(spark, sf_dir).select("subject_id", "concept_id", F.col("cost").alias("study_cost_min"), "place")
+    return rows.join(often, ["subject_id", "concept_id"], "left")

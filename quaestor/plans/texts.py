@@ -55,17 +55,26 @@ def s1_routing(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.route(F.col("text")).alias("text_source"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, p_name AS clean, CASE WHEN l_quantity > 0 THEN CAST(l_quantity AS INT) END AS marks FROM lineitem JOIN part ON l_partkey = p_partkey""", bound=False)
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 4 = 2 THEN p_name || ' (0)' WHEN l_linenumber % 4 = 3 THEN '(5) ' || p_name ELSE p_name END AS clean,
+CASE WHEN l_linenumber % 4 < 2 AND l_quantity > 0 THEN CAST(l_quantity AS INT) END AS marks FROM lineitem JOIN part ON l_partkey = p_partkey""", bound=False)
 def strip_trailing_marks(spark, sf_dir):
-    """Question texts that end in (n) or [n marks]."""
+    """Question texts that end in (n) or [n marks], in (0), or begin with (5)."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").join(part, "l_partkey")
-    n = F.col("l_quantity").cast("int").cast("string")
-    printed = F.when(F.col("l_linenumber") % 2 == 0, F.concat("p_name", F.lit(" ("), n, F.lit(")"))).otherwise(F.concat("p_name", F.lit(" ["), n, F.lit(" Marks] ")))
+    n, k = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber") % 4
+    printed = F.when(k == 0, F.concat("p_name", F.lit(" ("), n, F.lit(")"))).when(k == 1, F.concat("p_name", F.lit(" ["), n, F.lit(" Marks] "))).when(k == 2, F.concat("p_name", F.lit(" (0)"))).otherwise(F.concat(F.lit("(5) "), "p_name"))
     got = rows.select("l_orderkey", "l_linenumber", "l_partkey", text.trailing_marks(printed).alias("x"))
     return got.select("l_orderkey", "l_linenumber", "l_partkey", "x.clean", "x.marks")
 
 
+@query(_GATE + f""", n AS (SELECT doc_id, sha256({_NORMAL}) AS by_text, sha256('provisional:' || 'bytes ' || CAST(doc_id AS VARCHAR)) AS by_bytes FROM documents)
+SELECT doc_id, CASE WHEN reason IS NULL THEN by_text ELSE by_bytes END AS hash, reason IS NOT NULL AS provisional FROM gate JOIN n USING (doc_id)""", bound=False)
+def paper_hashes(spark, sf_dir):
+    """Papers by their text where it is readable, else by their bytes, in hash families of their own."""
+    content = F.concat(F.lit("bytes "), F.col("doc_id").cast("string")).cast("binary")
+    return table(spark, sf_dir, "documents").select("doc_id", text.paper_hash(F.col("text"), content).alias("h")).select("doc_id", "h.hash", "h.provisional")
+
+
 @query("""SELECT o_orderkey AS paper_id, CASE WHEN o_totalprice > 1000 OR o_totalprice < 0 THEN 'total' ELSE '' END AS violations FROM orders""", bound=False)
 def row_validation(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), F.year("o_orderdate").alias("exam_year"), F.col("o_totalprice").alias("total"))

@@ -178,3 +178,11 @@ def test_lookups_scopes_and_retries(spark):
     assert reads.retried(commit, sleep=waits.append) == "done" and len(waits) == 2 and 0.01 <= waits[0] <= 0.03 and 0.02 <= waits[1] <= 0.06
     with pytest.raises(KeyError):
         reads.retried(lambda: {}["x"], sleep=waits.append)
+
+
+def test_retries_wait_longer(spark):
+    from quaestor.operators import reads
+
+    rows = spark.createDataFrame([(a, k) for a in (1, 2, 3) for k in range(40)], "a int, k long")
+    for r in rows.select("a", reads.retry_after_ms(F.col("a"), F.col("k")).alias("ms")).collect():
+        assert 1000 * 2 ** (r["a"] - 1) <= r["ms"] <= 3000 * 2 ** (r["a"] - 1)

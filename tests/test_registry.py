@@ -4,7 +4,7 @@ import pytest
 from quaestor.plans import catalog as registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "nation customer supplier part orders lineitem events documents embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
