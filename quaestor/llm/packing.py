@@ -37,7 +37,7 @@ KNOWN = ("Sequence", "NFC", "Replace", r"\s+", "Lowercase"), r"'s|'t|'re|'ve|'m|
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+", re.ASCII)
 #: Characters on which this module and the tokenizer's own code might differ; markers of its added tokens.
 OTHER = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]|<\|")
-MEMO, LONGEST, PART = 1_000_000, 64, 1 << 20
+MEMO, LONGEST, PART = 400_000, 64, 1 << 20
 
 
 class Coder:
