@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quaestor.functions import text
+from quaestor.functions import headers, text
 from quaestor.operators import concepts, graph, planner, state, tables
 from quaestor.plans.saving import saved
 
@@ -45,10 +45,10 @@ def test_marks_headers_codes(spark):
     row = one(spark, "22S5-CEG-ASSESS-BT.pdf", text.filename_hints(F.col("x")).alias("h"))["h"]
     assert tuple(row) == ("assessment", "CEG", "BT", 2022)
     assert one(spark, "cs 23_501", text.subject_code(F.col("x")))[0] == "CS23501"
-    assert one(spark, "Regulation 2023, Nov 2024", text.header_year(F.col("x")))[0] == 2024
+    assert one(spark, "Regulation 2023, Nov 2024", headers.year(F.col("x")))[0] == 2024
     assert [one(spark, s, text.band(F.col("x").cast("int")))[0] for s in ("1", "3", "4", "16", "10")] == [2, 2, 5, 15, 8]
     assert one(spark, 'Sure: ```json\n{"a": 3}\n```', text.json_body(F.col("x"), "a int").alias("j"))["j"]["a"] == 3
-    assert tuple(one(spark, "quota: retry in 7s", text.retry_advice(F.lit(429), F.col("x")).alias("r"))["r"]) == (True, 7.0)
+    assert tuple(one(spark, "quota: retryDelay: 7s", text.retry_advice(F.lit(429), F.col("x")).alias("r"))["r"]) == (True, 7000)
 
 
 def test_study_cost_and_prior(spark):
