@@ -6,7 +6,8 @@ THRESHOLD the sizes of the two bigram sets differ by a bounded factor, so units
 before any set is built. Notices inside longer lines and paragraphs are met by windows: from every place of the text that
 has a bigram of a template, as many bigrams as the template has. SPDX ids must be met exactly, as those of other versions
 differ in one word. The templates are a fixed literal, a few kilobytes: names in frames, ids, standard headers and the
-grants of the short licences; the long bodies of the GNU, Mozilla, Apache and CC licences are not among them.
+grants of the short licences; the long bodies of the GNU, Mozilla, Apache and CC licences are not among them. Texts
+without any of the anchors, words that every match must have some of, are passed over.
 
 A document gets its best template (ties: the longest, then the first by name), or null and a Dice of 0. Null and empty texts and units of
 one word match nothing. Rows are independent: repeated rows and other columns change nothing.
@@ -15,6 +16,7 @@ one word match nothing. Rows are independent: repeated rows and other columns ch
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +63,18 @@ def templates(threshold: float = THRESHOLD) -> list[tuple[str, list[str], float]
     return [(k, b, least) for k, t, least in sorted(pairs) if (b := _bigrams(t))]
 
 
+def anchors(threshold: float = THRESHOLD) -> list[str]:
+    """Words without one of which no template can be met: a text with its least Dice d has a share of d / (2 - d) of a
+    template's bigrams, and fewer of them than that are without an anchor. Long words go before short ones."""
+    known, chosen = templates(threshold), ["licen"]
+    bare = lambda b: [x for x in b if not any(w in x for w in chosen)]
+    while open_ := [bare(b) for _, b, least in known if len(bare(b)) >= len(b) * least / (2 - least)]:
+        words = Counter(w for b in open_ for x in b for w in set(x.split()) if len(w) > 5 or (len(w) > 2 and not w.isalpha()))
+        words = words or Counter(w for b in open_ for x in b for w in x.split())
+        chosen.append(min(words, key=lambda w: (-words[w], w)))
+    return chosen
+
+
 def scanned(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, dice."""
     known = templates(threshold)
@@ -69,7 +83,9 @@ def scanned(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     literal = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(x) for x in b]).alias("b"), F.lit(least).alias("least")) for k, b, least in known])
     names = sorted({x for _, b, _ in known for x in b})
     vocabulary = F.array(*[F.lit(x) for x in names])
-    text = F.lower(F.coalesce("text", F.lit("")))
+    # A text without an anchor meets no template: it is scanned as an empty one.
+    found = F.col("text").rlike("(?i)" + "|".join(map(re.escape, anchors(threshold))))
+    text = F.when(found, F.lower("text")).otherwise("")
     units = F.array_distinct(F.concat(F.split(text, r"\n"), F.split(text, r"\n\s*\n"), F.array(text)))
     # A unit of n words has at most n - 1 bigrams, and a word takes two characters with its space.
     units = F.filter(units, lambda u: (F.length(u) >= 2 * int(low)) & (F.regexp_count(u, F.lit(r"[a-z0-9]+(?:\.[0-9]+)*")) - 1 >= F.lit(low)))

@@ -13,3 +13,9 @@ def test_ids_bodies_and_embedded_notices(spark):
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = {r["doc_id"]: r["license"] for r in licences.scanned(docs).collect()}
     assert [got[i] for i in range(len(rows))] == [k for k, _ in rows]
+
+
+def test_no_template_without_an_anchor():
+    words = licences.anchors()
+    for _, b, least in licences.templates():
+        assert sum(not any(w in x for w in words) for x in b) < len(b) * least / (2 - least)
