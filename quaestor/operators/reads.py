@@ -124,10 +124,10 @@ def coverage(ranked: DataFrame, test: DataFrame, group: list[str], key: str, mos
 
 def pair_quality(rows: DataFrame, predicted: list[str], true: list[str]) -> DataFrame:
     """precision and recall of pairs put together, from group sizes alone: no pair is made."""
-    pairs = lambda keys: rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("p"))
-    both, said, there = pairs([*predicted, *true]), pairs(predicted), pairs(true)
-    one = both.select(F.col("p").alias("both")).join(said.select(F.col("p").alias("said")), how="cross").join(there.select(F.col("p").alias("there")), how="cross")
-    return one.select(F.round(F.try_divide("both", "said"), 6).alias("precision"), F.round(F.try_divide("both", "there"), 6).alias("recall"))
+    pairs = lambda name, keys: rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("p")).select(F.lit(name).alias("kind"), "p")
+    three = pairs("both", [*predicted, *true]).unionByName(pairs("said", predicted)).unionByName(pairs("there", true))
+    both, said, there = (F.max(F.when(F.col("kind") == k, F.col("p"))) for k in ("both", "said", "there"))
+    return three.agg(F.round(F.try_divide(both, said), 6).alias("precision"), F.round(F.try_divide(both, there), 6).alias("recall"))
 
 
 def sampled(slots: DataFrame, pool: DataFrame, group: list[str], uniform: Column) -> DataFrame:
