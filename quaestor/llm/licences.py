@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,8 +85,11 @@ def scanned(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     names = sorted({x for _, b, _ in known for x in b})
     vocabulary = F.array(*[F.lit(x) for x in names])
     # A text without an anchor meets no template: it is scanned as an empty one.
-    found = F.col("text").rlike("(?i)" + "|".join(map(re.escape, anchors(threshold))))
-    text = F.when(found, F.lower("text")).otherwise("")
+    # Generated columns, so that each is worked out once and not in every expression that reads it.
+    docs = docs.select("doc_id", F.explode(F.array(F.lower(F.coalesce("text", F.lit(""))))).alias("low"))
+    found = reduce(lambda a, b: a | b, [F.contains(F.col("low"), F.lit(w)) for w in anchors(threshold)])
+    docs = docs.select("doc_id", F.explode(F.array(F.when(found, F.col("low")).otherwise(""))).alias("text"))
+    text = F.col("text")
     units = F.array_distinct(F.concat(F.split(text, r"\n"), F.split(text, r"\n\s*\n"), F.array(text)))
     # A unit of n words has at most n - 1 bigrams, and a word takes two characters with its space.
     units = F.filter(units, lambda u: (F.length(u) >= 2 * int(low)) & (F.regexp_count(u, F.lit(r"[a-z0-9]+(?:\.[0-9]+)*")) - 1 >= F.lit(low)))
