@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaestor.llm import exact_dedup, html_text, licences, mixing, neardup, packing, pii, sharding, topk, toxicity
+from quaestor.llm import exact_dedup, html_text, licences, mixing, neardup, packing, periodicity, pii, sharding, token_counts, topk, toxicity, whitening
 from quaestor.llm.common import table
 
 
@@ -14,6 +14,12 @@ def word_bpe() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), 24)
 
@@ -56,5 +62,19 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_exact_dedup, op4_packing, op5_topk, op6_html_text, op7_toxicity, op8_pii, op9_near_dedup, op10_licences)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), byte_bpe)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodicity.with_periodic_tails(table(spark, sf_dir, "documents"))
+    return periodicity.digests(periodicity.periodic_runs(docs))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+FIRST = (op1_sharding, op2_mixing, op3_exact_dedup, op4_packing, op5_topk, op6_html_text, op7_toxicity, op8_pii, op9_near_dedup, op10_licences)
+QUERIES = {f.__name__: f for f in (*FIRST, op11_token_counts, op12_periodic_runs, op13_whitening)}
 SQL = {"op3_exact_dedup": exact_dedup.SQL, "op5_topk": topk.SQL}
