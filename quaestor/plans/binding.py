@@ -27,7 +27,7 @@ def questions(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) ->
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """questions with label (a, b, ... among those of one number, null when alone) and or_group (the number of alternatives)."""
+    """questions with nth among those of one number, label (a, b, ..., null when alone) and or_group (the number of alternatives)."""
     order = ("part_id", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     same = Window.partitionBy("paper_id", "number")
     rows = questions(spark, sf_dir, order[1:]).withColumn("nth", F.row_number().over(same.orderBy(*order))).withColumn("alike", F.count("*").over(same))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quaestor.functions import text
-from quaestor.operators import graph, tables
+from quaestor.operators import graph, neighbours, tables
 from quaestor.plans import binding, registry
 from quaestor.plans.binding import LABELLED, table
 from quaestor.plans.registry import query
@@ -107,17 +107,39 @@ def prerequisite_walk(spark, sf_dir):
     return graph.ancestors(saved(edges), nodes, saved)
 
 
-@query("""WITH p AS (SELECT a.vec_id, b.vec_id AS other, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id // 3 <> b.vec_id // 3 WHERE a.vec_id % 50 = 0)
-SELECT vec_id, place, other, similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, other) AS place FROM p) WHERE place <= 5""", bound=False)
-def vector_topk(spark, sf_dir):
+_NEAREST = """WITH p AS (SELECT a.vec_id, b.vec_id AS other, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id // 3 <> b.vec_id // 3 WHERE a.vec_id % 50 = 0),
+t AS (SELECT vec_id, place, other, similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, other) AS place FROM p) WHERE place <= 5)
+"""
+
+
+def _neighbours(spark, sf_dir, exact):
     """The stated query set (ids divisible by 50) against every vector of its label in other papers (three vectors are one paper)."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "label", F.col("e").alias("qe"))
-    dot = F.aggregate(F.zip_with("qe", "e", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    near = asked.join(rows, "label").where("floor(q / 3) <> floor(vec_id / 3)").select("q", F.col("vec_id").alias("other"), F.round(dot, 6).alias("similarity"))
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "other")).cast("long")
-    return near.withColumn("place", place).where("place <= 5").select(F.col("q").alias("vec_id"), "place", "other", "similarity")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("grp"), F.floor(F.col("vec_id") / 3).alias("apart"), F.col("embedding").alias("e"))
+    found = neighbours.nearest(rows, rows.where("id % 50 = 0"), 5, saved, exact=exact)
+    return found.withColumnRenamed("q", "vec_id")
+
+
+@query(_NEAREST + "SELECT vec_id, place, other, similarity FROM t", bound=False)
+def vector_topk(spark, sf_dir):
+    """Exact: lists that could hold a better neighbour are read in a second round."""
+    return _neighbours(spark, sf_dir, True)
+
+
+def vector_topk_indexed(spark, sf_dir):
+    """The scale form: the nearest lists only."""
+    return _neighbours(spark, sf_dir, False)
+
+
+@query(_NEAREST + "SELECT count(*) AS wanted, TRUE AS enough FROM t", bound=False)
+def vector_recall(spark, sf_dir):
+    """The neighbours there are, and whether the scale form finds nine tenths of them."""
+    got = vector_topk_indexed(spark, sf_dir).select("vec_id", "other", F.lit(1).alias("hit"))
+    both = vector_topk(spark, sf_dir).join(got, ["vec_id", "other"], "left")
+    return both.agg(F.count("*").alias("wanted"), (F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.count("*")).alias("enough"))
+
+
+registry.QUERIES["vector_topk_indexed"] = vector_topk_indexed
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'owing' ELSE c_mktsegment END AS c_mktsegment FROM customer", bound=False)
