@@ -55,24 +55,102 @@ def version_conflicts(rows: DataFrame) -> DataFrame:
     return rows.where("expected_version is not null and not (expected_version <=> version)")
 
 
-def depths(edges: DataFrame, nodes: DataFrame, saved) -> DataFrame:
-    """node, depth: the longest way down to a node along edges (upper, lower), 0 for a node without any.
+def peeled(edges: DataFrame, nodes: DataFrame, saved) -> tuple[DataFrame, DataFrame]:
+    """(layers, rest) of edges (upper, lower): node and depth, the longest way down to it; and the edges among all other nodes.
 
-    A frontier of distinct nodes goes down a level a round, so paths are never listed. A graph with more levels than nodes
-    has a cycle, which has no longest way: a ValueError.
+    A round takes off the nodes that no edge of those left leads to, so paths are never listed and rounds are as many as
+    the longest way, whatever cycles there are. The rest holds the nodes that are on a cycle or below one.
     """
-    most = nodes.count()
-    best = nodes.select("node", F.lit(0).cast("long").alias("depth"))
-    frontier, level = saved(nodes.select("node")), 0
+    left = saved(edges.select("upper", "lower").where("upper is not null and lower is not null").distinct())
+    nodes = saved(nodes.select("node").unionByName(left.select(F.explode(F.array("upper", "lower")).alias("node"))).distinct())
+    layers, level = None, 0
     while True:
-        level += 1
-        if level > most:
-            raise ValueError("the edges have a cycle")
-        frontier = saved(edges.join(frontier, edges["upper"] == frontier["node"]).select(F.col("lower").alias("node")).distinct())
-        if not frontier.take(1):
+        off = saved(nodes.join(left.select(F.col("lower").alias("node")).distinct(), "node", "left_anti"))
+        if not off.take(1):
+            layers = off.select("node", F.lit(0).cast("long").alias("depth")) if layers is None else layers
+            return layers, left
+        layer = off.select("node", F.lit(level).cast("long").alias("depth"))
+        layers, level = layer if layers is None else layers.unionByName(layer), level + 1
+        nodes = saved(nodes.join(off, "node", "left_anti"))
+        left = saved(left.join(off.withColumnRenamed("node", "upper"), "upper", "left_anti"))
+
+
+HOPS = 4  # steps along edges between two cuts of lineage
+
+
+def trimmed(edges: DataFrame, saved) -> DataFrame:
+    """The edges (upper, lower) that are left once nodes which nothing leads to, or which lead nowhere, are taken off again and again."""
+    left, size = edges, edges.count()
+    while size:
+        for _ in range(HOPS):
+            led, leads = left.select(F.col("lower").alias("upper")).distinct(), left.select(F.col("upper").alias("lower")).distinct()
+            left = left.join(led, "upper", "left_semi").join(leads, "lower", "left_semi").select("upper", "lower")
+        left = saved(left)
+        size, before = left.count(), size
+        if size == before:
             break
-        best = best.unionAll(frontier.select("node", F.lit(level).cast("long").alias("depth")))
-    return best.groupBy("node").agg(F.max("depth").alias("depth"))
+    return left
+
+
+def cycles(edges: DataFrame, saved) -> DataFrame:
+    """node, component (its least node) of all nodes on cycles of edges (upper, lower): the strongly connected components.
+
+    Nodes that nothing leads to or that lead nowhere are trimmed first. Then each node takes the greatest name among those
+    that reach it, as its colour; the nodes of a colour that reach the node of that name are its component. They are taken
+    off, the rest is trimmed and coloured again. Rounds follow the length of ways, not the number of nodes.
+    """
+    left = saved(edges.select("upper", "lower").where("upper is not null and lower is not null").distinct())
+    loops = left.where("upper = lower").select(F.col("upper").alias("node"))
+    found = None
+    while True:
+        left = trimmed(left, saved)
+        if not left.take(1):
+            break
+        colours = saved(left.select(F.col("upper").alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            new = colours.withColumn("_was", F.col("colour"))
+            for _ in range(HOPS):
+                near = left.join(new.select(F.col("node").alias("upper"), "colour"), "upper").groupBy(F.col("lower").alias("node")).agg(F.max("colour").alias("_c"))
+                new = new.join(near, "node", "left").select("node", F.greatest("colour", "_c").alias("colour"), "_was")
+            new = saved(new)
+            if not new.where("colour <> _was").take(1):
+                break
+            colours = new.drop("_was")
+        same = left.join(colours.select(F.col("node").alias("upper"), F.col("colour").alias("_u")), "upper").join(colours.select(F.col("node").alias("lower"), F.col("colour").alias("_l")), "lower").where("_u = _l")
+        same = saved(same.select("upper", "lower", F.col("_u").alias("colour")))
+        back = same.select("upper", F.col("lower").alias("node"), "colour")
+        frontier = colours.where("node = colour").select("node", "colour")
+        inside = frontier
+        while True:
+            reached = frontier
+            for _ in range(HOPS):
+                reached = reached.unionByName(back.join(reached, ["node", "colour"]).select(F.col("upper").alias("node"), "colour")).distinct()
+            frontier = saved(reached.join(inside, ["node", "colour"], "left_anti"))
+            if not frontier.take(1):
+                break
+            inside = saved(inside.unionByName(frontier))
+        found = inside if found is None else found.unionByName(inside)
+        gone = saved(inside.select("node"))
+        for side in ("upper", "lower"):
+            left = left.join(gone.withColumnRenamed("node", side), side, "left_anti")
+        left = saved(left.select("upper", "lower"))
+    if found is None:
+        return loops.select("node", F.col("node").alias("component"))
+    real = found.groupBy("colour").agg(F.count("*").alias("_n"), F.min("node").alias("component"))
+    named = found.join(real, "colour").join(loops.withColumn("_loop", F.lit(True)), "node", "left")
+    return named.where("_n > 1 or _loop").select("node", "component")
+
+
+def depths(edges: DataFrame, nodes: DataFrame, saved) -> DataFrame:
+    """node, depth: the longest way down to a node along edges (upper, lower), 0 for a node without any.
+
+    A ValueError where a cycle leaves no longest way; `peeled` and `cycles` tell which nodes those are.
+    """
+    layers, rest = peeled(edges, nodes, saved)
+    stuck = rest.limit(3).collect()
+    if stuck:
+        raise ValueError(f"the edges have a cycle, at or above {sorted({r['lower'] for r in stuck})}")
+    return layers
 
 
 def ancestors(edges: DataFrame, start: DataFrame, saved) -> DataFrame:

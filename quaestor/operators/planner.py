@@ -40,14 +40,17 @@ def unit_minutes(steps: list[dict], units: list[int]) -> list[int]:
     return [sum(s["cost"] for s in steps if u in s["units"]) for u in units]
 
 
-def planned(concepts: DataFrame, budget: int = 120, units: tuple = (1, 2, 3, 4, 5)) -> DataFrame:
-    """PLAN for each subject of concepts (subject_id, concept_id, units, cost, expected_marks, place); a group is a syllabus."""
+def planned(concepts: DataFrame, budget: int = 120, units: tuple = (1, 2, 3, 4, 5), enough: int = 25) -> DataFrame:
+    """PLAN for each subject of concepts (subject_id, concept_id, units, cost, expected_marks, place); a group is a syllabus.
+
+    uncovered: the units whose steps hold fewer than `enough` minutes.
+    """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place")
-        steps = plan([{**r, "units": list(r["units"])} for r in rows.to_dict("records")], budget, list(units))
+        steps = plan([{**r, "units": list(r["units"])} for r in rows.to_dict("records")], budget, list(units), enough)
         total, worth, minutes = sum(s["cost"] for s in steps), sum(s["expected_marks"] for s in steps), unit_minutes(steps, list(units))
-        bare = [u for u, m in zip(units, minutes) if m == 0]
+        bare = [u for u, m in zip(units, minutes) if m < enough]
         out = [(s["subject_id"], i + 1, s["concept_id"], s["phase"], s["unit_no"], s["cost"], s["expected_marks"], total, reserve_of(budget), worth, minutes, bare) for i, s in enumerate(steps)]
         return pd.DataFrame(out, columns=[x.split()[0] for x in PLAN.split(", ")]).astype({"unit_no": "Int32"})
 

@@ -10,7 +10,7 @@ from quaestor.operators import graph, reads, tables
 from quaestor.plans import binding, registry, relations, statistics
 from quaestor.plans.binding import LABELLED, table
 from quaestor.plans.registry import query
-from quaestor.plans.saving import saved
+from quaestor.plans.saving import saved, tabled
 
 
 @query("""SELECT CAST(paper_id AS VARCHAR) AS paper_id, CAST(subject_id AS VARCHAR) AS subject_id, session AS exam_session, exam_year, exam_type, college, CASE WHEN paper_id % 4 = 0 THEN 'BT' END AS paper_set,
@@ -214,7 +214,7 @@ def mastery_order(spark, sf_dir):
     node = F.concat_ws("/", "p_type", F.col("p_size").cast("string"))
     roi = table(spark, sf_dir, "part").groupBy("p_type", "p_size").agg(F.round(F.avg("p_retailprice"), 4).alias("roi")).select("p_type", node.alias("node"), "roi")
     order = Window.partitionBy("p_type").orderBy("depth", F.desc("roi"), "node")
-    return graph.depths(saved(edges), nodes, saved).join(roi, "node").select("node", F.row_number().over(order).cast("long").alias("place"))
+    return graph.depths(tabled(edges), nodes, tabled).join(roi, "node").select("node", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query(statistics.CONCEPTS + """, c AS (SELECT subject_id, unit_no, concept_id, count(*) AS n, round(sum(CAST(expected_marks AS DOUBLE)), 4) AS m FROM linked WHERE n >= 3 GROUP BY ALL)

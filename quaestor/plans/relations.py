@@ -10,7 +10,7 @@ from quaestor.operators import graph, neighbours, tables
 from quaestor.plans import binding, registry
 from quaestor.plans.binding import LABELLED, table
 from quaestor.plans.registry import query
-from quaestor.plans.saving import saved
+from quaestor.plans.saving import saved, tabled
 
 
 @query(LABELLED + "SELECT paper_id, number, label, part_id, marks, row_number() OVER (PARTITION BY paper_id ORDER BY number, label NULLS FIRST) AS place FROM labelled")
@@ -98,7 +98,32 @@ walk AS (SELECT lower AS origin, upper AS node, 1 AS hops FROM edges UNION SELEC
 @query(_EDGES + "SELECT p_type || '/' || p_size AS node, CAST(coalesce(max(hops), 0) AS BIGINT) AS depth FROM nodes LEFT JOIN walk ON origin = p_type || '/' || p_size GROUP BY 1", bound=False)
 def prerequisite_depth(spark, sf_dir):
     edges, nodes = prerequisites(spark, sf_dir)
-    return graph.depths(saved(edges), nodes, saved)
+    return graph.depths(tabled(edges), nodes, tabled)
+
+
+def _rings(spark, sf_dir):
+    """(edges upper -> lower, nodes) with cycles: a size of a brand leads to two others, where the brand has them."""
+    nodes = table(spark, sf_dir, "part").select("p_brand", F.col("p_size").cast("long").alias("size")).distinct()
+    to = F.explode(F.array((F.col("size") * 3 + 1) % 50 + 1, (F.col("size") + 12) % 50 + 1))
+    there = nodes.withColumn("to", to).join(nodes.select("p_brand", F.col("size").alias("to")), ["p_brand", "to"])
+    name = lambda size: F.concat_ws("/", "p_brand", F.lpad(size.cast("string"), 2, "0"))
+    return there.where("to % 4 > 0 or size > to").select(name(F.col("size")).alias("upper"), name(F.col("to")).alias("lower")), nodes.select(name(F.col("size")).alias("node"))
+
+
+@query("""WITH RECURSIVE sizes AS (SELECT DISTINCT p_brand, p_size FROM part), nodes AS (SELECT p_brand || '/' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS node FROM sizes),
+edges AS (SELECT DISTINCT x.p_brand || '/' || lpad(CAST(x.p_size AS VARCHAR), 2, '0') AS upper, y.p_brand || '/' || lpad(CAST(y.p_size AS VARCHAR), 2, '0') AS lower FROM sizes x JOIN sizes y ON x.p_brand = y.p_brand AND (y.p_size = (x.p_size * 3 + 1) % 50 + 1 OR y.p_size = (x.p_size + 12) % 50 + 1) AND (y.p_size % 4 > 0 OR x.p_size > y.p_size)),
+reach AS (SELECT upper AS a, lower AS b FROM edges UNION SELECT r.a, e.lower FROM reach r JOIN edges e ON r.b = e.upper),
+comp AS (SELECT r.a AS node, min(r.b) AS component FROM reach r JOIN reach s ON r.a = s.b AND r.b = s.a GROUP BY 1),
+below AS (SELECT DISTINCT b AS node FROM reach WHERE a IN (SELECT node FROM comp)),
+free AS (SELECT upper, lower FROM edges WHERE lower NOT IN (SELECT node FROM below)),
+walk AS (SELECT node, 0::BIGINT AS h FROM nodes UNION SELECT lower, h + 1 FROM walk JOIN free ON node = upper)
+SELECT node, component, CASE WHEN below.node IS NULL THEN depth END AS depth FROM (SELECT node, max(h) AS depth FROM walk GROUP BY 1) LEFT JOIN comp USING (node) LEFT JOIN below USING (node)""", bound=False)
+def prerequisite_cycles(spark, sf_dir):
+    """Nodes with the cycle they are on, and the depth of those that are on none and below none."""
+    edges, nodes = _rings(spark, sf_dir)
+    edges = tabled(edges)
+    layers, _ = graph.peeled(edges, nodes, tabled)
+    return nodes.join(graph.cycles(edges, tabled), "node", "left").join(layers, "node", "left").select("node", "component", "depth")
 
 
 @query(_EDGES + "SELECT origin, node, CAST(min(hops) AS BIGINT) AS hops FROM walk GROUP BY 1, 2", bound=False)
