@@ -165,3 +165,26 @@ def ancestors(edges: DataFrame, start: DataFrame, saved) -> DataFrame:
             break
         seen = seen.unionAll(frontier.select("origin", "node", F.lit(hops).cast("long").alias("hops")))
     return seen.where("hops > 0")
+
+
+def dependents(edges: DataFrame, nodes: DataFrame, saved, size: int = 12) -> DataFrame:
+    """node, dependents, exact: how many other nodes are below each along edges (upper, lower), without listing them.
+
+    A node's set below is a Theta sketch of up to 2^size hashes: those of its neighbours, merged with the neighbours' own
+    sketches until none changes. Counts under 2^size are exact; beyond, the relative error is about 1 / sqrt(2^size). State
+    is one sketch a node, and a round sends a changed sketch along each edge once; rounds follow the longest way.
+    """
+    edges = saved(edges.select("upper", "lower").where("upper is not null and lower is not null").distinct())
+    have = saved(edges.groupBy(F.col("upper").alias("node")).agg(F.theta_sketch_agg("lower", size).alias("sketch")))
+    fresh = have
+    while True:
+        sent = edges.join(fresh.withColumnRenamed("node", "lower"), "lower").groupBy(F.col("upper").alias("node")).agg(F.theta_union_agg("sketch", size).alias("_more"))
+        new = have.join(sent, "node", "left").withColumn("_all", F.when(F.col("_more").isNotNull(), F.theta_union("sketch", "_more", size)))
+        new = saved(new.select("node", F.coalesce("_all", "sketch").alias("sketch"), (F.theta_sketch_estimate("_all") != F.theta_sketch_estimate("sketch")).alias("_grown")))
+        have, fresh = new.select("node", "sketch"), new.where("_grown").select("node", "sketch")
+        if not fresh.take(1):
+            break
+    own = nodes.select("node").distinct().groupBy("node").agg(F.theta_sketch_agg("node", size).alias("_own"))
+    count = F.coalesce(F.theta_sketch_estimate(F.theta_difference("sketch", "_own")), F.lit(0).cast("long"))
+    rows = own.join(have, "node", "left").select("node", count.alias("dependents"))
+    return rows.withColumn("exact", F.col("dependents") < (1 << size) - 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quaestor.functions import text
-from quaestor.operators import graph, reads, tables
+from quaestor.operators import graph, reads, scope, tables
 from quaestor.plans import binding, registry, relations, statistics
 from quaestor.plans.binding import LABELLED, table
 from quaestor.plans.registry import query
@@ -240,6 +240,15 @@ def gap_map(spark, sf_dir):
     return marks.join(below, "node", "left").select("node", "mastered", F.when(F.col("mastered"), 0.0).otherwise(F.col("marks")).alias("gap"), F.coalesce("dependents", F.lit(0).cast("long")).alias("dependents"))
 
 
+@query("SELECT event_type, count(*) AS mine, (SELECT count(*) FROM events y WHERE y.user_id = 8 AND y.event_type = x.event_type) AS theirs FROM events x WHERE user_id = 7 GROUP BY 1", bound=False)
+def compared_users(spark, sf_dir):
+    """What two users did, by kind: each side of the join is read for its user, or the guard refuses the plan."""
+    rows = table(spark, sf_dir, "events")
+    of = lambda user, name: rows.where(F.col("user_id") == user).groupBy("event_type").agg(F.count("*").alias(name))
+    both = of(7, "mine").join(of(8, "theirs"), "event_type", "left")
+    return scope.guarded(both.select("event_type", "mine", F.coalesce("theirs", F.lit(0).cast("long")).alias("theirs")), {"events"})
+
+
 _U = "(CAST(('0x' || substr(md5(CAST(subject_id AS VARCHAR) || '/' || CAST(part_id AS VARCHAR)), 1, 8)) AS BIGINT) + 1) / 4294967297.0"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.operators import recurrence
+from quaestor.operators import ranking, recurrence
 from quaestor.plans import binding
 from quaestor.plans.saving import tabled
 
@@ -63,6 +63,15 @@ def cluster_scores(spark, sf_dir):
     return scores(spark, sf_dir).select("subject_id", "part_id", F.round("score", 6).alias("score"), F.round("expected_marks", 6).alias("expected_marks"))
 
 
+@query("SELECT subject_id, part_id, row_number() OVER (PARTITION BY subject_id ORDER BY round(expected_marks, 6) DESC, part_id) AS place, row_number() OVER (ORDER BY round(expected_marks, 6) DESC, subject_id, part_id) AS overall FROM expected")
+def cluster_ranks(spark, sf_dir):
+    """Places of clusters in their subject and among all, by expected marks: sorted by ranges, so no task holds a subject, let alone all."""
+    rows = scores(spark, sf_dir).select("subject_id", "part_id", F.round("expected_marks", 6).alias("worth"))
+    rows = ranking.ranked(rows, ["subject_id"], [F.desc("worth"), F.col("part_id")], tabled)
+    rows = ranking.ranked(rows, [], [F.desc("worth"), F.col("subject_id"), F.col("part_id")], tabled, "overall")
+    return rows.select("subject_id", "part_id", "place", "overall")
+
+
 _RATED = "(SELECT subject_id, avg(CASE WHEN years >= 2 THEN 1.0 ELSE 0.0 END) AS rate FROM clusters GROUP BY 1)"
 
 

@@ -101,6 +101,13 @@ def prerequisite_depth(spark, sf_dir):
     return graph.depths(tabled(edges), nodes, tabled)
 
 
+@query(_EDGES + """SELECT p_type || '/' || p_size AS node, coalesce(n, 0) AS dependents, TRUE AS exact FROM nodes LEFT JOIN (SELECT node, count(DISTINCT origin) AS n FROM walk GROUP BY 1) w ON w.node = p_type || '/' || p_size""", bound=False)
+def dependents_sketched(spark, sf_dir):
+    """How many concepts wait for each, from sketches: exact while they are fewer than a sketch holds, as here."""
+    edges, nodes = prerequisites(spark, sf_dir)
+    return graph.dependents(edges, nodes, tabled)
+
+
 def _rings(spark, sf_dir):
     """(edges upper -> lower, nodes) with cycles: a size of a brand leads to two others, where the brand has them."""
     nodes = table(spark, sf_dir, "part").select("p_brand", F.col("p_size").cast("long").alias("size")).distinct()

@@ -78,3 +78,16 @@ def test_uncovered_units_are_those_with_too_few_minutes(spark):
     rows = [(1, "a", [1], 30, 5.0, 1), (1, "b", [2], 10, 4.0, 2)]
     got = planner.planned(spark.createDataFrame(rows, "subject_id int, concept_id string, units array<int>, cost long, expected_marks double, place long"), units=(1, 2, 3)).collect()
     assert all(r["uncovered"] == [2, 3] and r["unit_minutes"] == [30, 10, 0] for r in got)
+
+
+@pytest.mark.parametrize("size", [12, 6])
+def test_dependents(spark, size):
+    rng = random.Random(5)
+    edges = [(i, i + rng.randint(1, 9)) for i in range(400) for _ in range(2)] + [(50, 20), (None, 3)]
+    far = reach([e for e in edges if None not in e])
+    nodes = spark.createDataFrame([(i,) for i in range(420)], "node long")
+    rows = {r["node"]: (r["dependents"], r["exact"]) for r in graph.dependents(spark.createDataFrame(edges, EDGES), nodes, tabled, size).collect()}
+    want = {i: len(far.get(i, set()) - {i}) for i in range(420)}
+    assert all(rows[i][0] == want[i] for i in range(420) if rows[i][1]) and len(rows) == 420
+    assert all(rows[i][1] for i in range(420)) if size == 12 else not all(rows[i][1] for i in range(420))
+    assert all(abs(rows[i][0] - want[i]) <= 4 / 2 ** (size / 2) * want[i] for i in range(420))  # four standard errors
