@@ -3,10 +3,11 @@
 E-mail addresses, payment card numbers (Luhn-checked), IPv4 addresses, phone and social security numbers, access keys
 and dates are found in whole texts. Each is permuted by a keyed Feistel network inside its format: a half's characters
 move within their class (digit, lower, upper) by an amount keyed by the other half, so equal values get equal
-pseudonyms in every document and different ones never meet. Only digits of cards, phones and social security numbers
-move and separators are put back, and a date is permuted as a day, so a value stays linked however it is written. Cards
-get a new check digit, addresses move within 32 bits, dates within the 72,800 days from 1900-01-01, both parts of e-mail
-addresses but the last label. Who has the key can undo all of it (`undo`).
+pseudonyms in every document and different ones never meet. Only digits of cards and phones move and separators are put back; a social security number is permuted among the
+numbers that can be one, and a date as a day, so a value stays linked however it is written. Cards get a new check digit,
+addresses move within 32 bits, dates within the 72,800 days from 1900-01-01 and all others from year 1 to 9999 among
+themselves, both parts of e-mail addresses but the last label. Who has the key can undo all of it (`undo`). The key stands
+in the plan, so name it in spark.redaction.regex where plans and event logs are read by others.
 
 Values that fail their check stay: octets over 255 or with leading zeros, no such day, numbers that no social security
 number has. Dates are ISO, day/month/year, or day, English month and year. Null text stays null, with nothing found. Rows
@@ -19,6 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS, ACROSS, DOWN = 4, 280, 260
+AREAS, REST = 898, 99 * 9999  # of social security numbers: 001 to 899 without 666; groups and serials without those of zeros
+BEFORE = -693_595  # the first day of year 1, from 1900-01-01
+NEAR_DAYS, FAR_DAYS = ACROSS * DOWN, 3_652_059 - ACROSS * DOWN  # days from 1900-01-01; all other days of the years 1 to 9999
+FAR_ACROSS, FAR_DOWN = 1004, 3565  # their product is FAR_DAYS or 1 more
 # The formats.
 KINDS = {
     "email": r"[A-Za-z0-9_%+\-][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
@@ -99,7 +104,7 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
 
 
 def day_of(value: Column, kind: str) -> Column:
-    """Days since 1900-01-01; null for no day, or one that is written otherwise in this format."""
+    """Days since 1900-01-01, from year 1 to 9999; null for no day, or one that is written otherwise in this format."""
     day = F.try_to_timestamp(value, F.lit(DAYS[kind])).cast("date")
     return F.when(F.date_format(day, DAYS[kind]) == value, F.datediff(day, F.lit("1900-01-01").cast("date")))
 
@@ -109,7 +114,7 @@ def kind_of(value: Column) -> Column:
     whole = lambda kind: value.rlike(f"^(?:{KINDS[kind]})$")
     out = F.when(F.contains(value, F.lit("@")), F.lit("email"))
     for kind in DAYS:
-        out = out.when(whole(kind), F.when(day_of(value, kind).between(0, ACROSS * DOWN - 1), F.lit(kind)))
+        out = out.when(whole(kind), F.when(day_of(value, kind).between(BEFORE, FAR_DAYS + NEAR_DAYS + BEFORE - 1), F.lit(kind)))
     return (
         out.when(whole("ipv4"), F.when(F.forall(F.split(value, r"\."), lambda o: (o.cast("int") <= 255) & (o.cast("int").cast("string") == o)), F.lit("ipv4")))
         .when(whole("ssn"), F.when(~value.rlike("^(?:000|666|9)|-00-|-0000$"), F.lit("ssn")))
@@ -119,6 +124,31 @@ def kind_of(value: Column) -> Column:
     )
 
 
+def moved_day(day: Column, key: Column, undo: bool) -> Column:
+    """A permutation of the days of the years 1 to 9999: of the near ones, and of the far ones.
+
+    The far days are FAR_DAYS numbers, the pairs that are permuted a few more: a number that falls on one of those few is
+    permuted again, which ends within as many steps and is undone the same way.
+    """
+    near = feistel_pair(F.floor(day / DOWN), F.pmod(day, F.lit(DOWN)), ACROSS, DOWN, F.concat(key, F.lit("date")), undo)
+    at = F.when(day < 0, day - BEFORE).otherwise(day - NEAR_DAYS - BEFORE).cast("long")
+    step = lambda n: F.transform(F.array(feistel_pair(F.floor(n / FAR_DOWN), F.pmod(n, F.lit(FAR_DOWN)), FAR_ACROSS, FAR_DOWN, F.concat(key, F.lit("far")), undo)), lambda s: s["l"] * FAR_DOWN + s["r"])[0]
+    again = F.sequence(F.lit(1), F.lit(FAR_ACROSS * FAR_DOWN - FAR_DAYS + 1))
+    far = F.aggregate(again, F.struct(at.alias("n"), F.lit(False).alias("done")), lambda s, _: F.transform(F.array(F.when(s["done"], s["n"]).otherwise(step(s["n"]))), lambda n: F.struct(n.alias("n"), (n < FAR_DAYS).alias("done")))[0])["n"]
+    far = F.transform(F.array(far), lambda n: F.when(n < -BEFORE, n + BEFORE).otherwise(n + NEAR_DAYS + BEFORE))[0]
+    return F.when(day.between(0, NEAR_DAYS - 1), F.transform(F.array(near), lambda s: s["l"] * DOWN + s["r"])[0]).otherwise(far).cast("int")
+
+
+def moved_ssn(digits: Column, key: Column, undo: bool) -> Column:
+    """A permutation of the numbers that can be social security numbers."""
+    part = lambda at, n: F.substring(digits, at, n).cast("long")
+    area = part(1, 3) - F.when(part(1, 3) > 666, 2).otherwise(1)
+    rest = (part(4, 2) - 1) * 9999 + part(6, 4) - 1
+    place = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    back = lambda s: F.concat(place(s["l"] + F.when(s["l"] >= 665, 2).otherwise(1), 3), place(F.floor(s["r"] / 9999) + 1, 2), place(s["r"] % 9999 + 1, 4))
+    return F.transform(F.array(feistel_pair(area, rest, AREAS, REST, F.concat(key, F.lit("ssn")), undo)), back)[0]
+
+
 def pseudonym(value: Column, kind: Column, secret: Column, undo: bool = False) -> Column:
     """The pseudonym of a value of a kind; undo gives the value of a pseudonym."""
     one = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  x is worked out once
@@ -132,16 +162,15 @@ def pseudonym(value: Column, kind: Column, secret: Column, undo: bool = False) -
     prefix = F.regexp_extract(value, r"^\+[0-9]{1,3}[ .\-]?", 0)
     rest = F.substring(value, F.length(prefix) + 1, F.length(value))
     phone = F.concat(prefix, one(text(digits_of(rest), "phone"), lambda d: refilled(rest, d)))
-    ssn = one(text(plain, "ssn"), lambda d: refilled(value, d))
+    ssn = one(moved_ssn(plain, secret, undo), lambda d: refilled(value, d))
     name, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     label, last = F.regexp_extract(host, r"^(.*)\.[^.]*$", 1), F.regexp_extract(host, r"(\.[^.]*)$", 1)
     email = F.concat(text(name, "email"), F.lit("@"), text(label, "host"), last)
     access = F.concat(F.substring(value, 1, 4), text(F.substring(value, F.lit(5), F.length(value)), "key"))
     out = F.when(kind == "card", card).when(kind == "ipv4", ip).when(kind == "phone", phone).when(kind == "email", email).when(kind == "key", access).when(kind == "ssn", ssn)
     for name_, form in DAYS.items():
-        day = day_of(value, name_)
-        moved = pair(F.floor(day / DOWN), day % DOWN, ACROSS, DOWN, "date")
-        out = out.when(kind == name_, F.date_format(one(moved, lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (s["l"] * DOWN + s["r"]).cast("int"))), form))
+        day = one(day_of(value, name_), lambda d: moved_day(d, secret, undo))
+        out = out.when(kind == name_, F.date_format(one(day, lambda d: F.date_add(F.lit("1900-01-01").cast("date"), d)), form))
     return out.otherwise(value)
 
 

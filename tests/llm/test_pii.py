@@ -1,5 +1,7 @@
 """Pseudonyms: found, linked however written, undone by the key, and left alone where a check fails."""
 
+from pyspark.sql import functions as F
+
 from quaestor.llm import pii
 
 TEXTS = {
@@ -34,3 +36,27 @@ def test_different_values_never_meet(spark):
     rows = [(i, f"1{i:02d}-45-6789 on {1950 + i}-01-0{i % 9 + 1} at 10.{i}.0.1") for i in range(90)]
     got = [r["text"] for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
     assert all(len({t.split()[k] for t in got}) == 90 for k in (0, 2, 4))
+
+
+def test_numbers_and_days_stay_valid_and_are_undone(spark):
+    n = 60_000
+    rows = spark.range(n, numPartitions=8).select(
+        F.col("id").alias("doc_id"), (F.col("id") * 14_779 % 889_000_001 + 1).alias("s"), F.date_add(F.lit("0001-01-01").cast("date"), (F.col("id") * 3_652_058 / (n - 1)).cast("int")).alias("day"),
+    )
+    text = F.format_string("%03d-%02d-%04d", (F.col("s") / 990_000 % 898 + 1).cast("int"), (F.col("s") / 9_999 % 99 + 1).cast("int"), (F.col("s") % 9_999 + 1).cast("int"))
+    docs = rows.where("floor(s / 990000 % 898) <> 665").select("doc_id", text.alias("ssn"), "day", F.concat_ws(" ", text, F.date_format("day", "yyyy-MM-dd")).alias("text"))
+    out = pii.pseudonymised(docs, "k").cache()
+    parts = docs.select("doc_id", F.col("ssn").alias("was"), "day").join(out, "doc_id").select("*", F.split("text", " ")[0].alias("new"), F.to_date(F.split("text", " ")[1]).alias("moved"))
+    valid = parts.where(F.col("new").rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$") & F.col("moved").isNotNull() & (F.col("n_found") == 2)).count()
+    assert valid == docs.count() and parts.select("new").distinct().count() == parts.select("was").distinct().count()
+    assert parts.select("moved").distinct().count() == parts.select("day").distinct().count()
+    back = pii.pseudonymised(out, "k", undo=True).withColumnRenamed("text", "back")
+    assert back.join(docs, "doc_id").where("back <> text").count() == 0
+
+
+def test_every_near_or_far_day_has_its_own(spark):
+    ends = ["0001-01-01", "1899-12-31", "1900-01-01", "2099-04-26", "2099-04-27", "9999-12-31", "1500-02-28", "2400-02-29"]
+    docs = spark.createDataFrame([(i, f"on {d}") for i, d in enumerate(ends)], "doc_id long, text string")
+    out = pii.pseudonymised(docs, "k")
+    assert {r["text"] for r in out.collect()}.isdisjoint(f"on {d}" for d in ends) and all(r["n_found"] == 1 for r in out.collect())
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymised(out, "k", undo=True).collect()} == {i: f"on {d}" for i, d in enumerate(ends)}
