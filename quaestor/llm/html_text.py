@@ -1,8 +1,12 @@
 """Main text of HTML pages: gradient-boosted trees over DOM nodes, decoded down the tree.
 
-A node's features are its tag, tokens of its class, id and role, depth, sibling statistics, subtree text and link density.
-The trees are trained here, on pages drawn from a seeded generator of page layouts (SAMPLE pages): a node is positive if
-it holds main text. Decoding takes the labelling of most log odds in which no kept node lies under a dropped one.
+A node's features are its tag, tokens of its class, id and role, depth, sibling statistics, subtree text and link density,
+its place on the page, and words of its opening or of a short heading before it that name what is no article (CUE).
+Text that stands beside blocks or between double line breaks gets a node of its own (RUN), so loose menus and footers can be
+dropped too. The trees are trained here, on pages drawn from a seeded generator of page layouts (SAMPLE pages): a node is
+positive if it holds main text. In a tenth of the pages class names say nothing; in two fifths tags do not either, and divs,
+tables, line breaks make the layout. Decoding takes the labelling of most log odds in which no kept node lies under a
+dropped one.
 Scripts, styles, templates and form controls are never text;
 a form is a node like any other, known by its controls, so a page that is one form keeps its article.
 
@@ -22,7 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, TREES, DEPTH, RATE, BINS = 240, 60, 3, 0.2, 33
+SAMPLE, TREES, DEPTH, RATE, BINS = 500, 80, 4, 0.2, 33
+RUN, MARK, HEAD, SHORT = "#run", "\ue000", 60, 80  # MARK: main text that has no tag, in drawn pages
 # HTML's own tag classes.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 NEVER = {"script", "style", "noscript", "template", "head", "title", "iframe", "svg", "object", "button", "select", "option", "textarea", "canvas", "datalist"}
@@ -30,14 +35,16 @@ CONTROLS = {"input", "textarea", "select", "button"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-TAGS = ("div", "p", "a", "ul", "ol", "li", "nav", "header", "footer", "aside", "article", "main", "section", "h1", "h2", "h3", "span", "b", "i", "em", "strong", "table", "tr", "td", "blockquote", "pre", "figure", "body", "html", "form", "label", "fieldset")
+TAGS = ("div", "p", "a", "ul", "ol", "li", "nav", "header", "footer", "aside", "article", "main", "section", "h1", "h2", "h3", "span", "b", "i", "em", "strong", "table", "tr", "td", "blockquote", "pre", "figure", "body", "html", "form", "label", "fieldset", "dl", "dd", "font", "center", RUN)
 # Attribute tokens that page authors use.
 GOOD = ("article", "content", "post", "entry", "story", "main", "text", "body", "page")
 BAD = ("nav", "menu", "header", "footer", "sidebar", "side", "ad", "ads", "advert", "banner", "sponsor", "promo", "cookie", "consent", "notice", "comment", "comments", "share", "social", "related", "breadcrumb", "popup", "modal", "subscribe", "newsletter", "widget", "copyright", "login", "search", "toolbar", "discussion", "replies", "reply", "alert", "disclaimer", "recommended", "pagination")
+# How the openings of comments, footers, notices and adverts read.
+CUE = re.compile(r"©|\(c\)|copyright|all rights|\bcomments?\b|\brepl(?:y|ies)\b|\bresponses?\b|\bresponded\b|\bposted\b|\bsays:|\bwrote:|\bwrites:|\brelated\b|\brecommended\b|read (?:more|next)|most (?:read|popular)|\bsponsor|\badvert|\bpromot|\bcookie|\bconsent\b|\bsubscri|\bnewsletter|sign (?:up|in)|log ?in|\bshare\b|follow us|privacy|terms of|contact us|\babout us\b|\btags?:|filed under|\bsearch\b", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "tokens", "parent", "items", "text", "links", "depth", "nth", "good", "blocks", "controls", "sibs", "same")
+    __slots__ = ("tag", "tokens", "parent", "items", "text", "links", "depth", "nth", "good", "blocks", "controls", "sibs", "same", "head", "start", "most", "stops", "repeats", "after", "cue")
 
     def __init__(self, tag: str, attrs, parent: Node | None):
         self.tag, self.parent, self.items = tag, parent, []
@@ -45,7 +52,7 @@ class Node:
         self.tokens = set(re.findall(r"[a-z]+", words))
         self.good = any(k == "data-main" for k, _ in attrs)
         self.depth = parent.depth + 1 if parent else 0
-        self.nth, self.sibs, self.same = 0, 1, 1
+        self.nth, self.sibs, self.same, self.start, self.most, self.after = 0, 1, 1, 0, 0, False
 
 
 class Dom(HTMLParser):
@@ -53,12 +60,19 @@ class Dom(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", (), None)
         self.at = self.root
+        self.open: Counter = Counter()
+
+    def close_to(self, n: Node) -> None:
+        """Closes the open nodes down to n, n included."""
+        while self.at is not n.parent:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def shut(self, tags: set[str], walls: set[str]) -> None:
-        n = self.at
+        n = self.at if any(self.open[t] for t in tags) else self.root
         while n.parent is not None and n.tag not in walls:
             if n.tag in tags:
-                self.at = n.parent
+                self.close_to(n)
                 return
             n = n.parent
 
@@ -73,21 +87,58 @@ class Dom(HTMLParser):
         self.at.items.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
+        if not self.open[tag]:
+            return
         n = self.at
-        while n.parent is not None and n.tag != tag:
+        while n.tag != tag:
             n = n.parent
-        if n.parent is not None:
-            self.at = n.parent
+        self.close_to(n)
 
     def handle_data(self, data):
         self.at.items.append(data)
 
 
+def loose(n: Node) -> None:
+    """Puts runs of text and inline nodes that stand beside blocks, or between double line breaks, under nodes of their own."""
+    inline = [not isinstance(c, Node) or c.tag not in BLOCK for c in n.items]
+    breaks = [isinstance(c, Node) and c.tag == "br" for c in n.items]
+    if n.tag not in BLOCK or (n.parent is not None and n.tag != "body" and all(inline) and sum(breaks) < 2):
+        return
+    groups: list[list] = []
+    run = brs = 0  # items of the open run, and line breaks at its end
+    for c, inner, br in zip(n.items, inline, breaks):
+        blank = isinstance(c, str) and not c.strip()
+        if not inner or (run and brs > 1 and not br and not blank):
+            run = brs = 0
+        if not inner:
+            groups.append([c])
+            continue
+        if not run:
+            groups.append([])
+        groups[-1].append(c)
+        run, brs = run + 1, brs + 1 if br else brs if blank else 0
+    held = [g for g in groups if any(not isinstance(c, Node) or c.tag not in BLOCK for c in g) and any(isinstance(c, Node) or c.strip() for c in g)]
+    if len(held) == 1 and len(groups) == 1 and n.parent is not None and n.tag != "body":
+        return
+    n.items = []
+    for g in groups:
+        if not any(g is h for h in held):
+            n.items.extend(g)
+            continue
+        node = Node(RUN, (), n)
+        node.items, node.good = g, any(isinstance(c, str) and MARK in c for c in g)
+        for c in g:
+            if isinstance(c, Node):
+                c.parent = node
+        n.items.append(node)
+
+
 def parse(html: str | None) -> list[Node]:
     """The nodes in page order, parents first, with subtree statistics."""
     dom = Dom()
@@ -96,20 +147,42 @@ def parse(html: str | None) -> list[Node]:
     nodes, stack = [], [dom.root]
     while stack:
         n = stack.pop()
+        n.depth = n.parent.depth + (n.tag != RUN) if n.parent else 0
         nodes.append(n)
+        if n.tag != RUN:
+            loose(n)
         kids = [c for c in n.items if isinstance(c, Node) and c.tag not in NEVER]
         every = [c.tag for c in n.items if isinstance(c, Node)]
         tags = Counter(every)
+        n.repeats = max(tags.values(), default=0)
         for i, c in enumerate(kids):
             c.nth, c.sibs, c.same = i, len(every), tags[c.tag]
         stack.extend(reversed(kids))
     for n in reversed(nodes):
         kids = [c for c in n.items if isinstance(c, Node) and c.tag not in NEVER]
-        own = sum(len(c.strip()) for c in n.items if isinstance(c, str))
-        n.text = own + sum(c.text for c in kids)
+        own = [c for c in n.items if isinstance(c, str)]
+        n.text = sum(len(c.strip()) for c in own) + sum(c.text for c in kids)
+        n.stops = sum(c.count(".") + c.count(",") for c in own) + sum(c.stops for c in kids)
         n.links = n.text if n.tag == "a" else sum(c.links for c in kids)
         n.controls = sum(isinstance(c, Node) and c.tag in CONTROLS for c in n.items) + sum(c.controls for c in kids)
-        n.blocks = (n.tag in ("p", "h1", "h2", "h3", "li")) + sum(c.blocks for c in kids)
+        n.blocks = (n.tag in ("p", "h1", "h2", "h3", "li", RUN)) + sum(c.blocks for c in kids)
+        n.most = max((c.text for c in kids), default=0)
+        n.head = ""
+        for c in n.items:
+            part = c.strip()[:HEAD] if isinstance(c, str) else c.head if c.tag not in NEVER else ""
+            if part:
+                n.head = f"{n.head} {part}"[: HEAD + 1]
+                if len(n.head) > HEAD:
+                    break
+    for n in nodes:
+        at, after = n.start, n.after
+        for c in n.items:
+            if isinstance(c, str):
+                at += len(c.strip())
+            elif c.tag not in NEVER:
+                c.start, c.after = at, after
+                at += c.text
+                after = after or (0 < c.text <= SHORT and CUE.search(c.head) is not None)
     return nodes
 
 
@@ -119,15 +192,17 @@ def features(nodes: list[Node]) -> np.ndarray:
     for n in nodes:
         good, bad = len(n.tokens.intersection(GOOD)), len(n.tokens.intersection(BAD))
         up = above.get(id(n.parent), (0, 0, 0)) if n.parent else (0, 0, 0)
-        here = (up[0] + good + (n.tag in ("article", "main")), up[1] + bad + (n.tag in ("nav", "footer", "aside", "header")), up[2])
+        n.cue = n.text > 0 and CUE.search(n.head) is not None
+        here = (up[0] + good + (n.tag in ("article", "main")), up[1] + bad + (n.tag in ("nav", "footer", "aside", "header")), up[2] + (n.cue and n.text <= 0.3 * total))
         above[id(n)] = here
         kids = sum(isinstance(c, Node) for c in n.items)
-        rows.append([good, bad, here[0], here[1], n.depth, n.nth, min(n.sibs, 1000), min(kids, 1000), np.log1p(n.text), n.text / total, n.links / max(1, n.text), np.log1p(n.text / (1 + n.blocks)), np.log1p(n.parent.text if n.parent else n.text), (n.parent.links / max(1, n.parent.text)) if n.parent else 0, min(n.same, 1000), n.controls, n.controls / max(1, n.blocks), np.log1p(n.text / (1 + n.controls)), *[n.tag == t for t in TAGS], *[n.parent is not None and n.parent.tag == t for t in ("article", "main", "body", "nav", "footer", "aside", "ul", "div", "section", "form")]])
+        most = n.parent.most if n.parent else n.text
+        rows.append([good, bad, here[0], here[1], here[2], n.cue, n.after, n.start / total, (total - n.start - n.text) / total, n.text / max(1, most), n.stops / max(1, n.text), n.repeats, n.depth, n.nth, n.sibs, kids, np.log1p(n.text), n.text / total, n.links / max(1, n.text), np.log1p(n.text / (1 + n.blocks)), np.log1p(n.parent.text if n.parent else n.text), (n.parent.links / max(1, n.parent.text)) if n.parent else 0, n.same, n.controls, n.controls / max(1, n.blocks), np.log1p(n.text / (1 + n.controls)), *[n.tag == t for t in TAGS], *[n.parent is not None and n.parent.tag == t for t in ("article", "main", "body", "nav", "footer", "aside", "ul", "div", "section", "form", "td", RUN)]])
     return np.array(rows, np.float32)
 
 
-def drawn(rng: np.random.Generator) -> str:
-    """A page of the generator; data-main marks what holds main text."""
+def _telling(rng: np.random.Generator) -> str:
+    """A page whose tags or class names mostly tell what they hold; data-main marks what holds main text."""
     pick = lambda *x: x[rng.integers(len(x))]
     words = lambda a, b: " ".join("x" * n for n in rng.integers(1, 9, rng.integers(a, b)).tolist()) + pick(".", "", "!")
     form = lambda: f'<form class="{pick("search", "login", "signup", "x", "")}"><label>{words(1, 4)}</label><input><p>{words(1, 20)}</p><label>{words(1, 4)}</label><textarea>{words(1, 4)}</textarea>{pick("", f"<p>{words(2, 30)}</p>")}<button>{words(1, 3)}</button></form>'
@@ -138,7 +213,7 @@ def drawn(rng: np.random.Generator) -> str:
     M = " data-main"
 
     def part() -> str:
-        return pick(*[f"<p{M}>{words(1, 90)}</p>"] * 8, f"<p{M}><b{M}>{words(4, 40)}<br{M}>", f"<p{M}>{words(2, 30)} <a{M} href=x>{words(1, 4)}</a> {words(2, 30)}</p>", f"<h2{M}>{words(1, 8)}</h2>", f"<ul{M}><li{M}>{words(3, 20)}</li><li{M}>{words(3, 20)}</li></ul>", f"<blockquote{M}><p{M}>{words(5, 40)}</p></blockquote>", f"<p{M}>{words(2, 9)} <em{M}>{words(1, 4)}</em> <span{M}>{words(1, 9)}</span></p>", f"<table{M}><tr{M}><td{M}>{words(1, 5)}</td><td{M}>{words(1, 5)}</td></tr></table>", f"<pre{M}>{words(3, 30)}</pre>", f"<div{M}>{words(5, 50)}</div>")
+        return pick(*[f"<p{M}>{words(1, 90)}</p>"] * 8, f"<p{M}><b{M}>{words(4, 40)}<br{M}>", f"<p{M}>{words(2, 30)} <a{M} href=x>{words(1, 4)}</a> {words(2, 30)}</p>", f"<h2{M}>{words(1, 8)}</h2>", f"<ul{M}><li{M}>{words(3, 20)}</li><li{M}>{words(3, 20)}</li></ul>", f"<blockquote{M}><p{M}>{words(5, 40)}</p></blockquote>", f"<p{M}>{words(2, 9)} <em{M}>{words(1, 4)}</em> <span{M}>{words(1, 9)}</span></p>", f"<table{M}><tr{M}><td{M}>{words(1, 5)}</td><td{M}>{words(1, 5)}</td></tr></table>", f"<pre{M}>{words(3, 30)}</pre>", f"<div{M}>{words(5, 50)}</div>", f"<p{M}>{pick(*OPENINGS, *CLOSINGS)}{pick('.', ' ' + words(1, 20))}</p>")
 
     inner = maybe(0.85, f"<h1{M}>{words(1, 14)}</h1>") + "".join(part() + maybe(0.07, junk()) for _ in range(rng.integers(30, 300) if rng.random() < 0.04 else rng.integers(1, 14)))
     tag = pick("article", "article", "article", "main", f'div class="{pick(*GOOD)}"', f'div id="{pick(*GOOD)}"', "section", "div")
@@ -153,6 +228,83 @@ def drawn(rng: np.random.Generator) -> str:
     return f"<html{M}><body{M}>{page}</body></html>"
 
 
+# Closings of drawn footers, and openings of drawn junk.
+CLOSINGS = ("All rights reserved", "Copyright x", "Contact us", "Privacy", "About us", "Terms of use")
+OPENINGS = ("Comments", "3 comments", "12 Comments", "Leave a reply", "Replies", "5 responses", "Related", "Related stories", "Read more", "Read next", "Most read", "Advertisement", "Sponsored", "Subscribe to the newsletter", "We use cookies", "Share", "Follow us", "Posted by", "Sign up", "Tags: x", "Reader comments")
+
+
+def _plain(rng: np.random.Generator) -> str:
+    """A page in divs, a table or line breaks, where neither tags nor class names tell what they hold."""
+    pick = lambda *x: x[rng.integers(len(x))]
+    maybe = lambda p, s: s if rng.random() < p else ""
+    word = lambda: "x" * int(rng.integers(1, 9))
+    sentence = lambda: " ".join(word() for _ in range(rng.integers(4, 22))) + pick(".", ".", ".", "!", "")
+    prose = lambda a, b: " ".join(sentence() for _ in range(rng.integers(a, b)))
+    name = lambda a, b: " ".join(word() for _ in range(rng.integers(a, b)))
+    M, sep = " data-main", pick(" | ", " ", " &middot; ", " - ", "<br>", "")
+    link = lambda: f'<a href="#">{name(1, 4)}</a>'
+    links = lambda n, by: by.join(link() for _ in range(n))
+    many = lambda: int(rng.integers(2, 11))
+    menu = lambda: pick(links(many(), sep), links(many(), sep), f"<ul>{''.join(f'<li>{link()}</li>' for _ in range(many()))}</ul>", f"<p>{links(many(), sep)}</p>", "".join(f"<div>{link()}</div>" for _ in range(many())), "".join(f"<span>{link()}</span>" for _ in range(many())))
+    foot = lambda: pick(f"&copy; 20{rng.integers(10, 30)} {name(1, 5)}{maybe(0.5, '. ' + sentence())}", f"Copyright 20{rng.integers(10, 30)} {name(1, 5)}. {maybe(0.5, 'All rights reserved.')}", f"{links(many(), sep)} {maybe(0.6, '&copy; ' + name(1, 4))}", f"{name(2, 7)}{maybe(0.4, ' ' + link())} {maybe(0.6, 'Privacy ' + link())}", f"Contact us: {name(1, 7)}")
+    foot_of = lambda: pick("{}", "<p>{}</p>", "<div>{}</div>", "<small>{}</small>", "<center>{}</center>").format(foot())
+
+    def comments() -> str:
+        who = lambda: pick(f"<b>{name(1, 3)}</b>", f"<div>{name(1, 3)}</div>", f"<p>{name(1, 3)} wrote:</p>", f"<span>{name(1, 3)}</span> <i>{rng.integers(1, 29)} {word()}</i>", f"<h4>{name(1, 3)}</h4>", f"<strong>{name(1, 3)}</strong> says:")
+        shape, by = pick("<div>{}{}</div>", "<li>{}{}</li>", "<tr><td>{}</td><td>{}</td></tr>", "<dt>{}</dt><dd>{}</dd>", "<p>{} {}</p>"), pick("<p>{}</p>", "<p>{}</p>", "{}", "<div>{}</div>")
+        all_ = "".join(shape.format(who(), (by if "<p>" not in shape else "{}").format(prose(1, 5))) for _ in range(rng.integers(1, 9)))
+        around = {"<l": "ul", "<t": "table", "<d": "dl" if shape.startswith("<dt") else "div", "<p": "div"}[shape[:2]]
+        head = maybe(0.85, pick("<h3>{}</h3>", "<h2>{}</h2>", "<p><b>{}</b></p>", "<div>{}</div>").format(pick(*OPENINGS[:6], OPENINGS[-1])))
+        return pick(f"<div>{head}<{around}>{all_}</{around}></div>", f"{head}<{around}>{all_}</{around}>")
+
+    def junk() -> str:
+        head = pick(*OPENINGS[6:])
+        return pick(f"<div>{head} {prose(1, 3)}</div>", f"<div><h3>{head}</h3>{menu()}</div>", f"<div><p>{head}: {sentence()}</p></div>", f"<div>{head}<br>{links(many(), '<br>')}</div>", f"<div><b>{head}</b><p>{prose(1, 3)}</p></div>", f"<div>{menu()}</div>")
+
+    lines = rng.random() < 0.3
+    if lines:  # paragraphs are runs between line breaks
+        gap = pick("<br><br>", "<br><br>\n", "<br>\n<br>", "<br/><br/>")
+        piece = lambda: f"{MARK}{prose(1, 7)}{maybe(0.15, f' <a{M} href=x>{name(1, 4)}</a> {sentence()}')}"
+        title = pick(f"<h1{M}>{name(2, 9)}</h1>", f"{MARK}<b{M}>{name(2, 9)}</b>{gap}", f"<h2{M}>{name(2, 9)}</h2>", f"{MARK}{name(2, 9)}{gap}")
+        body = title + gap.join(piece() for _ in range(rng.integers(2, 14)))
+        top, low = pick(f"<div>{menu()}</div>", f"{links(many(), sep)}{gap}", f"{links(many(), sep)}{gap}", f"{links(many(), sep)}<hr>", ""), pick(f"{gap}{foot()}", f"<hr>{foot()}", f"{gap}{gap}{foot()}", f"<div>{foot()}</div>", f"{gap}{links(many(), sep)}{gap}{foot()}")
+        mid = maybe(0.2, comments())
+        if rng.random() < 0.3:
+            tag = pick("div", "center")
+            body = f"<{tag}{M}>{body}</{tag}>"
+        return f"<html{M}><body{M}>{top}{body}{mid}{low}</body></html>"
+    P = pick("p", "p", "p", "div")
+    part = lambda: pick(*[f"<{P}{M}>{prose(1, 7)}</{P}>"] * 9, f"<{P}{M}>{sentence()} <a{M} href=x>{name(1, 4)}</a> {prose(1, 3)}</{P}>", f"<h2{M}>{maybe(0.03, pick(*OPENINGS) + ' ')}{name(1, 8)}</h2>", f"<ul{M}>{''.join(f'<li{M}>{sentence()}</li>' for _ in range(rng.integers(2, 7)))}</ul>", f"<blockquote{M}>{prose(1, 4)}</blockquote>", f"<{P}{M}><b{M}>{name(1, 4)}</b> {prose(1, 4)}</{P}>", f"{MARK}{prose(1, 4)}", f"<table{M}>{''.join(f'<tr{M}><td{M}>{name(1, 4)}</td><td{M}>{name(1, 4)}</td></tr>' for _ in range(rng.integers(2, 6)))}</table>")
+    inner = maybe(0.85, pick("<h1{0}>{1}</h1>", "<h2{0}>{1}</h2>").format(M, name(2, 10)))
+    inner += "".join(part() for _ in range(rng.integers(2, 16)))
+    tail = maybe(0.35, comments())
+    if rng.random() < 0.35:  # a table makes the page
+        cells = [f"<td>{pick(menu(), junk(), menu() + junk())}</td>", f"<td{M}>{inner}{tail}</td>", maybe(0.4, f"<td>{pick(junk(), menu())}</td>")]
+        rows = [maybe(0.7, f"<tr><td colspan=3>{pick(menu(), name(1, 5), name(1, 4) + menu())}</td></tr>"), f"<tr{M}>{''.join(cells if rng.random() < 0.7 else cells[1:])}</tr>", maybe(0.8, f"<tr><td>{foot_of()}</td></tr>")]
+        page = f"<table{M}>{''.join(rows)}</table>{maybe(0.3, f'<div>{foot()}</div>')}"
+    else:
+        inside = rng.random() < 0.4  # comments inside what holds the article
+        holder = f"<div{M}>{inner}{tail if inside else ''}</div>" if rng.random() < 0.75 else inner + (tail if inside else "")
+        middle = f"{maybe(0.25, junk())}{holder}{'' if inside else tail}{maybe(0.4, junk())}"
+        if rng.random() < 0.4:
+            middle = f"<div{M}>{middle}</div>"
+        page = f"{maybe(0.9, f'<div>{maybe(0.3, name(1, 5))}{menu()}</div>')}{middle}{maybe(0.85, f'<div>{foot_of()}</div>')}"
+        if rng.random() < 0.3:
+            page = f"<div{M}>{page}</div>"
+    return f"<html{M}><body{M}>{page}</body></html>"
+
+
+def drawn(rng: np.random.Generator) -> str:
+    """A page of the generator: telling, the same with class names that say nothing, or plain."""
+    kind = rng.random()
+    if kind < 0.4:
+        return _plain(rng)
+    page = _telling(rng)
+    if kind < 0.5:  # hashed or no class names, tags as they were
+        page = re.sub(r' (class|id)="[^"]*"', lambda m: rng.choice(["", f' {m[1]}="{"".join(rng.choice(list("bcdfghjkz"), 5))}"']), page)
+    return page
+
+
 def _tree(bins: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int) -> tuple | float:
     G, H = g[rows].sum(), h[rows].sum()
     value = RATE * G / (H + 1)
@@ -211,7 +363,7 @@ def decoded(nodes: list[Node], odds: np.ndarray) -> str:
     worth = odds.astype(float).copy()
     for i in range(len(nodes) - 1, 0, -1):
         worth[at[id(nodes[i].parent)]] += max(0.0, worth[i])
-    worth[0] = 1.0
+    worth[0] = 1.0  # the page itself; its loose text has nodes of its own
     blocks, run = [], []
 
     def close() -> None:
@@ -227,7 +379,7 @@ def decoded(nodes: list[Node], odds: np.ndarray) -> str:
         elif isinstance(n, str):
             run.append(n)
         elif id(n) in at and worth[at[id(n)]] > 0:
-            if n.tag == "br":
+            if n.tag in ("br", RUN):
                 run.append(" ")
             if n.tag in BLOCK:
                 close()
@@ -235,6 +387,8 @@ def decoded(nodes: list[Node], odds: np.ndarray) -> str:
             stack.extend(reversed(n.items))
         elif n.tag in BLOCK:
             close()
+        elif n.tag == RUN:
+            run.append(" ")
     close()
     return "\n".join(blocks)
 

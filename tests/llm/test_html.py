@@ -28,7 +28,7 @@ def test_given_pages(spark):
     pages = spark.read.parquet(SF)
     got = {r["page_id"]: r["text"] for r in html_text.extracted(pages).collect()}
     rows = pages.collect()
-    same = sum(" ".join(got[r["page_id"]].split()) == " ".join(" ".join(by_article(r["html"])).split()) for r in rows)
+    same = sum(got[r["page_id"]] == "\n".join(by_article(r["html"])) for r in rows)
     assert len(got) == len(rows) and same >= 0.98 * len(rows), same
 
 
@@ -45,6 +45,53 @@ def test_long_pages():
     assert len(lines) == 3001 and lines[0] == "Long"
 
 
+TITLE = "Why the old bridge was closed"
+PARAS = [
+    "The old bridge over the river has been closed to traffic since Monday, and engineers say that it will not open again this year.",
+    "Cracks were found in two of the main beams. They were measured last spring, but the council waited for a second opinion before it acted.",
+    "Shops on the north bank have lost half of their customers. \"We can wait a month, not a year\", one owner told the paper.",
+    "A ferry will run every twenty minutes, from six in the morning until ten at night, and will be free for those who live nearby.",
+]
+MENU = ["Home", "News", "Sport", "Weather", "Culture", "Opinion", "Archive", "Help"]
+FOOT = "Copyright 2021 Riverside Gazette. All rights reserved."
+REMARKS = [("Anna", "I have used that bridge for thirty years and never saw a single crack in it."), ("Piotr", "The ferry is a good idea, but who is going to pay for it in winter?"), ("Lee", "About time that they did something.")]
+WHOLE = "\n".join([TITLE, *PARAS])
+
+
+def links(by):
+    return by.join(f'<a href="/{m}">{m}</a>' for m in MENU)
+
+
+def test_foreign_layouts():
+    """Layouts without telling names or tags: divs, a table, line breaks, comments below; the article is whole and alone."""
+    paras = "".join(f"<p>{p}</p>" for p in PARAS)
+    items = "".join(f"<li><a href='/{m}'>{m}</a></li>" for m in MENU)
+    divs = f"<html><body><div><div><ul>{items}</ul></div><div><h1>{TITLE}</h1>{paras}</div><div>{FOOT}</div></div></body></html>"
+    hashed = f"<html><body><div class='qx7'><div class='zk1 b2'>{links('')}</div><div class='k9'><h1 class='w'>{TITLE}</h1>{paras}</div><div class='jj'><p>{FOOT}</p></div></div></body></html>"
+    cells = f"<html><body><table><tr><td colspan=2>{links(' | ')}</td></tr><tr><td><h1>{TITLE}</h1>{paras}</td></tr><tr><td>{FOOT}</td></tr></table></body></html>"
+    side = f"<html><body><table><tr><td>{links('<br>')}</td><td><h1>{TITLE}</h1>{paras}</td></tr><tr><td colspan=2><center>{FOOT}</center></td></tr></table></body></html>"
+    for page in (divs, hashed, cells, side):
+        assert decoded(page) == WHOLE
+    said = "".join(f"<div><b>{who}</b> <i>3 May</i><p>{what}</p></div>" for who, what in REMARKS)
+    talk = f"<html><body><div>{links(' ')}</div><div><h1>{TITLE}</h1>{paras}</div><div><h3>3 comments</h3>{said}</div><div>{FOOT}</div></body></html>"
+    rows = "".join(f"<li><p>{who} wrote:</p><p>{what}</p></li>" for who, what in REMARKS)
+    listed = f"<html><body><div>{links(' ')}</div><div><h1>{TITLE}</h1>{paras}<h3>Comments</h3><ul>{rows}</ul></div><div>{FOOT}</div></body></html>"
+    for page in (talk, listed):
+        assert decoded(page) == WHOLE
+
+
+def test_line_breaks_make_no_blocks():
+    """An article of runs between double line breaks, with menu and footer as runs beside it, is one block: <br> is white space."""
+    for gap in ("<br><br>", "<br/>\n<br/>\n"):
+        page = f"<html><body>{links(' | ')}{gap}<h1>{TITLE}</h1>{gap.join(PARAS)}{gap}{FOOT}</body></html>"
+        assert decoded(page) == TITLE + "\n" + " ".join(PARAS)
+
+
+def test_deep_pages_with_stray_end_tags():
+    page = "<html><body><article><h1>Deep</h1><p>" + "<span>" * 3000 + "One two three four five." + "</i></b></u>" * 30000 + "</article></body></html>"
+    assert html_text.parse(page)[0].text == len("Deep" + "One two three four five.")
+
+
 def test_drawn_pages_of_other_seeds():
     right = total = 0
     rng = np.random.default_rng(99)
@@ -53,7 +100,7 @@ def test_drawn_pages_of_other_seeds():
         odds = html_text.log_odds(html_text.features(nodes), html_text.model())
         right += sum((o > 0) == n.good for n, o in zip(nodes[1:], odds[1:]))
         total += len(nodes) - 1
-    assert right >= 0.93 * total, right / total
+    assert right >= 0.97 * total, right / total
 
 
 def test_repeated_rows_empty_table_and_other_columns(spark):
