@@ -104,6 +104,12 @@ class Dom(HTMLParser):
         self.at.items.append(data)
 
 
+def size(text: str) -> int:
+    """The length of a text, none for the bars and dots between links."""
+    text = text.strip()
+    return len(text) if len(text) > 3 or any(map(str.isalnum, text)) else 0
+
+
 def loose(n: Node) -> None:
     """Puts runs of text and inline nodes that stand beside blocks, or between double line breaks, under nodes of their own."""
     inline = [not isinstance(c, Node) or c.tag not in BLOCK for c in n.items]
@@ -161,7 +167,7 @@ def parse(html: str | None) -> list[Node]:
     for n in reversed(nodes):
         kids = [c for c in n.items if isinstance(c, Node) and c.tag not in NEVER]
         own = [c for c in n.items if isinstance(c, str)]
-        n.text = sum(len(c.strip()) for c in own) + sum(c.text for c in kids)
+        n.text = sum(map(size, own)) + sum(c.text for c in kids)
         n.stops = sum(c.count(".") + c.count(",") for c in own) + sum(c.stops for c in kids)
         n.links = n.text if n.tag == "a" else sum(c.links for c in kids)
         n.controls = sum(isinstance(c, Node) and c.tag in CONTROLS for c in n.items) + sum(c.controls for c in kids)
@@ -178,7 +184,7 @@ def parse(html: str | None) -> list[Node]:
         at, after = n.start, n.after
         for c in n.items:
             if isinstance(c, str):
-                at += len(c.strip())
+                at += size(c)
             elif c.tag not in NEVER:
                 c.start, c.after = at, after
                 at += c.text
