@@ -52,3 +52,42 @@ def test_no_match_no_rejection(spark):
     for labels in ([], [(i, 1) for i in range(40)], [(i, int(i % 4 > 0)) for i in range(40)]):
         got = toxicity.scored(docs, docs, spark.createDataFrame(labels, LABELS)).collect()
         assert {r["doc_id"] for r in got if r["predicted"]} == {42} and len(got) == 43
+
+
+def test_threats_of_four_languages():
+    grammar = toxicity.Grammar({}, math.log(0.1 / 0.9))
+    rejected = lambda t: grammar.score(t) >= toxicity.THRESHOLD
+    assert all(map(rejected, ("They will shoot you.", "Ich werde dich umbringen!", "Je vais te tuer.", "Te voy a matar.")))
+    assert not any(map(rejected, ("Ich werde dich nicht töten.", "Er sagte, er werde dich töten.", "Nunca te mataré.", "Sie töten Zeit.", "You kill time.")))
+
+
+def test_composition_equals_the_cascade():
+    """Reading symbols through the composed table gives what the transducers give one after another."""
+    rng = random.Random(7)
+    for _ in range(300):
+        word = [rng.choice(toxicity.ALPHABET) for _ in range(rng.randrange(1, 25))]
+        state, got = 0, []
+        for x in word:
+            state, y = toxicity.GRAMMAR[state, x]
+            got.append(y)
+        for t in toxicity.CASCADE:
+            q, out = 0, []
+            for x in word:
+                q, y = t.get((q, x), (q, x))
+                out.append(y)
+            word = out
+        assert got == word
+
+
+def test_nulls_repeats_and_an_empty_table(spark):
+    rows = [(None, "you idiot"), (1, None), (1, None), (2, "we will kill you"), (2, "we will kill you"), (3, "")]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(1, 1), (None, 1), (2, None), (3, 0)], LABELS)
+    got = sorted(((r["doc_id"] or 0, r["predicted"]) for r in toxicity.scored(docs, docs, labels).collect()))
+    assert got == [(0, 0), (1, 0), (1, 0), (2, 1), (2, 1), (3, 0)]
+    assert toxicity.scored(docs.limit(0), docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_a_bound_on_labelled_rows(spark):
+    rows = corpus()
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], DOCS), spark.createDataFrame([(r[0], r[2]) for r in rows], LABELS)
+    assert toxicity.learn(docs, labels, 600)[0].keys() & {"bozzo", "bozzo+", "grimlet", "grimlet+", "bozzo*", "grim*", "grim*+"}
