@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, TREES, DEPTH, RATE, BINS = 500, 80, 4, 0.2, 33
+SAMPLE, TREES, DEPTH, RATE, BINS = 500, 60, 4, 0.2, 33
 RUN, MARK, HEAD, SHORT = "#run", "\ue000", 60, 80  # MARK: main text that has no tag, in drawn pages
 # HTML's own tag classes.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -36,6 +36,9 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 TAGS = ("div", "p", "a", "ul", "ol", "li", "nav", "header", "footer", "aside", "article", "main", "section", "h1", "h2", "h3", "span", "b", "i", "em", "strong", "table", "tr", "td", "blockquote", "pre", "figure", "body", "html", "form", "label", "fieldset", "dl", "dd", "font", "center", RUN)
+UPS = ("article", "main", "body", "nav", "footer", "aside", "ul", "div", "section", "form", "td", RUN)
+TAG_NO, UP_NO = ({t: i for i, t in enumerate(x)} for x in (TAGS, UPS))
+LOGS = [16, 19, 20, 25]  # the features that count characters
 # Attribute tokens that page authors use.
 GOOD = ("article", "content", "post", "entry", "story", "main", "text", "body", "page")
 BAD = ("nav", "menu", "header", "footer", "sidebar", "side", "ad", "ads", "advert", "banner", "sponsor", "promo", "cookie", "consent", "notice", "comment", "comments", "share", "social", "related", "breadcrumb", "popup", "modal", "subscribe", "newsletter", "widget", "copyright", "login", "search", "toolbar", "discussion", "replies", "reply", "alert", "disclaimer", "recommended", "pagination")
@@ -49,7 +52,7 @@ class Node:
     def __init__(self, tag: str, attrs, parent: Node | None):
         self.tag, self.parent, self.items = tag, parent, []
         words = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()
-        self.tokens = set(re.findall(r"[a-z]+", words))
+        self.tokens = set(re.findall(r"[a-z]+", words)) if words else ()
         self.good = any(k == "data-main" for k, _ in attrs)
         self.depth = parent.depth + 1 if parent else 0
         self.nth, self.sibs, self.same, self.start, self.most, self.after = 0, 1, 1, 0, 0, False
@@ -112,9 +115,11 @@ def size(text: str) -> int:
 
 def loose(n: Node) -> None:
     """Puts runs of text and inline nodes that stand beside blocks, or between double line breaks, under nodes of their own."""
+    if n.tag not in BLOCK or not n.items or (len(n.items) == 1 and n.parent is not None and n.tag != "body"):
+        return
     inline = [not isinstance(c, Node) or c.tag not in BLOCK for c in n.items]
     breaks = [isinstance(c, Node) and c.tag == "br" for c in n.items]
-    if n.tag not in BLOCK or (n.parent is not None and n.tag != "body" and all(inline) and sum(breaks) < 2):
+    if (n.parent is not None and n.tag != "body" and all(inline) and sum(breaks) < 2):
         return
     groups: list[list] = []
     run = brs = 0  # items of the open run, and line breaks at its end
@@ -165,6 +170,12 @@ def parse(html: str | None) -> list[Node]:
             c.nth, c.sibs, c.same = i, len(every), tags[c.tag]
         stack.extend(reversed(kids))
     for n in reversed(nodes):
+        if len(n.items) == 1 and isinstance(n.items[0], str):  # most nodes hold one text
+            c = n.items[0]
+            n.text, n.stops, n.controls, n.blocks = size(c), c.count(".") + c.count(","), 0, n.tag in ("p", "h1", "h2", "h3", "li", RUN)
+            n.links, n.most, n.head = n.text if n.tag == "a" else 0, 0, c[: 2 * HEAD].strip()[:HEAD]
+            n.cue = n.text > 0 and CUE.search(n.head) is not None
+            continue
         kids = [c for c in n.items if isinstance(c, Node) and c.tag not in NEVER]
         own = [c for c in n.items if isinstance(c, str)]
         n.text = sum(map(size, own)) + sum(c.text for c in kids)
@@ -180,7 +191,10 @@ def parse(html: str | None) -> list[Node]:
                 n.head = f"{n.head} {part}"[: HEAD + 1]
                 if len(n.head) > HEAD:
                     break
+        n.cue = n.text > 0 and CUE.search(n.head) is not None
     for n in nodes:
+        if len(n.items) == 1 and isinstance(n.items[0], str):
+            continue
         at, after = n.start, n.after
         for c in n.items:
             if isinstance(c, str):
@@ -188,23 +202,27 @@ def parse(html: str | None) -> list[Node]:
             elif c.tag not in NEVER:
                 c.start, c.after = at, after
                 at += c.text
-                after = after or (0 < c.text <= SHORT and CUE.search(c.head) is not None)
+                after = after or (c.cue and c.text <= SHORT)
     return nodes
 
 
 def features(nodes: list[Node]) -> np.ndarray:
     total = max(1, nodes[0].text)
-    rows, above = [], {}
+    rows, tags, ups, above = [], [], [], {}
     for n in nodes:
-        good, bad = len(n.tokens.intersection(GOOD)), len(n.tokens.intersection(BAD))
+        good, bad = (len(n.tokens.intersection(GOOD)), len(n.tokens.intersection(BAD))) if n.tokens else (0, 0)
         up = above.get(id(n.parent), (0, 0, 0)) if n.parent else (0, 0, 0)
-        n.cue = n.text > 0 and CUE.search(n.head) is not None
         here = (up[0] + good + (n.tag in ("article", "main")), up[1] + bad + (n.tag in ("nav", "footer", "aside", "header")), up[2] + (n.cue and n.text <= 0.3 * total))
         above[id(n)] = here
         kids = sum(isinstance(c, Node) for c in n.items)
         most = n.parent.most if n.parent else n.text
-        rows.append([good, bad, here[0], here[1], here[2], n.cue, n.after, n.start / total, (total - n.start - n.text) / total, n.text / max(1, most), n.stops / max(1, n.text), n.repeats, n.depth, n.nth, n.sibs, kids, np.log1p(n.text), n.text / total, n.links / max(1, n.text), np.log1p(n.text / (1 + n.blocks)), np.log1p(n.parent.text if n.parent else n.text), (n.parent.links / max(1, n.parent.text)) if n.parent else 0, n.same, n.controls, n.controls / max(1, n.blocks), np.log1p(n.text / (1 + n.controls)), *[n.tag == t for t in TAGS], *[n.parent is not None and n.parent.tag == t for t in ("article", "main", "body", "nav", "footer", "aside", "ul", "div", "section", "form", "td", RUN)]])
-    return np.array(rows, np.float32)
+        rows.append([good, bad, here[0], here[1], here[2], n.cue, n.after, n.start / total, (total - n.start - n.text) / total, n.text / max(1, most), n.stops / max(1, n.text), n.repeats, n.depth, n.nth, n.sibs, kids, n.text, n.text / total, n.links / max(1, n.text), n.text / (1 + n.blocks), n.parent.text if n.parent else n.text, (n.parent.links / max(1, n.parent.text)) if n.parent else 0, n.same, n.controls, n.controls / max(1, n.blocks), n.text / (1 + n.controls), ])
+        tags.append(TAG_NO.get(n.tag, -1))
+        ups.append(UP_NO.get(n.parent.tag, -1) if n.parent else -1)
+    one_hot = [np.array(x)[:, None] == np.arange(len(of)) for x, of in ((tags, TAGS), (ups, UPS))]
+    x = np.array(rows, np.float32)
+    x[:, LOGS] = np.log1p(x[:, LOGS])
+    return np.hstack([x, *one_hot]).astype(np.float32)
 
 
 def _telling(rng: np.random.Generator) -> str:
