@@ -37,7 +37,7 @@ from pyspark.sql import Window
 
 from quaestor.llm.common import cut, small
 
-WIDTH, PERCENT, BANDS, ROWS, BATCH, MISS, PIECE = 5, 75, 40, 5, 20, 1e-6, 1 << 20
+WIDTH, PERCENT, BANDS, ROWS, BATCH, MISS, PIECE = 5, 75, 40, 5, 20, 1e-6, 1 << 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -148,15 +148,16 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id, t, n_shingles, digest, keys, sig (the last byte of each hash); the last three are null for an empty set."""
 
     def rows(batches):
-        for batch in batches:
-            n, digest, keys, sig = [], [], [], []
-            for s in shingle_sets(batch.column("text")):
-                low = signature(s)
-                n.append(len(s))
-                digest.append(_digest(s) if len(s) else None)
-                keys.append(band_keys(low) if len(s) else None)
-                sig.append(low.astype(np.uint8).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["doc_id", "t", "n_shingles", "digest", "keys", "sig"])
+        for whole in batches:
+            for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                n, digest, keys, sig = [], [], [], []
+                for s in shingle_sets(batch.column("text")):
+                    low = signature(s)
+                    n.append(len(s))
+                    digest.append(_digest(s) if len(s) else None)
+                    keys.append(band_keys(low) if len(s) else None)
+                    sig.append(low.astype(np.uint8).tobytes() if len(s) else None)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["doc_id", "t", "n_shingles", "digest", "keys", "sig"])
 
     return identified(docs).mapInArrow(rows, "doc_id long, t long, n_shingles long, digest binary, keys array<long>, sig binary")
 
@@ -166,10 +167,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            s = [x.view(np.int64) for x in shingle_sets(batch.column("text"))]
-            for i in range(0, len(s), 500):
+            for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "n", "sig")), pa.array(s[i : i + 500], pa.list_(pa.int64()))], names=["id", "n", "sig", "grams"])
+                s = [x.view(np.int64) for x in shingle_sets(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "n", "sig")), pa.array(s, pa.list_(pa.int64()))], names=["id", "n", "sig", "grams"])
 
     found = identified(docs).join(small(wanted), ["doc_id", "t"]).dropDuplicates(["id"])
     return found.select("id", "n", "sig", "text").mapInArrow(rows, "id long, n long, sig binary, grams array<long>")

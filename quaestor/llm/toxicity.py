@@ -177,16 +177,19 @@ class Grammar:
 
     def __init__(self, weights: dict[str, float], base: float):
         self.weights, self.base, self.memo = weights, base, {}
+        self.heads = {t.rstrip("+*")[: STEMS[0]] for t in weights}  # a word that begins otherwise has no learned term
         self.need = math.log(THRESHOLD / (1 - THRESHOLD)) - base
         self.place, self.last = 0, {}  # the word's place in the document, and each term's last one
 
     def known(self, word: str) -> list[tuple[str, float, float]]:
         """The learned terms of a word, with their weights once and again."""
+        if word[: STEMS[0]] not in self.heads:
+            return []
         got = self.memo.get(word)
         if got is None:
             pairs = [(t, self.weights.get(t, 0.0), self.weights.get(t + "+", 0.0)) for t in stems(word)]
             got = [(t, w, max(w, v)) for t, w, v in pairs if w or v]
-            if len(self.memo) < 1_000_000:
+            if len(self.memo) < 100_000:
                 self.memo[word] = got
         return got
 
