@@ -65,3 +65,26 @@ def test_documents_and_pieces_by_brute_force(spark, whole):
         assert at <= 2048
     assert sum(map(len, ids.values())) > 0.97 * 2048 * (len(by_sequence) - 1)
     assert sorted(by_sequence) == list(range(len(by_sequence)))
+
+
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, coder):
+        self.coder, self.texts = coder, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.coder.encode_batch_fast(texts, **options)
+
+
+def test_the_tokenizer_is_called_for_many_pieces_at_once_and_not_again(whole):
+    coder = packing.Coder(PATH)
+    used = {name: Counted(getattr(coder, name)) for name in ("coder", "model") if hasattr(coder, name)}
+    vars(coder).update(used)
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdeéÀß") for _ in range(6)) + rng.choice(["", ",", "'s", "7"]) for _ in range(200)) for _ in range(20)]
+    assert [x.tolist() for x in coder.encode(texts)] == [whole(t) for t in texts]
+    first = sum(u.texts for u in used.values())
+    assert [x.tolist() for x in coder.encode(texts[::-1])] == [whole(t) for t in texts[::-1]]
+    assert first <= 40 and sum(u.texts for u in used.values()) - first <= 5
