@@ -1,6 +1,7 @@
 """Packing: ids as the tokenizer's own over whole texts, pieces and their places by brute force."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -88,3 +89,16 @@ def test_the_tokenizer_is_called_for_many_pieces_at_once_and_not_again(whole):
     first = sum(u.texts for u in used.values())
     assert [x.tolist() for x in coder.encode(texts[::-1])] == [whole(t) for t in texts[::-1]]
     assert first <= 40 and sum(u.texts for u in used.values()) - first <= 5
+
+def test_what_a_worker_keeps_is_small():
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(5000)) for _ in range(60)]
+    coder = packing.Coder(PATH)
+    tracemalloc.start()
+    try:
+        coder.encode([])
+        before = tracemalloc.get_traced_memory()[0]
+        assert sum(map(len, coder.encode(texts))) > 300_000
+        assert tracemalloc.get_traced_memory()[0] - before < 8_000_000  # 300,000 strings and their ids take 50 MB
+    finally:
+        tracemalloc.stop()
