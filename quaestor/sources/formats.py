@@ -72,13 +72,13 @@ class BlobReader(DataSourceReader):
 class BlobWriter(DataSourceArrowWriter):
     def __init__(self, folder: str, base: int):
         self.folder, self.base, self.job = folder, base, f"data-{uuid.uuid4().hex}"
+        os.makedirs(os.path.join(folder, self.job))  # by the driver, once: tasks make none
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         path, out = os.path.join(self.job, f"{uuid.uuid4().hex}.parquet"), None
         for batch in batches:
             if batch.num_rows:
-                if out is None:
-                    os.makedirs(os.path.join(self.folder, self.job), exist_ok=True)
+                if out is None:  # fails in the task that comes after an abort, which has taken the folder away
                     out = pq.ParquetWriter(os.path.join(self.folder, path), batch.schema)
                 out.write_batch(batch)
         if out is None:
@@ -90,7 +90,7 @@ class BlobWriter(DataSourceArrowWriter):
         paths = [m.path for m in messages if m is not None and m.path]
         job = os.path.join(self.folder, self.job)
         if not paths:
-            return
+            return self.abort(messages)
         kept = {os.path.basename(p) for p in paths}
         for name in os.listdir(job):  # of attempts that did not count
             if name not in kept:
@@ -103,7 +103,10 @@ class BlobWriter(DataSourceArrowWriter):
         os.remove(entry)
 
     def abort(self, messages: list[Written | None]) -> None:
-        shutil.rmtree(os.path.join(self.folder, self.job), ignore_errors=True)
+        job = os.path.join(self.folder, self.job)
+        if os.path.isdir(job):
+            os.rename(job, f"{job}-aborted")  # tasks that are still at work can add no file to it
+            shutil.rmtree(f"{job}-aborted", ignore_errors=True)
 
 
 class Papers(DataSource):

@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 
 from quaestor.sources import formats, papers
@@ -39,6 +40,20 @@ def test_an_aborted_write_leaves_nothing(spark, tmp_path):
     assert formats.version(folder) == 0 and not files(folder) and read(spark, folder) == []
 
 
+def test_a_task_that_comes_after_an_abort_leaves_nothing(tmp_path):
+    folder = str(tmp_path / "blobs")
+    writer = formats.BlobWriter(folder, 0)
+    row = pa.RecordBatch.from_pydict({"subject": ["s"], "hash": ["h"], "content": [b"1"]})
+
+    def late():
+        writer.abort([])
+        yield row
+
+    with pytest.raises(FileNotFoundError):
+        writer.write(late())
+    assert not files(folder) and formats.version(folder) == 0
+
+
 def test_the_later_of_two_writers_fails_whole(spark, tmp_path):
     folder = str(tmp_path / "blobs")
     formats.registered(spark)
