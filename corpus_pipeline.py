@@ -8,17 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.llm import exact_dedup, mixing, neardup, packing, toxicity
-from quaestor.llm.common import cut, table
+from quaestor.llm.common import batches_of, cut, table
 from quaestor.llm.queries import word_bpe
 
+#: Texts that a stage hands Python at a time.
+TEXTS = 500
 ORACLE_SQL = None  # a learned grammar, MinHash links and a tokenizer are beyond SQL
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar rejects go; it learns from the labelled rows outside the held-out fold."""
     whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")  # so that no helper column meets one of theirs
-    scored = toxicity.scored(whole, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select("doc.*")
+    with batches_of(spark, TEXTS):
+        scored = toxicity.scored(whole, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+        return cut(scored.where("predicted = 0").select("doc.*"))  # scored while the batches are short
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +29,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.deduplicate(docs)
+    with batches_of(spark, TEXTS):  # what is left for later runs no Python
+        return neardup.deduplicate(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, word_bpe)
+    with batches_of(spark, TEXTS):  # as above
+        return packing.packed(docs, word_bpe)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]

@@ -4,12 +4,15 @@ import random
 import re
 from collections import Counter
 
+import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quaestor.llm import toxicity
+from quaestor.llm.common import ARROW_ROWS, cut
 from tests.llm.test_neardup import brute
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -88,3 +91,21 @@ def test_no_labels_reject_nobody_without_a_clause(spark):
     docs = spark.createDataFrame(rows()[:40], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.scored(docs, docs, labels, "score", "hit").where("hit = 1").count() == 0
+
+
+@pytest.mark.parametrize(("stage", "operator"), [("drop_toxic", "toxicity.scored"), ("drop_near_copies", "neardup.deduplicate"), ("pack", "packing.packed")])
+def test_stages_hand_python_short_batches(spark, tmp_path, monkeypatch, stage, operator):
+    docs = spark.range(0, 2500, 1, 1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    @F.pandas_udf("int")
+    def rows_in_batch(text: pd.Series) -> pd.Series:
+        return pd.Series([len(text)] * len(text), dtype="int32")
+
+    n = rows_in_batch("text").alias("n")
+    probe = (lambda d, *_: d.select(F.struct(n).alias("doc"), F.lit(0).alias("predicted"))) if stage == "drop_toxic" else lambda d, *_: cut(d.select(n))
+    monkeypatch.setattr(f"corpus_pipeline.{operator}", probe)
+    before = spark.conf.get(ARROW_ROWS)
+    got = [r["n"] for r in getattr(corpus_pipeline, stage)(spark, docs, str(tmp_path)).collect()]
+    assert len(got) == 2500 and max(got) <= corpus_pipeline.TEXTS and spark.conf.get(ARROW_ROWS) == before
