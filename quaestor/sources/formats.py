@@ -6,7 +6,8 @@ by one writer only, so of two that started from the same version the later one f
 see only files that the log names. The driver handles file names, one for each task.
 
 `paper_items` cuts files into ranges of `bytes`: a page belongs to the range in which its page line begins, so large files are read
-by many tasks. Lines before the first page line, comments and lines that place no words are passed over.
+by many tasks. A task takes ranges one after another, of any files, so that a folder makes at most TASKS of them however small its
+ranges are. Lines before the first page line, comments and lines that place no words are passed over.
 """
 
 from __future__ import annotations
@@ -28,7 +29,12 @@ from quaestor.sources import papers
 
 BLOBS = "subject string, hash string, content binary"
 ITEMS = "paper_id string, page_no int, page_width double, seq long, str string, x double, y double, width double, height double"
-RANGE, BATCH = 32 << 20, 8192
+RANGE, BATCH, TASKS = 32 << 20, 8192, 256
+
+
+NAMES = [c.split()[0] for c in ITEMS.split(", ")]
+KINDS = [pa.int32(), pa.float64(), pa.int64(), pa.string(), *[pa.float64()] * 4]  # of all but the first
+PAGE, CELL, HEIGHT, HEIGHTS = re.compile(papers.PAGE).match, re.compile(papers.CELL).match, re.compile(papers.HEIGHT).search, re.compile(papers.HEIGHT).sub
 
 
 def local(path: str) -> str:
@@ -48,6 +54,13 @@ class Part(InputPartition):
     end: int = 0
 
 
+@dataclass
+class Parts(InputPartition):
+    """(path, from, to): `size` bytes at a time from `from` to the last range that begins before `to`."""
+
+    spans: list[tuple[str, int, int]]
+
+
 @dataclass
 class Written(WriterCommitMessage):
     path: str | None
@@ -136,54 +149,75 @@ class ItemReader(DataSourceReader):
     def __init__(self, folder: str, size: int):
         self.folder, self.size = folder, size
 
-    def partitions(self) -> list[Part]:
-        files = (os.path.join(at, n) for at, _, names in os.walk(self.folder) for n in names if not n.startswith((".", "_")))
-        return [Part(f, k, k + self.size) for f in sorted(files) for k in range(0, os.path.getsize(f), self.size)] or [Part(None)]
-
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
-        rows: list[tuple] = []
-        names = [c.split()[0] for c in ITEMS.split(", ")]
-        kinds = [pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.string(), *[pa.float64()] * 4]
-
-        def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-            rows.clear()
-            return out
-
-        paper = os.path.relpath(part.path, self.folder)
-        for row in self.words(part):
-            rows.append((paper, *row))
-            if len(rows) == BATCH:
-                yield batch()
-        if rows:
-            yield batch()
-
-    def words(self, part: Part) -> Iterator[tuple]:
-        """Words with their places; a word's seq is its offset in the file."""
-        page = None
-        with open(part.path, "rb") as file:
-            if part.start:  # to the first line that begins in the range
-                file.seek(part.start - 1)
+    def partitions(self) -> list[Parts]:
+        files = sorted(os.path.join(at, n) for at, _, names in os.walk(self.folder) for n in names if not n.startswith((".", "_")))
+        counts = [(f, -(-os.path.getsize(f) // self.size)) for f in files]  # ranges of each
+        most = max(1, -(-sum(n for _, n in counts) // TASKS))
+        out, room = [], 0
+        for path, n in counts:
+            k = 0
+            while k < n:
+                if not room:
+                    out.append(Parts([]))
+                    room = most
+                take = min(room, n - k)
+                out[-1].spans.append((path, k * self.size, (k + take) * self.size))
+                k, room = k + take, room - take
+        return out or [Parts([])]
+
+    def read(self, part: Parts) -> Iterator[pa.RecordBatch]:
+        columns: list[list] = [[] for _ in KINDS]
+        for path, start, end in part.spans:
+            paper = os.path.relpath(path, self.folder)
+            for _ in self.words(path, start, end, columns):
+                if len(columns[0]) >= BATCH:
+                    yield self.batch(paper, columns)
+            if columns[0]:
+                yield self.batch(paper, columns)
+
+    @staticmethod
+    def batch(paper: str, columns: list[list]) -> pa.RecordBatch:
+        n = len(columns[0])
+        out = pa.RecordBatch.from_arrays([pa.array([paper] * n, pa.string()), *[pa.array(c, t) for c, t in zip(columns, KINDS)]], NAMES)
+        for c in columns:
+            c.clear()
+        return out
+
+    def words(self, path: str, start: int, end: int, columns: list[list]) -> Iterator[None]:
+        """Puts words with their places into columns, and stops after each line; a word's seq is its offset in the file.
+
+        Ranges that a task takes in turn are read in one go: a range ends where the next begins, so what is between is read once.
+        """
+        pages, widths, seqs, strs, xs, ys, wides, highs = (c.extend for c in columns)
+        page, char = None, papers.CHAR
+        with open(path, "rb") as file:
+            if start:  # to the first line that begins in the range
+                file.seek(start - 1)
                 file.readline()
             at = file.tell()
             for raw in file:
                 begins, at = at, at + len(raw)
                 line = raw.decode("utf-8", "replace").strip()
-                if head := re.match(papers.PAGE, line):
-                    if begins >= part.end:
+                if line.startswith("@") and (head := PAGE(line)):
+                    if begins >= end:
                         return
                     page = int(head[1]), float(head[2])
-                elif page is None and begins >= part.end:
+                elif page is None and begins >= end:
                     return
-                elif page and not line.startswith("#") and (cell := re.match(papers.CELL, line)):
+                elif page and not line.startswith("#") and (cell := CELL(line)):
                     x, y, body = float(cell[1]), float(cell[2]), cell[3]
-                    high = re.search(papers.HEIGHT, body)
-                    for i, word in enumerate(re.sub(papers.HEIGHT, "", body).split(" ")):
+                    high = HEIGHT(body) if "|h=" in body else None
+                    words, places = [], []
+                    for i, word in enumerate((HEIGHTS("", body) if high else body).split(" ")):
                         if word:
-                            yield *page, begins + i, word, x, y, len(word) * papers.CHAR, float(high[1]) if high else papers.GLYPH
-                        x += (len(word) + 1) * papers.CHAR
+                            words.append(word)
+                            places.append(x)
+                            seqs((begins + i,))
+                        x += (len(word) + 1) * char
+                    n = len(words)
+                    pages([page[0]] * n), widths([page[1]] * n), strs(words), xs(places), ys([y] * n), wides([len(w) * char for w in words])
+                    highs([float(high[1]) if high else papers.GLYPH] * n)
+                    yield
 
 
 class PaperItems(DataSource):

@@ -82,3 +82,14 @@ def test_ranges_of_any_size_read_each_page_once(spark, tmp_path, size):
     same = sorted((r["paper_id"], r["page_no"], r["page_width"], r["str"], round(r["x"], 1), r["y"], round(r["width"], 1), r["height"]) for r in papers.fixture_items(want).collect())
     assert sorted(g[:3] + g[4:] for g in got) == same and len(got) == 6
     assert len({g[0::3][:2] for g in got}) == 6  # no two words of a file at one place
+
+
+def test_small_ranges_make_few_tasks(spark, tmp_path):
+    pages = "".join(f"@page {k} width=600 height=800\n50 | 700 | item {k}\n" for k in range(3000))
+    for name in "ab":
+        (tmp_path / name).write_text(pages)
+    reader = formats.ItemReader(str(tmp_path), 16)
+    parts = reader.partitions()
+    assert len(parts) <= formats.TASKS < 2 * len(pages) / 16
+    got = [(r["paper_id"], r["page_no"], r["str"]) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert got == [(name, k, word) for name in "ab" for k in range(3000) for word in ("item", str(k))]
