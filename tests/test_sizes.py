@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from quaestor.operators import similar
 from quaestor.plans import catalog as registry
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +44,20 @@ def test_escalations_of_many_people(spark, matches):
     schema = spark.read.parquet(f"{SF}/events.parquet").schema
     got = matches("stream_escalation_rate", events=rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]))
     assert got[["served", "escalated", "rate"]].values.tolist() == [[4000, 2000, 0.5]]
+
+
+def test_candidates_of_odd_and_frequent_texts(spark, matches):
+    names = ["big red ring", "red ring", "big red ring of steel", "a b a b", "a b a", "b a", "one", "", " ", "x  y", "of steel big red ring", None, "red ring of", "p q r s t u v", "q r s t u v w", "t u v w x y z"]
+    rows = spark.createDataFrame([(7 * k + 3, names[k % len(names)]) for k in range(200)], "p_partkey long, p_name string")
+    part = spark.read.parquet(f"{SF}/part.parquet").limit(1).drop("p_partkey", "p_name").crossJoin(rows)
+    got = matches("lexical_candidates", part=part)
+    assert len(got) > 1000 and got["similarity"].nunique() > 3
+
+
+def test_pairs_of_one_large_class_come_in_tiles(spark):
+    rows = spark.range(2 * similar.CHUNK + 100).select("id", F.array(F.lit("a b")).alias("grams"))
+    kept = []
+    found = similar.pairs(rows, lambda df: kept.append(df.cache()) or kept[-1])
+    n = 2 * similar.CHUNK + 100
+    assert found.agg(F.count("*"), F.sum("a") + F.sum("b"), F.count_if(F.col("a") < F.col("b"))).first()[:] == (n * (n - 1) // 2, n * (n - 1) * (n - 1) // 2, n * (n - 1) // 2)
+    assert kept[1].agg(F.max(F.size("ids"))).first()[0] < 2 * similar.CHUNK
