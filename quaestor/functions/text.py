@@ -1,4 +1,4 @@
-"""Text functions of the exam corpus as column expressions; all run inside whole-stage code generation."""
+"""Text functions of the exam corpus as column expressions; all but the text gate, whose parts are bound to lambda variables, run inside whole-stage code generation."""
 
 from __future__ import annotations
 
@@ -47,21 +47,53 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), for which the value is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+# The characters of SPACE, and those beyond Latin 1, which few texts have: classes of single Latin characters are matched much faster.
+BLANKS = " \t\n\x0b\x0c\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+FAR = r"[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def _flat(t: Column) -> Column:
+    """t with one blank for each run of white space."""
+    near = F.when(t.rlike(r"[^\x00-\x{167F}]"), F.regexp_replace(t, FAR, " ")).otherwise(t)
+    return F.regexp_replace(near, r"[ \t\n\x0B\f\r\xA0]+", " ")
+
+
+def _measured(t: Column) -> Column:
+    """struct of counts of a trimmed text: characters, words, those that mix letters with digits or marks, and so on; each in one linear pass."""
+    dotted, kelvin = F.lit("\u0130"), F.lit("\u212a")  # the two other letters that are i and k in lower case
+    plain = F.when(t.contains(dotted) | t.contains(kelvin), F.replace(F.replace(t, dotted, F.lit("i")), kelvin, F.lit("k"))).otherwise(t)
+    padded = F.concat(F.lit(" "), F.lower(F.regexp_replace(plain, "[^a-zA-Z0-9]+", " ")), F.lit(" "))
+
+    def counts(x: Column) -> Column:
+        solid = F.length(F.replace(x["flat"], F.lit(" "), F.lit("")))
+        common = sum((F.when(x["padded"].contains(f" {w} "), 1).otherwise(0) for w in COMMON), F.lit(0))
+        # What is left without words that have no letter, or no digit or mark, is mixed words. Words are taken whole, never from their middle.
+        mixed = F.regexp_replace(x["flat"], "(?<![^ ])(?:[^ a-zA-Z]++|[^ 0-9~^|]++)(?![^ ])", "")
+        return F.struct(
+            F.length(t).alias("size"), F.length(F.regexp_replace(t, "[^a-zA-Z]+", "")).alias("letters"), F.regexp_count(t, F.lit(r"[^\w\s]{4,}")).alias("punct"),
+            solid.alias("solid"), (F.length(x["flat"]) - solid + 1).alias("n"), common.alias("common"), F.regexp_count(mixed, F.lit("[^ ]+")).alias("mixed"),
+        )
+
+    return _bound(F.struct(_flat(t).alias("flat"), padded.alias("padded")), counts)
+
+
+def _judged(m: Column) -> Column:
+    size, n = m["size"], m["n"]
+    alpha, punct, garbled, common = _share(m["letters"], m["solid"]), _share(m["punct"], n), _share(m["mixed"], n), m["common"] / F.lit(float(len(COMMON)))
+    score = 0.30 * F.least(alpha / 0.9, F.lit(1.0)) + 0.35 * (1 - F.least(punct / 0.013, F.lit(1.0))) + 0.10 * (1 - F.least(garbled / 0.2, F.lit(1.0))) + 0.25 * common
+    reason = F.when(size < 200, "short").when(n < 50, "few words").when(alpha < 0.70, "letters").when(punct > 0.008, "punctuation").when(common < 0.45, "stop words").when(garbled > 0.15, "garbled")
+    return F.struct(reason.isNull().alias("usable"), F.when((size < 200) | (n < 50), F.lit(0.0)).otherwise(score).alias("score"), reason.alias("reason"))
+
+
 def quality(text: Column) -> Column:
     """struct(usable, score, reason) of a text layer; a null text is an empty one. The first test that fails gives the reason."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
-    words = F.split(t, SPACE + "+")
-    n = F.size(words)
-    solid = F.length(F.regexp_replace(t, SPACE, ""))
-    alpha = _share(F.length(F.regexp_replace(t, "[^a-zA-Z]", "")), solid)
-    punct = _share(F.regexp_count(t, F.lit(r"[^\w\s]{4,}")), n)
-    garbled = _share(F.size(F.filter(words, lambda w: w.rlike("[a-zA-Z]") & w.rlike("[0-9~^|]"))), n)
-    flat = F.array_distinct(F.split(F.regexp_replace(F.lower(t), r"[^a-z0-9\s]", " "), r"\s+"))
-    common = F.size(F.array_intersect(flat, F.array(*map(F.lit, COMMON)))) / F.lit(float(len(COMMON)))
-    score = 0.30 * F.least(alpha / 0.9, F.lit(1.0)) + 0.35 * (1 - F.least(punct / 0.013, F.lit(1.0))) + 0.10 * (1 - F.least(garbled / 0.2, F.lit(1.0))) + 0.25 * common
-    early = (F.length(t) < 200) | (n < 50)
-    reason = F.when(F.length(t) < 200, "short").when(n < 50, "few words").when(alpha < 0.70, "letters").when(punct > 0.008, "punctuation").when(common < 0.45, "stop words").when(garbled > 0.15, "garbled")
-    return F.struct(reason.isNull().alias("usable"), F.when(early, F.lit(0.0)).otherwise(score).alias("score"), reason.alias("reason"))
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return _bound(trimmed, lambda t: _bound(_measured(t), _judged))
 
 
 def route(text: Column) -> Column:

@@ -46,8 +46,8 @@ gate AS (SELECT doc_id, size, CASE WHEN size < 200 THEN 'short' WHEN n < 50 THEN
 
 @query(_GATE + "SELECT doc_id, reason IS NULL AS usable, reason, round(CAST(score AS DOUBLE), 6) AS score FROM gate", bound=False)
 def text_quality_gate(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.quality(F.col("text")).alias("q"))
-    return rows.select("doc_id", "q.usable", "q.reason", F.round("q.score", 6).alias("score"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(text.quality(F.col("text")))))  # one row, worked out once for its three columns
+    return rows.select("doc_id", "usable", "reason", F.round("score", 6).alias("score"))
 
 
 @query(_GATE + ", r AS (SELECT doc_id, CASE WHEN length(trim(coalesce(text, ''))) < 40 THEN 'vision' END AS bare FROM documents) SELECT doc_id, coalesce(bare, CASE WHEN reason IS NULL THEN 'digital' ELSE 'dirty_ocr_recovered' END) AS text_source FROM gate JOIN r USING (doc_id)", bound=False)

@@ -61,3 +61,11 @@ def test_pairs_of_one_large_class_come_in_tiles(spark):
     n = 2 * similar.CHUNK + 100
     assert found.agg(F.count("*"), F.sum("a") + F.sum("b"), F.count_if(F.col("a") < F.col("b"))).first()[:] == (n * (n - 1) // 2, n * (n - 1) * (n - 1) // 2, n * (n - 1) // 2)
     assert kept[1].agg(F.max(F.size("ids"))).first()[0] < 2 * similar.CHUNK
+
+
+@pytest.mark.parametrize("name", ["text_quality_gate", "s1_routing"])
+def test_texts_at_the_edges(spark, matches, name):
+    plain = "the and of to in is for with that a " * 20
+    texts = ["abcde " * 33 + " \x85", plain.strip(), plain + "a1 " * 300, "a^b, 12 x-1 ~ ab " * 40, "....", None, "", " \n", "KK İa THE\nAND " * 40, "x" * 20000]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(matches(name, documents=docs)) == len(texts)
